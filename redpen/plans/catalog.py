@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from redpen.plans import pair_queries, score_queries
+from redpen.plans import edit_queries, feature_queries, pair_queries, score_queries
 
-CATALOG = {**pair_queries.QUERIES, **score_queries.QUERIES}
+CATALOG = {**pair_queries.QUERIES, **edit_queries.QUERIES, **feature_queries.QUERIES, **score_queries.QUERIES}

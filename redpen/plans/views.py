@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share when the scan has fewer partitions than there are cores.
+
+    Large inputs come in enough partitions and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def sql_tokens(expr: str) -> str:
     return f"list_filter(string_split_regex({expr}, '\\s+'), lambda t: t <> '')"
 
@@ -41,7 +54,7 @@ def sql_uniform(seed: int, *parts: str) -> str:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document that has tokens: ``doc_id, line, pair_id, text, toks``."""
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    docs = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     keyed = docs.withColumn("pair_id", F.col("doc_id") * LINES_PER_DOC + F.col("line"))
     return keyed.withColumn("toks", text.tokens(F.col("text"))).filter(F.size("toks") > 0)
 
@@ -60,34 +73,45 @@ LINES = f"""lines AS (
 INSERTS = ["and", "or", "but", "so"]
 
 
-def edited(toks: Column, seed: int, key: Column) -> Column:
-    """Tokens with about 3/16 deleted and 1/16 replaced: struct list of ``t`` and ``new``."""
-    marked = F.transform(toks, lambda t, i: F.struct(t.alias("t"), F.substring(digest(seed, key, i), 1, 2).alias("h")))
-    stays = F.filter(marked, lambda x: ~F.substring(x["h"], 1, 1).isin("0", "1", "2"))
+# where in a token's hash the two digits lie that decide its fate, per copy
+TARGET, SECOND_TARGET, MODEL_1, MODEL_2 = 1, 3, 5, 7
+
+
+def hashed(toks: Column, key: Column) -> Column:
+    """Tokens with a hash of their place."""
+    return F.transform(toks, lambda t, i: F.struct(t.alias("t"), digest(7, key, i).alias("h")))
+
+
+def edited(marked: Column, slot: int) -> Column:
+    """Hashed tokens with about 3/16 deleted and 1/16 replaced: struct list of ``t`` and ``new``."""
+    def first(h: Column) -> Column:
+        return F.substring(h, slot, 1)
 
     def insert(h: Column) -> Column:
-        second = F.substring(h, 2, 1)
+        second = F.substring(h, slot + 1, 1)
         return (
             F.when(second < "8", INSERTS[0]).when(second < "c", INSERTS[1])
             .when(second < "e", INSERTS[2]).otherwise(INSERTS[3])
         )
 
     return F.transform(
-        stays,
+        F.filter(marked, lambda x: ~first(x["h"]).isin("0", "1", "2")),
         lambda x: F.struct(
-            F.when(F.substring(x["h"], 1, 1) == "3", insert(x["h"])).otherwise(x["t"]).alias("t"),
-            (F.substring(x["h"], 1, 1) == "3").alias("new"),
+            F.when(first(x["h"]) == "3", insert(x["h"])).otherwise(x["t"]).alias("t"),
+            (first(x["h"]) == "3").alias("new"),
         ),
     )
 
 
-def sql_edited(toks: str, seed: int, key: str) -> str:
-    return f"""list_transform(list_filter(list_transform({toks},
-      lambda t, i: {{'t': t, 'h': substr(md5(concat('{seed}:', {key}, ':', i - 1)), 1, 2)}}),
-      lambda x: x.h[1] NOT IN ('0', '1', '2')),
-      lambda x: {{'t': CASE WHEN x.h[1] <> '3' THEN x.t WHEN x.h[2] < '8' THEN '{INSERTS[0]}'
-        WHEN x.h[2] < 'c' THEN '{INSERTS[1]}' WHEN x.h[2] < 'e' THEN '{INSERTS[2]}' ELSE '{INSERTS[3]}' END,
-        'new': x.h[1] = '3'}})"""
+def sql_hashed(toks: str, key: str) -> str:
+    return f"list_transform({toks}, lambda t, i: {{'t': t, 'h': md5(concat('7:', {key}, ':', i - 1))}})"
+
+
+def sql_edited(marked: str, slot: int) -> str:
+    return f"""list_transform(list_filter({marked}, lambda x: x.h[{slot}] NOT IN ('0', '1', '2')),
+      lambda x: {{'t': CASE WHEN x.h[{slot}] <> '3' THEN x.t WHEN x.h[{slot + 1}] < '8' THEN '{INSERTS[0]}'
+        WHEN x.h[{slot + 1}] < 'c' THEN '{INSERTS[1]}' WHEN x.h[{slot + 1}] < 'e' THEN '{INSERTS[2]}' ELSE '{INSERTS[3]}' END,
+        'new': x.h[{slot}] = '3'}})"""
 
 
 def words_of(edits: Column) -> Column:
@@ -104,7 +128,8 @@ def sql_joined(edits: str) -> str:
 
 def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as sources with an edited copy as target: ``pair_id, toks, edits, source, target``."""
-    step = lines(spark, sf).withColumn("edits", edited(F.col("toks"), 7, F.col("pair_id")))
+    step = lines(spark, sf).withColumn("marked", hashed(F.col("toks"), F.col("pair_id")))
+    step = step.withColumn("edits", edited(F.col("marked"), TARGET))
     return step.select(
         "pair_id", "toks", "edits", text.spaced(F.col("toks")).alias("source"), joined_words(F.col("edits")).alias("target")
     )
@@ -112,7 +137,7 @@ def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 EDIT_PAIRS = f"""{LINES}, edit_pairs AS (
   SELECT pair_id, toks, edits, array_to_string(toks, ' ') AS source, {sql_joined('edits')} AS target
-  FROM (SELECT pair_id, toks, {sql_edited('toks', 7, 'pair_id')} AS edits FROM lines))"""
+  FROM (SELECT pair_id, toks, {sql_edited(sql_hashed('toks', 'pair_id'), TARGET)} AS edits FROM lines))"""
 
 
 def fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +151,7 @@ def fusion(spark: SparkSession, sf: str) -> DataFrame:
         "pair_id",
         F.when(F.size("two") > 0, F.array(text.spaced(F.col("one")), text.spaced(F.col("two"))))
         .otherwise(F.array(text.spaced(F.col("one")))).alias("sources"),
-        joined_words(edited(order, 7, F.col("pair_id"))).alias("target"),
+        joined_words(edited(hashed(order, F.col("pair_id")), TARGET)).alias("target"),
     )
 
 
@@ -156,17 +181,17 @@ CHAT_PAIRS = """chat_pairs AS (
 
 # ------------------------------------------------------------------ predictions
 
-MODEL_SEEDS = {"m1": 11, "m2": 13}
+MODELS = {"m1": MODEL_1, "m2": MODEL_2}
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two models and two targets per line: ``row_id, model, source, prediction, targets``."""
-    base = lines(spark, sf)
-    key, toks = F.col("pair_id"), F.col("toks")
-    targets = F.array(*[joined_words(edited(toks, seed, key)) for seed in (7, 17)])
+    key, toks, marked = F.col("pair_id"), F.col("toks"), F.col("marked")
+    base = lines(spark, sf).withColumn("marked", hashed(toks, key))
+    targets = F.array(*[joined_words(edited(marked, slot)) for slot in (TARGET, SECOND_TARGET)])
     made = F.array(*[
-        F.struct(F.lit(m).alias("model"), joined_words(edited(toks, seed, key)).alias("prediction"))
-        for m, seed in MODEL_SEEDS.items()
+        F.struct(F.lit(m).alias("model"), joined_words(edited(marked, slot)).alias("prediction"))
+        for m, slot in MODELS.items()
     ])
     step = base.select(key.alias("row_id"), text.spaced(toks).alias("source"), targets.alias("targets"), F.explode(made).alias("x"))
     return step.select("row_id", "x.model", "source", "x.prediction", "targets")
@@ -175,10 +200,10 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 PREDICTIONS = f"""{LINES}, predictions AS (
   SELECT pair_id AS row_id, model, array_to_string(toks, ' ') AS source, CASE model WHEN 'm1' THEN p1 ELSE p2 END AS prediction,
          targets
-  FROM (SELECT pair_id, toks, {sql_joined(sql_edited('toks', 11, 'pair_id'))} AS p1,
-               {sql_joined(sql_edited('toks', 13, 'pair_id'))} AS p2,
-               [{sql_joined(sql_edited('toks', 7, 'pair_id'))}, {sql_joined(sql_edited('toks', 17, 'pair_id'))}] AS targets
-        FROM lines), (VALUES ('m1'), ('m2')) AS models(model))"""
+  FROM (SELECT pair_id, toks, {sql_joined(sql_edited('marked', MODEL_1))} AS p1,
+               {sql_joined(sql_edited('marked', MODEL_2))} AS p2,
+               [{sql_joined(sql_edited('marked', TARGET))}, {sql_joined(sql_edited('marked', SECOND_TARGET))}] AS targets
+        FROM (SELECT *, {sql_hashed('toks', 'pair_id')} AS marked FROM lines)), (VALUES ('m1'), ('m2')) AS models(model))"""
 
 
 # ------------------------------------------------------------------ rated lines

@@ -56,7 +56,7 @@ if __name__ == "__main__":
 
     sf = f"/root/testdata/{sys.argv[1]}"
     names = sys.argv[2:] or list(e.queries())
-    spark, con = build_session(), connect(sf)
+    spark, con = build_session(spark__ui__showConsoleProgress="false"), connect(sf)
     bad = 0
     for name in names:
         t = time.time()
