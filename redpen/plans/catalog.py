@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from redpen.plans import edit_queries, feature_queries, pair_queries, score_queries, span_queries
+from redpen.plans import edit_queries, feature_queries, pair_queries, predict_queries, score_queries, span_queries
 
 CATALOG = {
     **pair_queries.QUERIES,
     **edit_queries.QUERIES,
     **feature_queries.QUERIES,
     **span_queries.QUERIES,
+    **predict_queries.QUERIES,
     **score_queries.QUERIES,
 }

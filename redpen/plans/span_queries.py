@@ -357,14 +357,7 @@ FROM shown GROUP BY inst_id"""
 def training_instances(spark, sf):
     """Masked rows of fixed length from whole documents: cut, paired, masked as whole words, encoded."""
     vocab = pieces(spark, sf)
-    docs = sentence_docs(spark, sf)
-    cut = docs.select("doc_id", F.transform("sentences", lambda s: s).alias("sentences"))
-    flat = cut.select("doc_id", F.posexplode("sentences").alias("pos", "toks"))
-    pieced = flat.select("doc_id", "pos", F.flatten(vocab.pieces(F.col("toks"))).alias("p")).filter(F.size("p") > 0)
-    # a document is one text row of the input, so its sentences fit one row again
-    listed = pieced.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]).alias("sentences")
-    )
+    listed = masked_lm.sentence_pieces(sentence_docs(spark, sf), vocab)
     listed = stage(listed, "sentences")
     chunks = masked_lm.pack_sentences(masked_lm.duplicate_with_seed(listed, DUPES), LM_LEN, SHORT, SEED)
     paired = masked_lm.truncate_pair(masked_lm.random_next(chunks, listed, SEED), LM_LEN - 3, SEED)
