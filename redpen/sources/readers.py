@@ -1,7 +1,7 @@
 """Readers of the file formats around the pipeline. Schemas are fixed, nothing is inferred.
 
-Rows that need a position get ``row_id`` from ``monotonically_increasing_id``: unique and
-in file order, but not dense.
+Rows that need a position get ``row_id`` from ``monotonically_increasing_id``: unique, in
+the order of the lines of a file, not dense.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from redpen.functions.text import SPACE
 from redpen.operators.ranking import union_all
 
 RAW_TSV = {"sep": "\t", "quote": "", "escape": ""}
-QUOTED_TSV = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true"}
+# line breaks inside quotes would tie a file to one task; cleaned texts have none
+QUOTED_TSV = {"sep": "\t", "quote": '"', "escape": '"'}
 
 
 def _named(names: str) -> str:
@@ -70,7 +71,10 @@ def read_compression_json(spark: SparkSession, paths: str | list[str]) -> DataFr
 
 
 def read_headline_csvs(spark: SparkSession, path_wide: str, path_short: str) -> DataFrame:
-    """Two Latin-1 CSV files with ``headlines`` and ``text`` among their columns, united."""
+    """Two Latin-1 CSV files with ``headlines`` and ``text`` among their columns, united.
+
+    Texts hold line breaks, so a file is read by one task; give many files for scale.
+    """
     parts = []
     for path in (path_wide, path_short):
         raw = spark.read.csv(path, header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"')
@@ -116,21 +120,26 @@ def read_labelled_pairs(
 ) -> DataFrame:
     """``guid, text_a, text_b, label`` from the layouts nli_zh, mnli, mrpc and cola."""
     text_a, text_b, label, kept, header = _labelled_layout(layout, split, language)
-    raw = _numbered(_lines(spark, path)).withColumn("cells", F.split("line", "\t"))
-    # the header is the first line of each file: the only one whose block starts at offset 0
-    if header:
-        first = raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("row_id").alias("head"))
-        raw = (
-            raw.withColumn("file", F.col("_metadata.file_path"))
-            .join(F.broadcast(first), "file")
-            .filter(F.col("row_id") != F.col("head"))
+    raw = _numbered(
+        spark.read.text(path).select(
+            F.split("value", "\t").alias("cells"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
         )
+    )
+    if header:
+        # the header is the first row of the block at offset 0 of each file
+        heads = raw.filter("block = 0").groupBy("file").agg(F.min("row_id").alias("row_id"))
+        raw = raw.join(heads, ["file", "row_id"], "left_anti")
     guid = F.concat(F.lit(f"{split}-"), F.col("row_id").cast("string"))
     return raw.filter(kept).select(guid.alias("guid"), text_a.alias("text_a"), text_b.alias("text_b"), label.alias("label"))
 
 
 def read_review_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """One file per review below ``pos`` and ``neg``: text, rating from the name, polarity."""
+    """One file per review below ``pos`` and ``neg``: text, rating from the name, polarity.
+
+    The sample is taken by ``sample_rows`` with ``file`` as key.
+    """
     path = F.col("_metadata.file_path")
     raw = spark.read.text([f"{directory}/pos", f"{directory}/neg"], wholetext=True)
     return raw.select(
