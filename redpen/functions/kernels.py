@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,29 +20,43 @@ def lcs_tokens(source: list[str], target: list[str]) -> list[str]:
 
     Column j of the dynamic-programming table is kept as the bits where the value grows
     from one source token to the next; a whole column is updated by a few operations on
-    one long integer. The walk back only needs these growth bits.
+    one long integer. The walk back only needs these growth bits, and rebuilds them block
+    by block, so memory grows with the square root of the target length.
     """
     full = (1 << len(source)) - 1
     where: dict[str, int] = {}
     for i, token in enumerate(source):
         where[token] = where.get(token, 0) | (1 << i)
-    flat = full
-    grows = []
-    for token in target:
+
+    def after(flat: int, token: str) -> int:
         hit = flat & where.get(token, 0)
-        flat = ((flat + hit) | (flat - hit)) & full
-        grows.append(full & ~flat)
+        return ((flat + hit) | (flat - hit)) & full
+
+    width = isqrt(len(target)) + 1
+    block_starts = []
+    flat = full
+    for j, token in enumerate(target):
+        if j % width == 0:
+            block_starts.append(flat)
+        flat = after(flat, token)
+
     kept = []
     i, j = len(source), len(target)
     while i and j:
-        if source[i - 1] == target[j - 1]:
-            kept.append(target[j - 1])
-            i -= 1
-            j -= 1
-        elif grows[j - 1] >> (i - 1) & 1:
-            j -= 1
-        else:
-            i -= 1
+        block = (j - 1) // width
+        flat, grows = block_starts[block], []
+        for token in target[block * width : j]:
+            flat = after(flat, token)
+            grows.append(full & ~flat)
+        while i and j > block * width:
+            if source[i - 1] == target[j - 1]:
+                kept.append(target[j - 1])
+                i -= 1
+                j -= 1
+            elif grows[j - 1 - block * width] >> (i - 1) & 1:
+                j -= 1
+            else:
+                i -= 1
     kept.reverse()
     return kept
 
