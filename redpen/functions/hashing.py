@@ -7,7 +7,10 @@ from pyspark.sql import Column, functions as F
 
 def digest(seed: int, *parts: Column) -> Column:
     """md5 over ``seed:part:part...`` as hex text."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    text = [F.lit(str(seed))]
+    for part in parts:
+        text += [F.lit(":"), part.cast("string")]
+    return F.md5(F.concat(*text))
 
 
 def uniform(seed: int, *parts: Column) -> Column:

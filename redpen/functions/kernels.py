@@ -13,6 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 
+def kernel(kind: str):
+    """An Arrow function that Catalyst keeps in one place.
+
+    A filter or an explode over its result would otherwise copy the call below itself and
+    run the kernel twice; functions marked as not deterministic are never copied.
+    """
+    return lambda function: F.arrow_udf(function, kind).asNondeterministic()
+
+
 # ---------------------------------------------------------------- added phrases
 
 def lcs_tokens(source: list[str], target: list[str]) -> list[str]:
@@ -86,7 +95,7 @@ def fewest_added_phrases(sources: list[str], target: str, try_swap: bool) -> lis
 
 
 def added_phrases_udf(try_swap: bool):
-    @F.arrow_udf("array<string>")
+    @kernel("array<string>")
     def mine(sources: pa.Array, target: pa.Array) -> pa.Array:
         rows = zip(sources.to_pylist(), target.to_pylist())
         return pa.array(
@@ -154,7 +163,7 @@ def tags_udf(phrases, do_swap: bool):
     """``phrases`` is a broadcast variable holding the phrase list."""
     out = pa.struct([("tags", pa.list_(pa.string())), ("swapped", pa.bool_())])
 
-    @F.arrow_udf("struct<tags:array<string>,swapped:boolean>")
+    @kernel("struct<tags:array<string>,swapped:boolean>")
     def tag(sources: pa.Array, target: pa.Array) -> pa.Array:
         tagger = Tagger(phrases.value)
         rows = []
@@ -190,6 +199,14 @@ def _is_punctuation(ch: str) -> bool:
 
 def basic_tokens(text: str, lower: bool = True) -> list[str]:
     """Drop control characters, isolate ideographs and punctuation, fold case and accents."""
+    if text.isalnum() and max(text) < "\u2e80":  # plain words need no splitting
+        if not lower:
+            return [text]
+        folded = text.lower()
+        if folded.isascii():
+            return [folded]
+        folded = "".join(ch for ch in unicodedata.normalize("NFD", folded) if unicodedata.category(ch) != "Mn")
+        return [folded] if folded else []
     chars = []
     for ch in text:
         if ch in "\t\n\r" or unicodedata.category(ch) == "Zs":
@@ -230,7 +247,7 @@ def pieces_udf(vocab, lower: bool = True):
     """
     per_token = pa.list_(pa.string())
 
-    @F.arrow_udf("array<array<string>>")
+    @kernel("array<array<string>>")
     def cut(token_lists: pa.Array) -> pa.Array:
         known = vocab.value
 
@@ -245,6 +262,27 @@ def pieces_udf(vocab, lower: bool = True):
     return cut
 
 
+def sentence_pieces_udf(vocab, lower: bool = True):
+    """Sentences as token lists -> the same sentences as flat piece lists."""
+
+    @kernel("array<array<string>>")
+    def cut(documents: pa.Array) -> pa.Array:
+        known = vocab.value
+        sentences = documents.flatten()
+        coded = pc.dictionary_encode(sentences.flatten())
+        distinct = pa.array(
+            [[p for w in basic_tokens(t, lower) for p in word_pieces(w, known)] for t in coded.dictionary.to_pylist()],
+            pa.list_(pa.string()),
+        )
+        tokens = distinct.take(coded.indices)
+        token_at = _offsets(sentences).to_numpy()
+        piece_at = _offsets(tokens).to_numpy()[token_at]
+        pieced = pa.ListArray.from_arrays(pa.array(piece_at), tokens.flatten())
+        return pa.ListArray.from_arrays(_offsets(documents), pieced)
+
+    return cut
+
+
 def _offsets(lists: pa.Array) -> pa.Array:
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -253,7 +291,7 @@ def _offsets(lists: pa.Array) -> pa.Array:
 def starts_udf():
     """Pieces per token -> position of each token's first piece, counted from 1."""
 
-    @F.arrow_udf("array<int>")
+    @kernel("array<int>")
     def starts(pieces: pa.Array) -> pa.Array:
         per_row = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
         sizes = pc.fill_null(pc.list_value_length(pieces.flatten()), 0).to_numpy(zero_copy_only=False)
@@ -268,7 +306,7 @@ def starts_udf():
 
 
 def basic_tokens_udf(lower: bool = True):
-    @F.arrow_udf("array<string>")
+    @kernel("array<string>")
     def cut(text: pa.Array) -> pa.Array:
         return pa.array(
             [None if t is None else basic_tokens(t, lower) for t in text.to_pylist()], pa.list_(pa.string())
@@ -280,7 +318,7 @@ def basic_tokens_udf(lower: bool = True):
 def ids_udf(ids):
     """String list -> id list through a broadcast dict; an unknown entry is an error."""
 
-    @F.arrow_udf("array<int>")
+    @kernel("array<int>")
     def look_up(entries: pa.Array) -> pa.Array:
         table = ids.value
         coded = pc.dictionary_encode(entries.flatten())
@@ -331,7 +369,7 @@ def pack_udf(max_tokens: int, short_prob: float, seed: int):
         ("is_random_next", pa.bool_()), ("wanted", pa.int32()),
     ]))
 
-    @F.arrow_udf(PACK_TYPE)
+    @kernel(PACK_TYPE)
     def boundaries(sizes: pa.Array, key: pa.Array) -> pa.Array:
         rows = zip(sizes.to_pylist(), key.to_pylist())
         return pa.array([pack(s or [], k, max_tokens, short_prob, seed) for s, k in rows], out)
@@ -358,7 +396,7 @@ def whole_word_order(pieces: list[str], key: str, limit: int) -> list[int]:
 
 
 def whole_word_udf():
-    @F.arrow_udf("array<int>")
+    @kernel("array<int>")
     def choose(pieces: pa.Array, key: pa.Array, limit: pa.Array) -> pa.Array:
         rows = zip(pieces.to_pylist(), key.to_pylist(), limit.to_pylist())
         return pa.array([whole_word_order(p, k, n) for p, k, n in rows], pa.list_(pa.int32()))
@@ -404,7 +442,7 @@ def repaired_tokens(words: list[str]) -> list[str]:
 
 
 def repair_udf():
-    @F.arrow_udf("array<string>")
+    @kernel("array<string>")
     def repair(token_lists: pa.Array) -> pa.Array:
         return pa.array(
             [None if t is None else repaired_tokens(t) for t in token_lists.to_pylist()], pa.list_(pa.string())

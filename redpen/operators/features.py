@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
-from redpen.functions.kernels import ids_udf, pieces_udf, starts_udf
+from redpen.functions.kernels import ids_udf, pieces_udf, sentence_pieces_udf, starts_udf
 from redpen.operators.tagging import checked_rows, source_tokens
 
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
@@ -19,13 +19,19 @@ class PieceVocabulary:
         sc = vocab.sparkSession.sparkContext
         self.ids = table
         self._ids_udf = ids_udf(sc.broadcast(table))
-        self._cut_udf = pieces_udf(sc.broadcast(frozenset(table)), lower)
+        known = sc.broadcast(frozenset(table))
+        self._cut_udf = pieces_udf(known, lower)
+        self._sentence_udf = sentence_pieces_udf(known, lower)
         self.masking = masking
 
     def pieces(self, token_list: Column) -> Column:
         """One list of pieces per token."""
         return self._cut_udf(token_list)
 
+    def sentence_pieces(self, sentences: Column) -> Column:
+        """One flat list of pieces per sentence."""
+        return self._sentence_udf(sentences)
+
     def look_up(self, pieces: Column) -> Column:
         """Ids of a flat piece list, after masking if that is switched on."""
         return self._ids_udf(F.transform(pieces, text.masked_piece) if self.masking else pieces)

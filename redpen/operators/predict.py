@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
 from redpen.functions.kernels import repair_udf
-from redpen.operators.features import PieceVocabulary, edit_features, feature_tokens, token_labels
+from redpen.operators.features import PieceVocabulary, edit_features, feature_tokens, grammar_features, token_labels
 from redpen.operators.pairs import clean_text, drop_empty_pairs
 from redpen.operators.ranking import union_all
 from redpen.operators.tagging import apply_infeasible_policy, checked_rows, realize
@@ -30,15 +30,21 @@ def prepare_inputs(df: DataFrame, with_target: bool) -> DataFrame:
     return drop_empty_pairs(spaced)
 
 
-def _run(factory: Callable[[], Predictor], column: str, batch: int):
-    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+INPUTS = ["input_ids", "input_mask", "segment_ids"]
+
+
+def _predicted(factory: Callable[[], Predictor], kind: str, batch: int) -> Column:
+    """The predictor's answer per row; only the three id lists travel to the Python side."""
+
+    @F.pandas_udf(kind)
+    def predict(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                yield part.assign(**{column: list(model(part[["input_ids", "input_mask", "segment_ids"]]))})
+        for columns in frames:
+            frame = pd.concat(columns, axis=1, keys=INPUTS)
+            parts = [model(frame.iloc[at : at + batch]) for at in range(0, len(frame), batch)]
+            yield pd.Series([answer for part in parts for answer in part], dtype=object)
 
-    return predict
+    return predict(*INPUTS)
 
 
 def predict_table(
@@ -53,15 +59,13 @@ def predict_table(
 ) -> DataFrame:
     """``key, sources, target, prediction``: features, predicted labels, realised text.
 
-    Only ids travel to the Python side and back; labels missing for cut tokens mean KEEP.
+    Labels missing for cut tokens mean KEEP.
     """
     ids = {r.tag: r.tag_id for r in checked_rows(label_map)}
     by_id = F.create_map(*[F.lit(x) for tag, i in ids.items() for x in (i, tag)])
     tagged = apply_infeasible_policy(feature_tokens(df), "predict")
     rows = edit_features(tagged, vocab, ids, max_len, embedding, keep=(key, "sources", "target"))
-    sent = rows.select(key, "sources", "target", "token_starts", "input_ids", "input_mask", "segment_ids")
-    schema = f"{sent._jdf.schema().toDDL()}, pred array<int>"
-    scored = sent.mapInPandas(_run(factory, "pred", batch), schema)
+    scored = rows.withColumn("pred", _predicted(factory, "array<int>", batch))
     n = F.size("pred")
     mask = F.transform("pred", lambda p, i: F.when((i > 0) & (i < n - 1), 1).otherwise(0))
     labels = token_labels(F.col("pred"), mask, F.col("token_starts"), ids["KEEP"])
@@ -81,12 +85,8 @@ def attach_quality_label(
     batch: int = 64,
 ) -> DataFrame:
     """Run a classifier over the texts of ``col`` and add its label."""
-    from redpen.operators.features import grammar_features
-
-    fields = ["input_ids", "input_mask", "segment_ids"]
     rows = grammar_features(df, vocab, max_len, col)
-    schema = f"{rows._jdf.schema().toDDL()}, {out} int"
-    return rows.mapInPandas(_run(factory, out, batch), schema).drop(*fields)
+    return rows.withColumn(out, _predicted(factory, "int", batch)).drop(*INPUTS)
 
 
 def clean_predictions(df: DataFrame, col: str = "prediction", out: str = "prediction") -> DataFrame:

@@ -31,7 +31,9 @@ def grams(token_list: Column, n: int) -> Column:
         return F.array_distinct(token_list)
     joined = F.transform(
         F.sequence(F.lit(0), F.size(token_list) - n),
-        lambda i: F.concat_ws(" ", *[F.get(token_list, i + k) for k in range(n)]),
+        lambda i: F.concat(
+            F.get(token_list, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(token_list, i + k))]
+        ),
     )
     return F.when(F.size(token_list) >= n, F.array_distinct(joined)).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -75,8 +77,7 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
         })
         step = step.withColumns({
             f"_sp{n}": F.array_intersect(s, p),
-            f"_ps{n}": F.array_except(p, s),
-            f"_u{n}": F.array_distinct(F.flatten(t)),
+            f"_fresh{n}": F.array_except(F.flatten(t), F.col(s)),
         })
 
         def shared(grams_col: str, t: str = t) -> Column:
@@ -89,11 +90,12 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
             f"_m{n}": F.size(t),
             f"_a{n}": shared(f"_sp{n}"),
             f"_b{n}": shared(s),
-            f"_hit{n}": F.size(F.array_intersect(f"_ps{n}", f"_u{n}")),
-            f"_new{n}": F.size(F.array_except(f"_u{n}", s)),
+            f"_hit{n}": F.size(F.array_intersect(f"_fresh{n}", p)),
+            f"_new{n}": F.size(f"_fresh{n}"),
         })
         m, both, in_s = F.col(f"_m{n}"), F.col(f"_a{n}"), F.col(f"_b{n}")
-        kept, size_s, added = F.size(f"_sp{n}"), F.size(s), F.size(f"_ps{n}")
+        kept, size_s = F.size(f"_sp{n}"), F.size(s)
+        added = F.size(p) - kept
         gone = size_s - kept
         scale = F.greatest(m, F.lit(1))
         parts.append((

@@ -137,12 +137,11 @@ TAG_ROUND_TRIP = "SELECT count(*) AS differing FROM documents WHERE doc_id IS NU
 def generated_tags(spark, sf):
     key = F.col("pair_id")
 
-    def tag(t, i):
-        d = v.digit(21, 1, key, i)
+    def tag(d):
         return F.when(d < "3", "DELETE").when(d == "3", "KEEP|and").when(d == "4", "DELETE|or so").otherwise("KEEP")
 
     step = v.fusion(spark, sf).drop("target").withColumn("tokens", tagging.source_tokens(F.col("sources")))
-    step = step.withColumn("tags", F.transform("tokens", tag))
+    step = step.withColumn("tags", F.transform(F.transform("tokens", lambda t, i: v.digit(21, 1, key, i)), tag))
     last = F.size(text.tokens(F.get("sources", F.lit(0)))) - 1
     swap = (F.size("sources") == 2) & (v.digit(22, 1, key) < "8")
     return step.withColumn(

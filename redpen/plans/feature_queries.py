@@ -18,7 +18,7 @@ FIXED = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"] + LETTERS + [f"##{c}" for
 def word_counts(spark, sf):
     """Basic words of all documents; whitespace tokens are counted first, the kernel sees each once."""
     raw = v.lines(spark, sf).select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    words = raw.select(F.explode(basic_tokens_udf()(F.col("token"))).alias("word"), "n")
+    words = raw.select(basic_tokens_udf()(F.col("token")).alias("words"), "n").select(F.explode("words").alias("word"), "n")
     return words.groupBy("word").agg(F.sum("n").alias("n"))
 
 
