@@ -237,15 +237,13 @@ def vocab_with_mask_tokens(vocab: DataFrame) -> DataFrame:
     """Put ``[SYMBOL]`` and ``[NUMBER]`` into the first unused slots when they are missing."""
     needed = ["[SYMBOL]", "[NUMBER]"]
     unused = F.col("token").rlike(r"^(\[UNUSED_.*\]|\[unused.*\])$")
-    found = vocab.agg(
-        F.collect_set(F.when(F.col("token").isin(needed), F.col("token"))).alias("present"),
-        F.slice(F.array_sort(F.collect_list(F.when(unused, F.col("token_id")))), 1, 2).alias("slots"),
-    ).first()
-    missing = [t for t in needed if t not in found.present]
-    if len(missing) > len(found.slots):
+    present = {r.token for r in vocab.filter(F.col("token").isin(needed)).select("token").distinct().collect()}
+    slots = [r.token_id for r in vocab.filter(unused).orderBy("token_id").limit(len(needed)).collect()]
+    missing = [t for t in needed if t not in present]
+    if len(missing) > len(slots):
         raise IndexError("there is no unused slot in the vocabulary")
     token = F.col("token")
-    for name, slot in zip(missing, found.slots):
+    for name, slot in zip(missing, slots):
         token = F.when(F.col("token_id") == slot, F.lit(name)).otherwise(token)
     return vocab.withColumn("token", token)
 

@@ -47,6 +47,14 @@ def _predicted(factory: Callable[[], Predictor], kind: str, batch: int) -> Colum
     return predict(*INPUTS)
 
 
+def tags_by_id(ids: dict[str, int]) -> Column:
+    """A constant list with every tag at its id, so that a look-up is one step."""
+    slots = [""] * (max(ids.values()) + 1)
+    for tag, at in ids.items():
+        slots[at] = tag
+    return F.split(F.lit("\n".join(slots)), "\n")
+
+
 def predict_table(
     df: DataFrame,
     factory: Callable[[], Predictor],
@@ -62,14 +70,14 @@ def predict_table(
     Labels missing for cut tokens mean KEEP.
     """
     ids = {r.tag: r.tag_id for r in checked_rows(label_map)}
-    by_id = F.create_map(*[F.lit(x) for tag, i in ids.items() for x in (i, tag)])
+    by_id = tags_by_id(ids)
     tagged = apply_infeasible_policy(feature_tokens(df), "predict")
     rows = edit_features(tagged, vocab, ids, max_len, embedding, keep=(key, "sources", "target"))
     scored = rows.withColumn("pred", _predicted(factory, "array<int>", batch))
     n = F.size("pred")
     mask = F.transform("pred", lambda p, i: F.when((i > 0) & (i < n - 1), 1).otherwise(0))
     labels = token_labels(F.col("pred"), mask, F.col("token_starts"), ids["KEEP"])
-    tags = F.transform(labels, lambda i: F.element_at(by_id, i))
+    tags = F.transform(labels, lambda i: F.get(by_id, i))
     return realize(scored.withColumn("tags", tags), out="prediction").select(
         key, "sources", "target", "prediction"
     )

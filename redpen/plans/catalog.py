@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redpen.plans import edit_queries, feature_queries, pair_queries, predict_queries, score_queries, span_queries
+from redpen.plans import edit_queries, feature_queries, file_queries, pair_queries, predict_queries, score_queries, span_queries
 
 CATALOG = {
     **pair_queries.QUERIES,
@@ -11,4 +11,5 @@ CATALOG = {
     **span_queries.QUERIES,
     **predict_queries.QUERIES,
     **score_queries.QUERIES,
+    **file_queries.QUERIES,
 }

@@ -160,12 +160,12 @@ def score_features(spark, sf):
     doc = F.transform(at, lambda p: F.when(p % 2 == 0, F.concat(F.lit("t"), word(half(p)))).otherwise(F.concat(F.lit("##"), tail(half(p)))))
     step = base.withColumns({
         "query_len": F.lit(QUERY), "room": F.lit(ROOM), "step": F.lit(WINDOW_STEP), "n_windows": F.lit(3),
-        "start": win * WINDOW_STEP, "length": F.lit(ROOM), "doc_tokens": F.array_repeat(F.lit("t"), DOC),
+        "start": win * WINDOW_STEP, "length": F.lit(ROOM), "doc_size": F.lit(DOC),
         "tokens": F.concat(F.array(F.lit("[CLS]")), F.array_repeat(F.lit("q"), QUERY), F.array(F.lit("[SEP]")), doc, F.array(F.lit("[SEP]"))),
         "token_to_word": F.transform(at, lambda p: half(p).cast("int")),
         "words": F.transform(F.sequence(F.lit(0), F.lit((DOC - 1) // 2)), lambda k: F.concat(F.lit("T"), word(k), tail(k))),
     })
-    return windows.max_context(step).drop("doc_tokens", "room", "step", "n_windows", "start", "length")
+    return windows.max_context(step).drop("doc_size", "room", "step", "n_windows", "start", "length")
 
 
 def score_results(spark, sf):

@@ -63,11 +63,15 @@ def read_rated_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_compression_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Pretty-printed records: the sentence of the graph as source, the headline as target."""
+    """Pretty-printed records parted by blank lines: first sentence as source, headline as target.
+
+    Records are cut at the blank lines before they are parsed, so large files are split.
+    """
     schema = "graph struct<sentence:string>, headline string, sentence string"
-    raw = spark.read.json(paths, schema=schema, multiLine=True)
-    source = F.coalesce(F.col("graph.sentence"), F.col("sentence"))
-    return _numbered(raw.select(source.alias("source"), F.col("headline").alias("target")))
+    raw = spark.read.text(paths, lineSep="\n\n").filter(F.trim("value", F.lit(" \n\r\t")) != "")
+    parsed = raw.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    source = F.coalesce(F.col("r.graph.sentence"), F.col("r.sentence"))
+    return _numbered(parsed.select(source.alias("source"), F.col("r.headline").alias("target")))
 
 
 def read_headline_csvs(spark: SparkSession, path_wide: str, path_short: str) -> DataFrame:
@@ -157,8 +161,12 @@ QA_SCHEMA = (
 
 
 def read_qa_json(spark: SparkSession, path: str | list[str], training: bool, with_negative: bool = False) -> DataFrame:
-    """Questions of nested documents; in training every answerable one has exactly one answer."""
-    raw = spark.read.json(path, schema=QA_SCHEMA, multiLine=True)
+    """Questions of nested documents. The format is one object per file: give many files for scale."""
+    return qa_rows(spark.read.json(path, schema=QA_SCHEMA, multiLine=True), training, with_negative)
+
+
+def qa_rows(raw: DataFrame, training: bool, with_negative: bool = False) -> DataFrame:
+    """One row per question of ``data``; in training every answerable one has exactly one answer."""
     paragraphs = raw.select(F.explode("data").alias("d")).select(F.explode("d.paragraphs").alias("p"))
     rows = paragraphs.select(F.col("p.context").alias("context"), F.explode("p.qas").alias("q"))
     impossible = F.coalesce(F.col("q.is_impossible"), F.lit(False)) if with_negative and training else F.lit(False)

@@ -56,7 +56,7 @@ def test_rated(spark, put):
 
 def test_compression_json(spark, put):
     record = {"graph": {"sentence": "Graph \"s\" ."}, "headline": "H", "sentence": "Other"}
-    path = put("c.json", json.dumps([record, record], indent=2))
+    path = put("c.json", "\n\n".join([json.dumps(record, indent=2)] * 2) + "\n\n")
     assert rows(readers.read_compression_json(spark, path), "source", "target") == [('Graph "s" .', "H")] * 2
 
 
