@@ -117,11 +117,47 @@ def tag_pairs(spark, sf):
     return tagged.select("pair_id", F.array_join("tags", " ").alias("tags"), "feasible", "swapped")
 
 
+# the greedy walk as a fold over the source tokens: j of the target reached, the first of the
+# deletions just before; n is the number of words added before the token, negative if it goes
+_WALK = f"""ph AS (SELECT list(phrase) AS ph, max(len(string_split(phrase, ' '))) AS longest FROM ranked WHERE rank <= {SIZE}), walked AS (
+  SELECT id, tgt, list_reduce(
+    list_transform(src, lambda t: {{'j': 0::BIGINT, 'gap': 0::BIGINT, 'i': 0::BIGINT, 'tok': t, 'edits': [{{'kind': '', 'phrase': '', 'slot': 0::BIGINT}}]}}),
+    lambda acc, x: list_transform([CASE WHEN acc.j >= len(tgt) THEN -1 WHEN tgt[acc.j + 1] = x.tok THEN 0
+        ELSE coalesce(list_filter(range(1, longest + 1), lambda n: tgt[acc.j + n + 1] = x.tok
+          AND list_contains(ph, array_to_string(tgt[acc.j + 1:acc.j + n], ' ')))[1], -1) END],
+      lambda n: {{'j': CASE WHEN n >= 0 THEN acc.j + n + 1 ELSE acc.j END, 'gap': CASE WHEN n >= 0 THEN acc.i + 1 ELSE acc.gap END,
+        'i': acc.i + 1, 'tok': '', 'edits': list_append(acc.edits, {{'kind': CASE WHEN n >= 0 THEN 'KEEP' ELSE 'DELETE' END,
+          'phrase': CASE WHEN n > 0 THEN array_to_string(tgt[acc.j + 1:acc.j + n], ' ') ELSE '' END, 'slot': acc.gap}})}})[1],
+    {{'j': 0::BIGINT, 'gap': 0::BIGINT, 'i': 0::BIGINT, 'tok': '', 'edits': [{{'kind': '', 'phrase': '', 'slot': 0::BIGINT}}]}}) AS done
+  FROM tasks, ph WHERE len(src) > 0), tagged AS (
+  SELECT id, list_transform(edits, lambda e, p: e.kind || CASE WHEN list_contains(slots, p - 1)
+      THEN '|' || list_filter(edits, lambda q: q.slot = p - 1 AND q.phrase <> '')[1].phrase ELSE '' END) AS tags
+  FROM (SELECT id, done.edits[2:] AS edits, list_transform(list_filter(done.edits, lambda e: e.phrase <> ''), lambda e: e.slot) AS slots
+        FROM walked WHERE done.j = len(tgt)))"""
+TAG_PAIRS = f"""WITH {RUNS}, tasks AS (
+  SELECT pair_id AS id, list_transform(toks, lambda t: lower(t)) AS src, list_transform(edits, lambda x: lower(x.t)) AS tgt
+  FROM edit_pairs), {_WALK}
+SELECT pair_id, coalesce(array_to_string(tags, ' '), '') AS tags, tags IS NOT NULL AS feasible, false AS swapped
+FROM edit_pairs LEFT JOIN tagged ON id = pair_id"""
+
+
 def tag_fusion(spark, sf):
     tagged = tagging.tag_pairs(v.fusion(spark, sf), _label_map(spark, sf))
     return tagged.select("pair_id", F.array_join("tags", " ").alias("tags"), "feasible", "swapped")
 
 
+_ORDERED = "CASE WHEN substr(md5(concat('5:', pair_id)), 1, 1) < '8' THEN list_concat(two, one) ELSE list_concat(one, two) END"
+TAG_FUSION = f"""WITH {RUNS}, {v.FUSION.split(f'{v.LINES}, ')[1]}, aimed AS (
+  SELECT pair_id, one, two, list_transform({v.sql_edited(v.sql_hashed(_ORDERED, 'pair_id'), v.TARGET)}, lambda x: lower(x.t)) AS tgt FROM fusion), tasks AS (
+  SELECT pair_id * 2 AS id, list_transform(list_concat(one, two), lambda t: lower(t)) AS src, tgt FROM aimed
+  UNION ALL SELECT pair_id * 2 + 1, list_transform(list_concat(two, one), lambda t: lower(t)), tgt FROM aimed WHERE len(two) > 0), {_WALK}, turned AS (
+  SELECT pair_id, len(one) AS last, list_concat(tags[len(two) + 1:], tags[:len(two)]) AS tags FROM aimed JOIN tagged ON id = pair_id * 2 + 1), swaps AS (
+  SELECT pair_id, list_concat(tags[:last - 1], ['SWAP' || substr(tags[last], strpos(tags[last] || '|', '|'))], tags[last + 1:]) AS tags FROM turned)
+SELECT f.pair_id, coalesce(array_to_string(coalesce(t.tags, s.tags), ' '), '') AS tags, coalesce(t.tags, s.tags) IS NOT NULL AS feasible,
+  t.tags IS NULL AND s.tags IS NOT NULL AS swapped
+FROM fusion f LEFT JOIN tagged t ON t.id = f.pair_id * 2 LEFT JOIN swaps s ON s.pair_id = f.pair_id"""
+
+
 def tag_round_trip(spark, sf):
     """Feasible rows whose realised text is not the target, case aside: always none."""
     tagged = tagging.apply_infeasible_policy(tagging.tag_pairs(_sources(spark, sf), _label_map(spark, sf)), "train")
@@ -247,8 +283,8 @@ QUERIES = {
     "added_phrases": (added_phrases, None),
     "added_phrases_swap": (added_phrases_swap, None),
     "mined_vocabulary": (mined_vocabulary, None),
-    "tag_pairs": (tag_pairs, None),
-    "tag_fusion": (tag_fusion, None),
+    "tag_pairs": (tag_pairs, TAG_PAIRS),
+    "tag_fusion": (tag_fusion, TAG_FUSION),
     "tag_round_trip": (tag_round_trip, TAG_ROUND_TRIP),
     "realize": (realize, REALIZE),
     "infeasible_tune": (infeasible_tune, INFEASIBLE_TUNE),

@@ -227,7 +227,7 @@ def read_qa_json(spark, sf):
         F.array(F.struct(F.substring("text", 1, 5).alias("text"), F.lit(0).alias("answer_start"))).alias("answers"),
     )
     paragraph = F.struct(F.col("text").alias("context"), F.array(qa).alias("qas"))
-    # one file per document: the nested format cannot be split
+
     entry = F.struct(F.array(F.struct(F.lit("t").alias("title"), F.array(paragraph).alias("paragraphs"))).alias("data"))
     lines = docs.select(F.to_json(entry).alias("value"))
     lines.write.text(path)
