@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redpen.operators import clusters, pairs, ratings, sampling, scoring, spans
-from redpen.plans import edit_queries as e, pair_queries as p, score_queries as s, span_queries as q, views as v
+from redpen.plans import edit_queries as e, feature_queries as f, pair_queries as p, score_queries as s, span_queries as q, views as v
 from redpen.plans.pair_queries import _rounded
 from redpen.session import staged_path
 from redpen.sources import readers, writers
@@ -240,6 +240,66 @@ QA_JSON = """SELECT doc_id::VARCHAR AS question_id, text AS context, substr(text
 FROM documents WHERE length(text) > 0"""
 
 
+def read_headline_csvs(spark, sf):
+    wide, short = staged_path(spark, "wide-csv"), staged_path(spark, "short-csv")
+    quoted = {"header": True, "quote": '"', "escape": '"', "encoding": "ISO-8859-1", "quoteAll": True, "emptyValue": ""}
+    latin = lambda c: F.regexp_replace(c, r"[^\x00-\xff]", "?")
+    chat = v.chat_pairs(spark, sf).select(latin("source").alias("text"), latin("target").alias("headlines"))
+    chat.select(F.lit("a").alias("author"), "headlines", "text").write.csv(wide, **quoted)
+    chat.select("headlines", "text").write.csv(short, **quoted)
+    return readers.read_headline_csvs(spark, wide, short).select("source", "target")
+
+
+_LATIN = "regexp_replace({}, '[^\\x00-\\x{{ff}}]', '?', 'g')"
+HEADLINES = f"""WITH {v.CHAT_PAIRS}, latin AS (SELECT {_LATIN.format('source')} AS source, {_LATIN.format('target')} AS target FROM chat_pairs)
+SELECT source, target FROM latin UNION ALL SELECT source, target FROM latin"""
+
+
+def read_title_tldr(spark, sf):
+    path = staged_path(spark, "tldr")
+    v.chat_pairs(spark, sf).select(F.col("source").alias("tldr"), F.col("target").alias("title"), F.lit(1).alias("ups")).write.json(path)
+    return readers.read_title_tldr(spark, path).select("source", "target")
+
+
+def read_acceptability(spark, sf):
+    path = staged_path(spark, "acceptability")
+    rows = pairs.clean_text(v.class_predictions(spark, sf), ["text"])
+    rows.select(F.lit("src"), F.col("target").cast("string"), F.lit("*"), "text").write.csv(path, **writers.QUOTED)
+    return readers.read_acceptability(spark, path).select("text", "label")
+
+
+def read_labelled_pairs(spark, sf):
+    """The five-column layout with a header in every file."""
+    path = staged_path(spark, "labelled")
+    halves = v.fusion(spark, sf).filter(F.size("sources") == 2)
+    label = F.when(v.digit(71, 1, F.col("pair_id")) < "8", "0").otherwise("1")
+    halves.select(
+        label.alias("quality"), F.lit("1").alias("id_1"), F.lit("2").alias("id_2"),
+        F.col("sources")[0].alias("string_1"), F.col("sources")[1].alias("string_2"),
+    ).write.csv(path, header=True, **RAW)
+    return readers.read_labelled_pairs(spark, path, "mrpc").select("text_a", "text_b", "label")
+
+
+LABELLED = f"""WITH {v.FUSION} SELECT array_to_string(one, ' ') AS text_a, array_to_string(two, ' ') AS text_b,
+  CASE WHEN {v.sql_digit(71, 1, 'pair_id')} < '8' THEN '0' ELSE '1' END AS label FROM fusion WHERE len(two) > 0"""
+
+
+def read_vocab(spark, sf):
+    path = staged_path(spark, "vocab")
+    f.word_vocabulary(spark, sf).coalesce(1).sortWithinPartitions("token_id").select("token").write.text(path)
+    return readers.read_vocab(spark, path)
+
+
+def write_coverage_log(spark, sf):
+    path = staged_path(spark, "coverage")
+    writers.write_coverage_log(e.coverage_curve(spark, sf), path)
+    back = spark.read.csv(path, schema="k bigint, freq bigint, coverage string, phrase string", header=True, sep="\t")
+    return back.select("k", "freq", "phrase")
+
+
+COVERAGE_LOG = f"SELECT k, freq, phrase FROM ({e.COVERAGE})"
+
+
 QUERIES = {
     "read_pairs": (read_pairs, PAIRS),
     "write_pairs": (write_pairs, PAIRS),
@@ -250,6 +310,12 @@ QUERIES = {
     "read_predictions": (read_predictions, PREDICTIONS),
     "read_sentence_documents": (read_sentence_documents, DOCUMENTS),
     "read_bar_pairs": (read_bar_pairs, BARS),
+    "read_headline_csvs": (read_headline_csvs, HEADLINES),
+    "read_title_tldr": (read_title_tldr, f"WITH {v.CHAT_PAIRS} SELECT source, target FROM chat_pairs"),
+    "read_acceptability": (read_acceptability, CLASS_ROWS),
+    "read_labelled_pairs": (read_labelled_pairs, LABELLED),
+    "read_vocab": (read_vocab, f"WITH {f.VOCAB} SELECT token, token_id FROM vocab"),
+    "write_coverage_log": (write_coverage_log, COVERAGE_LOG),
     "read_keyword_table": (read_keyword_table, KEYWORDS),
     "read_class_rows": (read_class_rows, CLASS_ROWS),
     "read_class_predictions": (read_class_predictions, s.CLASS_REPORT),

@@ -8,7 +8,7 @@ from redpen.functions import text
 from redpen.functions.hashing import below
 from redpen.operators import masked_lm, spans, windows
 from redpen.plans import views as v
-from redpen.plans.feature_queries import pieces
+from redpen.plans.feature_queries import FEATURE_ROWS, _sql_padded, pieces
 from redpen.plans.pair_queries import _rounded
 from redpen.session import stage
 
@@ -354,6 +354,53 @@ SELECT inst_id, string_agg(CASE WHEN NOT chosen THEN t WHEN u < 0.8 THEN '[MASK]
 FROM shown GROUP BY inst_id"""
 
 
+LINE_LEN, LINE_MASKS, LETTERS4 = 48, 8, ["a", "b", "c", "d"]
+
+
+def instance_features(spark, sf):
+    """Both halves of every line as an instance: cut at random ends, masked, encoded, padded."""
+    vocab = pieces(spark, sf)
+    side = lambda i: F.flatten(vocab.pieces(text.tokens(F.coalesce(F.get("sources", F.lit(i)), F.lit("")))))
+    rows = v.fusion(spark, sf).select(
+        F.col("pair_id").alias("inst_id"), side(0).alias("a"), side(1).alias("b"), (F.size("sources") == 1).alias("is_random_next")
+    )
+    cut = masked_lm.instances(masked_lm.truncate_pair(rows, LINE_LEN - 3, SEED))
+    masked = masked_lm.mask_lm(cut, LETTERS4, 0.15, LINE_MASKS, SEED)
+    done = masked_lm.instance_features(masked, vocab, LINE_LEN, LINE_MASKS)
+    return done.select(
+        "inst_id", *[_ints(c) for c in ("input_ids", "input_mask", "segment_ids", "masked_lm_positions", "masked_lm_ids")],
+        F.aggregate("masked_lm_weights", F.lit(0.0), lambda acc, w: acc + w).cast("bigint").alias("n_masked"), "next_sentence_label",
+    )
+
+
+def _sql_front(col: str, surplus: str) -> str:
+    return f"len(list_filter(range(1, {surplus} + 1), lambda j: substr(md5(concat('{SEED}:', inst_id, ':{col}:', j)), 1, 1) < '8'))"
+
+
+_LINE_ROOM = LINE_LEN - 3
+INSTANCES = f"""WITH RECURSIVE {FEATURE_ROWS}, sides AS (
+  SELECT pair_id, list(piece ORDER BY r) FILTER (i < n_one) AS a, list(piece ORDER BY r) FILTER (i >= n_one) AS b FROM numbered GROUP BY pair_id), texts AS (
+  SELECT pair_id AS inst_id, len(two) = 0 AS single, coalesce(a, []) AS a, coalesce(b, []) AS b FROM fusion LEFT JOIN sides USING (pair_id)), sized AS (
+  SELECT *, CASE WHEN len(a) + len(b) <= {_LINE_ROOM} THEN len(a) WHEN len(b) <= {_LINE_ROOM // 2} THEN {_LINE_ROOM} - len(b)
+    ELSE least(len(a), {_LINE_ROOM - _LINE_ROOM // 2}) END AS na FROM texts), ends AS (
+  SELECT *, CASE WHEN len(a) + len(b) <= {_LINE_ROOM} THEN len(b) ELSE {_LINE_ROOM} - na END AS nb FROM sized), cut_ends AS (
+  SELECT *, {_sql_front('a', '(len(a) - na)')} AS fa, {_sql_front('b', '(len(b) - nb)')} AS fb FROM ends), inst AS (
+  SELECT inst_id, single, na + 2 AS head, na + nb + 3 AS n,
+    list_concat(['[CLS]'], a[fa + 1:fa + na], ['[SEP]'], b[fb + 1:fb + nb], ['[SEP]']) AS tokens FROM cut_ends), spots AS (
+  SELECT inst_id, n, unnest(tokens) AS t, unnest(range(0, n)) AS i FROM inst), ranks AS (
+  SELECT *, CASE WHEN t IN ('[CLS]', '[SEP]') THEN 1000000 ELSE row_number() OVER (
+    PARTITION BY inst_id ORDER BY t IN ('[CLS]', '[SEP]'), {_H}, i) END AS k FROM spots), chosen AS (
+  SELECT *, k <= least({LINE_MASKS}, greatest(1, round_even(n * 0.15::DOUBLE, 0))) AS hit, {v.sql_uniform(SEED, 'inst_id', 'i', "'kind'")} AS u,
+    ['a', 'b', 'c', 'd'][floor({v.sql_uniform(SEED, 'inst_id', 'i', "'word'")} * 4)::INT + 1] AS w FROM ranks), encoded AS (
+  SELECT c.inst_id, list(s.token_id ORDER BY i) AS ids, coalesce(list(i ORDER BY i) FILTER (hit), []) AS spots, coalesce(list(o.token_id ORDER BY i) FILTER (hit), []) AS labels
+  FROM chosen c JOIN vocab o ON o.token = t JOIN vocab s
+    ON s.token = CASE WHEN NOT hit THEN t WHEN u < 0.8 THEN '[MASK]' WHEN u < 0.9 THEN t ELSE w END GROUP BY c.inst_id)
+SELECT inst_id, {_sql_padded('ids', LINE_LEN)} AS input_ids, {_sql_padded('list_transform(ids, lambda x: 1)', LINE_LEN)} AS input_mask,
+  {_sql_padded('list_transform(range(0, n), lambda i: (i >= head)::INT)', LINE_LEN)} AS segment_ids, {_sql_padded('spots', LINE_MASKS)} AS masked_lm_positions,
+  {_sql_padded('labels', LINE_MASKS)} AS masked_lm_ids, len(spots) AS n_masked, single::INT AS next_sentence_label
+FROM encoded JOIN inst USING (inst_id)"""
+
+
 def training_instances(spark, sf):
     """Masked rows of fixed length from whole documents: cut, paired, masked as whole words, encoded."""
     vocab = pieces(spark, sf)
@@ -380,5 +427,6 @@ QUERIES = {
     "pack_sentences": (pack_sentences, PACK),
     "random_next": (random_next, RANDOM_NEXT),
     "mask_lm": (mask_lm, MASK_LM),
+    "instance_features": (instance_features, INSTANCES),
     "training_instances": (training_instances, None),
 }
