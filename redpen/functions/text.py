@@ -9,6 +9,16 @@ SPACE = r"[\s\x1c-\x1f]"
 SPACES = rf"(?U){SPACE}+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Catalyst may move a column's expression into a lambda that uses it, where it would run
+    again for every element; a lambda variable stays what it is. Not for columns that go
+    into a kernel: its arguments must not hold lambdas that use outer lambda variables.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace token list without empty entries."""
     return F.filter(F.split(text, SPACES), lambda t: t != "")

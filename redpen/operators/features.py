@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
@@ -159,11 +161,13 @@ def edit_features(
     )
 
 
-def token_labels(labels: Column, mask: Column, starts: Column, keep_id: int) -> Column:
-    """Label of each token at its first piece; cut or unmasked tokens are kept."""
+def token_labels(labels: Column, unmasked: Callable[[Column], Column], starts: Column, keep_id: int) -> Column:
+    """Label of each token at its first piece; cut or masked tokens are kept.
+
+    ``unmasked`` tells for a position whether its label counts.
+    """
     return F.transform(
-        starts,
-        lambda at: F.when(F.coalesce(F.get(mask, at), F.lit(0)) != 0, F.get(labels, at)).otherwise(F.lit(keep_id)),
+        starts, lambda at: F.coalesce(F.when(unmasked(at), F.get(labels, at)), F.lit(keep_id))
     )
 
 

@@ -74,9 +74,8 @@ def predict_table(
     tagged = apply_infeasible_policy(feature_tokens(df), "predict")
     rows = edit_features(tagged, vocab, ids, max_len, embedding, keep=(key, "sources", "target"))
     scored = rows.withColumn("pred", _predicted(factory, "array<int>", batch))
-    n = F.size("pred")
-    mask = F.transform("pred", lambda p, i: F.when((i > 0) & (i < n - 1), 1).otherwise(0))
-    labels = token_labels(F.col("pred"), mask, F.col("token_starts"), ids["KEEP"])
+    inner = lambda at: (at > 0) & (at < F.size("pred") - 1)
+    labels = token_labels(F.col("pred"), inner, F.col("token_starts"), ids["KEEP"])
     tags = F.transform(labels, lambda i: F.get(by_id, i))
     return realize(scored.withColumn("tags", tags), out="prediction").select(
         key, "sources", "target", "prediction"

@@ -73,7 +73,8 @@ def conversion_report(df: DataFrame) -> DataFrame:
 
 def tag_report(df: DataFrame) -> DataFrame:
     """``tag, kind, uses`` over the converted rows; counts combine map-side."""
-    used = df.filter("feasible").select(F.explode("tags").alias("tag"))
+    # an outer explode: a plain one would add a filter that computes the tags a second time
+    used = df.filter("feasible").select(F.explode_outer("tags").alias("tag")).filter(F.col("tag").isNotNull())
     return used.groupBy("tag").agg(F.count(F.lit(1)).alias("uses")).select("tag", tag_kind(F.col("tag")).alias("kind"), "uses")
 
 

@@ -178,10 +178,12 @@ def generated_tags(spark, sf):
 
     step = v.fusion(spark, sf).drop("target").withColumn("tokens", tagging.source_tokens(F.col("sources")))
     step = step.withColumn("tags", F.transform(F.transform("tokens", lambda t, i: v.digit(21, 1, key, i)), tag))
-    last = F.size(text.tokens(F.get("sources", F.lit(0)))) - 1
+    last = F.size(text.tokens(F.get("sources", F.lit(0))))
     swap = (F.size("sources") == 2) & (v.digit(22, 1, key) < "8")
     return step.withColumn(
-        "tags", F.when(swap, F.transform("tags", lambda t, i: F.when(i == last, "SWAP").otherwise(t))).otherwise(F.col("tags"))
+        "tags",
+        F.when(swap, F.concat(F.slice("tags", F.lit(1), last - 1), F.array(F.lit("SWAP")), F.slice("tags", last + 1, F.size("tags"))))
+        .otherwise(F.col("tags")),
     )
 
 
