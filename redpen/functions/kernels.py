@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
@@ -240,47 +239,60 @@ def word_pieces(word: str, vocab, longest: int = 200) -> list[str]:
     return pieces
 
 
-def pieces_udf(vocab, lower: bool = True):
-    """Token list -> one list of word pieces per token; ``vocab`` is a broadcast set.
+MEMO_SIZE = 200_000  # tokens a task remembers from one batch to the next
+
+
+def token_cutter(vocab, lower: bool):
+    """Tokens (Arrow) -> lists of word pieces; ``vocab`` is a broadcast set.
 
-    Each batch is dictionary-encoded first, so a token is cut once however often it occurs.
+    Batches are dictionary-encoded, so a token is cut once however often it occurs, and
+    the task remembers the tokens of earlier batches up to a fixed number.
     """
-    per_token = pa.list_(pa.string())
+    memo: dict[str, list[str]] = {}
 
-    @kernel("array<array<string>>")
-    def cut(token_lists: pa.Array) -> pa.Array:
+    def cut(tokens: pa.Array) -> pa.Array:
         known = vocab.value
+        coded = pc.dictionary_encode(tokens)
+        if len(memo) > MEMO_SIZE:
+            memo.clear()
+        pieces = []
+        for token in coded.dictionary.to_pylist():
+            found = memo.get(token)
+            if found is None:
+                found = [p for word in basic_tokens(token, lower) for p in word_pieces(word, known)]
+                memo[token] = found
+            pieces.append(found)
+        return pa.array(pieces, pa.list_(pa.string())).take(coded.indices)
 
-        @lru_cache(maxsize=100_000)
-        def pieces_of(token: str) -> list[str]:
-            return [p for word in basic_tokens(token, lower) for p in word_pieces(word, known)]
+    return cut
 
-        coded = pc.dictionary_encode(token_lists.flatten())
-        distinct = pa.array([pieces_of(t) for t in coded.dictionary.to_pylist()], per_token)
-        return pa.ListArray.from_arrays(_offsets(token_lists), distinct.take(coded.indices))
 
-    return cut
+def pieces_udf(vocab, lower: bool = True):
+    """Token list -> one list of word pieces per token."""
+    cut = token_cutter(vocab, lower)
+
+    @kernel("array<array<string>>")
+    def pieces(token_lists: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(_offsets(token_lists), cut(token_lists.flatten()))
+
+    return pieces
 
 
 def sentence_pieces_udf(vocab, lower: bool = True):
     """Sentences as token lists -> the same sentences as flat piece lists."""
 
+    cut = token_cutter(vocab, lower)
+
     @kernel("array<array<string>>")
-    def cut(documents: pa.Array) -> pa.Array:
-        known = vocab.value
+    def pieces(documents: pa.Array) -> pa.Array:
         sentences = documents.flatten()
-        coded = pc.dictionary_encode(sentences.flatten())
-        distinct = pa.array(
-            [[p for w in basic_tokens(t, lower) for p in word_pieces(w, known)] for t in coded.dictionary.to_pylist()],
-            pa.list_(pa.string()),
-        )
-        tokens = distinct.take(coded.indices)
+        tokens = cut(sentences.flatten())
         token_at = _offsets(sentences).to_numpy()
         piece_at = _offsets(tokens).to_numpy()[token_at]
         pieced = pa.ListArray.from_arrays(pa.array(piece_at), tokens.flatten())
         return pa.ListArray.from_arrays(_offsets(documents), pieced)
 
-    return cut
+    return pieces
 
 
 def _offsets(lists: pa.Array) -> pa.Array:

@@ -13,29 +13,39 @@ EDGE_ROWS = 1 << 14  # rows ordered exactly once the histogram has narrowed the
 HOT_KEYS = 1024  # keys joined by broadcast; any other key holds less than 1/1024 of the rows
 
 
-def nth_lowest(df: DataFrame, rank: Column, key: str, n: int, low: int, high: int) -> tuple:
-    """The (rank, key) of the n-th row in (rank, key) order; ``low..high`` bounds ``rank``.
+def nth_lowest(df: DataFrame, rank: Column, key: str, ns: list[int], low: int, high: int) -> list[tuple]:
+    """The (rank, key) of the n-th rows in (rank, key) order; ``low..high`` bounds ``rank``.
 
-    Each pass counts rows per slice of the range (65 536 partial sums, combined map-side)
-    and goes on with the slice that holds the n-th row, so only that slice is sorted.
+    A pass counts rows per slice of the range (at most 65 536 counts, combined map-side)
+    and goes on with the slice that holds the n-th row, so only that slice is ordered. The
+    first pass serves all of ``ns``; a second is rarely needed.
     """
     keyed = df.select(rank.alias("rank"), F.col(key).alias("key"))
-    while True:
+    passes: dict[tuple[int, int], list] = {}
+
+    def counts(low: int, high: int, width: int) -> list:
+        if (low, high) not in passes:
+            inside = keyed.filter(F.col("rank").between(low, high))
+            sliced = inside.groupBy(F.expr(f"(rank - {low}) div {width}").alias("slice"))
+            passes[low, high] = sorted(sliced.agg(F.count(F.lit(1)).alias("n")).collect())
+        return passes[low, high]
+
+    def find(n: int, low: int, high: int) -> tuple:
         width = (high - low) // BUCKETS + 1
-        inside = keyed.filter(F.col("rank").between(low, high))
-        counts = inside.groupBy(F.expr(f"(rank - {low}) div {width}").alias("slice")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
-        up_to = F.sum("n").over(Window.orderBy("slice"))
-        hit = (
-            counts.withColumn("upto", up_to).filter(F.col("upto") >= n).orderBy("slice").first()
-        )
-        n -= hit.upto - hit.n
-        low, high = low + hit.slice * width, low + (hit.slice + 1) * width - 1
-        if hit.n <= EDGE_ROWS or width == 1:
-            edge = keyed.filter(F.col("rank").between(low, high)).orderBy("rank", "key")
-            last = edge.offset(n - 1).first() if n > 1 else edge.first()
-            return last["rank"], last["key"]
+        left = n
+        for at, held in counts(low, high, width):
+            if left <= held:
+                break
+            left -= held
+        else:
+            raise ValueError(f"{n} rows exceed the total sample size of {n - left}")
+        low, high = low + at * width, low + (at + 1) * width - 1
+        if held > EDGE_ROWS and width > 1:
+            return find(left, low, high)
+        edge = keyed.filter(F.col("rank").between(low, high)).orderBy("rank", "key")
+        return tuple((edge.offset(left - 1) if left > 1 else edge).first())
+
+    return [find(n, low, high) for n in ns]
 
 
 def not_above(rank: Column, key: str, edge: tuple) -> Column:

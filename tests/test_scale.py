@@ -29,13 +29,15 @@ def ids(spark, values):
 def test_nth_lowest(spark, small_limits, n):
     rng = random.Random(n)
     values = [rng.randrange(-1000, 1 << 40) for _ in range(99)] + [1 << 60]
-    edge = ranking.nth_lowest(ids(spark, values), F.col("id"), "id", n, min(values), max(values))
+    edge = ranking.nth_lowest(ids(spark, values), F.col("id"), "id", [n], min(values), max(values))[0]
     assert edge[0] == sorted(values)[n - 1]
 
 
 def test_nth_lowest_with_equal_ranks(spark, small_limits):
-    edge = ranking.nth_lowest(ids(spark, range(100)), F.lit(5).cast("bigint"), "id", 40, 0, 1000)
-    assert edge == (5, 39)
+    edge = ranking.nth_lowest(ids(spark, range(100)), F.lit(5).cast("bigint"), "id", [40, 100], 0, 1000)
+    assert edge == [(5, 39), (5, 99)]
+    with pytest.raises(ValueError):
+        ranking.nth_lowest(ids(spark, range(100)), F.col("id"), "id", [101], 0, 99)
 
 
 def test_split_counts_and_errors(spark):
@@ -155,3 +157,14 @@ def test_no_cross_join(spark, name):
 def test_pushdown(spark):
     plan = plan_of(CATALOG["roc_auc"][0](spark, SF))
     assert "text" not in "".join(re.findall(r"ReadSchema: \S+", plan))
+
+
+def test_nbest_is_cut_before_the_shuffle(spark):
+    assert "WindowGroupLimit" in plan_of(CATALOG["nbest_answers"][0](spark, SF))
+
+
+def test_split_of_an_empty_table(spark):
+    empty = ids(spark, range(3)).filter("id > 5")
+    assert sampling.split_dataset(empty, 0, 0, "id").count() == 0
+    with pytest.raises(ValueError):
+        sampling.split_dataset(empty, 1, 0, "id")
