@@ -1,4 +1,4 @@
-"""Executors need not have the package: kernels run when started from another folder."""
+"""Executors need not have the package, and staged tables go to the folder the session names."""
 
 import subprocess
 import sys
@@ -8,7 +8,8 @@ SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {shared!r}).getOrCreate()
 import __spark_entry__
 for name in ("added_phrases", "predict_table", "training_instances"):
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
@@ -17,7 +18,9 @@ for name in ("added_phrases", "predict_table", "training_instances"):
 
 def test_kernels_without_the_package(tmp_path):
     root = str(Path(__file__).resolve().parent.parent)
+    shared = tmp_path / "shared"
     done = subprocess.run(
-        [sys.executable, "-c", SCRIPT.format(root=root)], cwd=tmp_path, capture_output=True, text=True, timeout=300
+        [sys.executable, "-c", SCRIPT.format(root=root, shared=str(shared))], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert done.returncode == 0, done.stderr[-2000:]
+    assert list(shared.glob("sentences-*"))

@@ -109,7 +109,7 @@ def test_repair(given, repaired):
     assert " ".join(kernels.repaired_tokens(given.split())) == repaired
 
 
-def reference_repair(words):
+def plain_repair(words):
     """Plain restatement, decision by decision, for random comparison."""
     keep, started, run = [], False, False
     stacks = {o: [] for o in "{[(\"'"}
@@ -144,7 +144,7 @@ def test_repair_random():
     rng = random.Random(1)
     for _ in range(2000):
         words = [rng.choice(["a", "b", ".", ",", "?", "[", "]", "(", ")", '"', "'"]) for _ in range(rng.randrange(9))]
-        assert kernels.repaired_tokens(words) == reference_repair(words)
+        assert kernels.repaired_tokens(words) == plain_repair(words)
 
 
 def test_clean_predictions(spark):
