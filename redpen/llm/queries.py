@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import topk
+from redpen.llm import pii, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op4_pii_deobfuscation(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf, "documents"), "doc_id", "text")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    base = F.filter("personal", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("personal")).alias("spans")
+    )
+
+
 def op10_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -29,5 +42,6 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 QUERIES = {
+    "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
