@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import pii, topk
+from redpen.llm import pii, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op4_pii_deobfuscation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_rans_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    out = tokens.token_file_path(spark)
+    tokens.write_tokens(table(spark, sf, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), out)
+    return tokens.read_tokens(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -43,5 +51,6 @@ WHERE rank <= 10"""
 
 QUERIES = {
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
+    "op5_rans_tokens": (op5_rans_tokens, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
