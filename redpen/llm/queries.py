@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import pii, tokens, topk
+from redpen.llm import pieces, pii, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,21 @@ def op5_rans_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read_tokens(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids and log score of every document, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    vocabulary = pieces.Vocabulary.load(path)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", "text", pieces.encode_column(F.col("text"), vocabulary).alias("found"))
+    decoded = found.select("doc_id", "text", "found", pieces.decode_column(F.col("found.ids"), vocabulary).alias("decoded"))
+    plain = F.coalesce(F.translate("text", pieces.MARKER, " "), F.lit(""))
+    return decoded.select(
+        "doc_id", "found.ids", F.size("found.ids").cast("long").alias("n_pieces"), "found.score", (F.col("decoded") == plain).alias("round_trip")
+    )
+
+
 def op10_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -52,5 +67,6 @@ WHERE rank <= 10"""
 QUERIES = {
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
+    "op7_unigram_pieces": (op7_unigram_pieces, None),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from redpen.llm.batches import parts as parts_of
 from redpen.session import staged_path
 
 BITS = 18  # the frequencies of all symbols add up to 2**BITS
@@ -239,8 +240,7 @@ def _raw_blocks(path: str, end_id: int):
             }], _RAW)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                rows = batch.slice(low, 1024)
+            for rows in parts_of(batch, "text"):
                 shard = rows["shard"][0].as_py()
                 ids, lengths = encoder.encode([t or "" for t in rows["text"].to_pylist()])
                 at = 0
