@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import pieces, pii, tokens, topk
+from redpen.llm import chat, pieces, pii, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,6 +47,40 @@ def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations as mail with nested quotes; the operator has to find replies and bodies again."""
+    rows = chat.reply_ordered(chat.mail_view(table(spark, sf, "conversations")))
+    one = rows.select("conv_id", "thread", "segment", F.explode("messages").alias("m"))
+    return one.select("conv_id", "m.turn", "m.role", "m.body", "m.reply_to", "thread", "m.depth", "m.quoted", "segment")
+
+
+# the answer comes from the table itself: no quote is parsed
+OP9_SQL = """
+WITH RECURSIVE own AS (
+  SELECT *, CASE WHEN turn % 4 = 3 THEN turn - 2 WHEN turn > 0 THEN turn - 1 END AS answers FROM conversations),
+said AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS passage
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations)),
+firsts AS (SELECT conv_id, passage, min(turn) AS original FROM said WHERE passage <> '' GROUP BY ALL),
+votes AS (
+  SELECT o.conv_id, o.turn, f.original, count(*) AS n
+  FROM own o JOIN said s ON s.conv_id = o.conv_id AND s.turn = o.answers
+  JOIN firsts f ON f.conv_id = s.conv_id AND f.passage = s.passage AND f.original < o.turn GROUP BY ALL),
+chosen AS (
+  SELECT conv_id, turn, original, n FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, original DESC) AS r FROM votes) WHERE r = 1),
+links AS (
+  SELECT o.conv_id, o.turn, coalesce(c.original, b.turn) AS parent, coalesce(c.n, 0) AS quoted
+  FROM own o LEFT JOIN chosen c ON c.conv_id = o.conv_id AND c.turn = o.turn
+  LEFT JOIN own b ON b.conv_id = o.conv_id AND b.turn = o.turn - 1),
+tree AS (
+  SELECT conv_id, turn, turn AS thread, 0::BIGINT AS depth FROM links WHERE parent IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, t.thread, t.depth + 1 FROM links l JOIN tree t ON t.conv_id = l.conv_id AND l.parent = t.turn)
+SELECT o.conv_id, o.turn, o.role, o.text AS body, l.parent AS reply_to, t.thread, t.depth, l.quoted::BIGINT AS quoted,
+       floor(o.turn / 64.0)::BIGINT AS segment
+FROM own o JOIN links l ON l.conv_id = o.conv_id AND l.turn = o.turn JOIN tree t ON t.conv_id = o.conv_id AND t.turn = o.turn"""
+
+
 def op10_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0)
@@ -68,5 +102,6 @@ QUERIES = {
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
     "op7_unigram_pieces": (op7_unigram_pieces, None),
+    "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
