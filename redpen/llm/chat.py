@@ -13,7 +13,7 @@ from redpen.session import stage
 
 SEGMENT_TURNS = 64  # turns of a conversation that are put in one row
 
-MARKS = r"^(?:[ \t]{0,3}>)+ ?"
+MARKS = r"^(?=[ \t]{0,3}>)[ \t>]*"
 # How mail programs announce a quotation.
 ATTRIBUTION = r"(?i)^.{0,200}(wrote|schrieb|écrit|escribió)[^:]{0,80}:\s*$"
 
