@@ -30,7 +30,7 @@ BITS = 18  # the frequencies of all symbols add up to 2**BITS
 LANES = 1024
 BLOCK_IDS = 1 << 18  # a block ends with the document that reaches this size
 CHECKPOINT_STEPS = 128
-MEMO_UNITS = 600_000  # encoded words that a Python worker remembers
+MEMO_UNITS = 250_000  # encoded words that a Python worker remembers
 
 _HEAD = "<4sHHIQIIQII"
 _MAGIC = b"RANS"
