@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, pieces, pii, tokens, topk
+from redpen.llm import chat, mixing, pieces, pii, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# target weights of the domains in op3
+SHARES = {"clean": 0.9, "toxic": 0.04, "poor": 0.06}
+
+
+def op3_soft_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = mixing.quality_domains(table(spark, sf, "labels"))
+    rated = mixing.mix_sources(table(spark, sf, "documents"), labelled, "doc_id", "text", "domain", SHARES, ("source",))
+    return rated.drop("text_hash")
+
+
 def op4_pii_deobfuscation(spark: SparkSession, sf: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -99,6 +109,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 QUERIES = {
+    "op3_soft_mixing": (op3_soft_mixing, None),
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
     "op7_unigram_pieces": (op7_unigram_pieces, None),
