@@ -89,16 +89,23 @@ def threads(links: DataFrame) -> DataFrame:
     Each pass halves the way to the root, so a chain of n replies takes log2(n) passes, and each
     pass joins on single turns: a large conversation is no large key.
     """
-    now = stage(links.withColumns({"up": F.col("parent"), "thread": F.coalesce("parent", "turn"), "depth": F.col("parent").isNotNull().cast("long")}), "replies")
-    while now.filter("up is not null").limit(1).count():
-        above = now.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("thread").alias("_thread"), F.col("depth").alias("_depth"))
+    start = {"up": F.col("parent"), "thread": F.coalesce("parent", "turn"), "depth": F.col("parent").isNotNull().cast("long")}
+    now = stage(links.withColumns(start), "replies")
+    settled = now.filter("up is null")
+    pending = now.filter("up is not null")
+    while pending.limit(1).count():
+        # only messages below the roots found so far move on
+        above = settled.unionByName(pending).select(
+            "conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("thread").alias("_thread"), F.col("depth").alias("_depth")
+        )
         now = stage(
-            now.join(above, ["conv_id", "up"], "left").select(
-                "conv_id", "turn", "parent", "quoted", F.col("_up").alias("up"), F.coalesce("_thread", "thread").alias("thread"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            pending.join(above, ["conv_id", "up"]).select(
+                "conv_id", "turn", "parent", "quoted", F.col("_up").alias("up"), F.col("_thread").alias("thread"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
             ), "replies",
         )
-    return now.drop("up")
+        settled, pending = settled.unionByName(now.filter("up is null")), now.filter("up is not null")
+    return settled.drop("up")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
