@@ -25,8 +25,14 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
-    """Lower-case words between ASCII spaces; null and empty texts have none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
+    """Words between ASCII spaces; null and empty texts have none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+
+
+def feature(word: Column) -> Column:
+    """A word of letters in lower case; of any other word its shape, with runs of letters and digits as one sign."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{N}+", "0")
+    return F.when(word.rlike(r"^[\p{L}.,]+$"), F.lower(word)).otherwise(shape)
 
 
 def bucket(word: Column) -> Column:
@@ -42,7 +48,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, do
     known = labelled.filter(F.col(domain).isin(domains) & F.col(key).isNotNull()).groupBy(key).agg(F.min(domain).alias("_domain"))
     sample = known.orderBy(F.xxhash64(key), key).limit(bound).select(F.col(key).alias("_key"), "_domain")
     taught = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")  # at most ``bound`` small rows
-    counted = taught.select("_domain", F.explode(words(F.col("_text"))).alias("w")).groupBy(bucket(F.col("w")).alias("bucket")).agg(
+    counted = taught.select("_domain", F.explode(words(F.col("_text"))).alias("w")).groupBy(bucket(feature(F.col("w"))).alias("bucket")).agg(
         *[F.count_if(F.col("_domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     )
     counted = stage(counted, "bucket-counts")
@@ -70,7 +76,7 @@ def posteriors(docs: DataFrame, key: str, text: str, weights: DataFrame, priors:
     own = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key), *others, F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("_words")
     )
-    at = own.select("_row", key, *others, "text_hash", F.explode_outer("_words").alias("w")).withColumn("bucket", bucket(F.col("w")))
+    at = own.select("_row", key, *others, "text_hash", F.explode_outer("_words").alias("w")).withColumn("bucket", bucket(feature(F.col("w"))))
     met = at.join(F.broadcast(weights), "bucket", "left")
     sums = met.groupBy("_row", key, *others, "text_hash").agg(
         F.count("w").alias("n_tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
