@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, pieces, pii, tokens, topk
+from redpen.llm import chat, mixing, pieces, pii, suffixtree, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixtree.score_documents(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def op9_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
     """All conversations as mail with nested quotes; the operator has to find replies and bodies again."""
     rows = chat.reply_ordered(chat.mail_view(table(spark, sf, "conversations")))
@@ -113,6 +117,7 @@ QUERIES = {
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
     "op7_unigram_pieces": (op7_unigram_pieces, None),
+    "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
 }
