@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, pieces, pii, suffixtree, tokens, topk
+from redpen.llm import chat, mixing, pieces, pii, quality, suffixtree, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = quality.trusted_labels(table(spark, sf, "labels"))
+    return quality.classify(table(spark, sf, "documents"), trusted, "doc_id", "text", "lang")
+
+
 # target weights of the domains in op3
 SHARES = {"clean": 0.9, "toxic": 0.04, "poor": 0.06}
 
@@ -113,6 +118,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 QUERIES = {
+    "op2_kneser_ney_quality": (op2_kneser_ney_quality, None),
     "op3_soft_mixing": (op3_soft_mixing, None),
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
