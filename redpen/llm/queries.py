@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, pieces, pii, quality, suffixtree, tokens, topk
+from redpen.llm import chat, mixing, neardup, pieces, pii, quality, suffixtree, tokens, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_odd_sketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def op2_kneser_ney_quality(spark: SparkSession, sf: str) -> DataFrame:
     trusted = quality.trusted_labels(table(spark, sf, "labels"))
     return quality.classify(table(spark, sf, "documents"), trusted, "doc_id", "text", "lang")
@@ -118,6 +122,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 QUERIES = {
+    "op1_odd_sketch_dedup": (op1_odd_sketch_dedup, None),
     "op2_kneser_ney_quality": (op2_kneser_ney_quality, None),
     "op3_soft_mixing": (op3_soft_mixing, None),
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
