@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, neardup, pieces, pii, quality, suffixtree, tokens, topk
+from redpen.llm import chat, mixing, neardup, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_rans_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read_tokens(spark, out, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_pruned_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return vectorgraph.near_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and log score of every document, and whether decoding gives the text back."""
     import public_tokenizers
@@ -127,6 +131,7 @@ QUERIES = {
     "op3_soft_mixing": (op3_soft_mixing, None),
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
+    "op6_pruned_graph": (op6_pruned_graph, None),
     "op7_unigram_pieces": (op7_unigram_pieces, None),
     "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
