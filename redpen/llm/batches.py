@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PART_BYTES = 4 << 20  # texts that a task holds as Python objects at a time
+PART_BYTES = 2 << 20  # texts that a task holds as Python objects at a time
 
 
 def parts(batch, column: str, limit: int = PART_BYTES) -> Iterator:
@@ -23,12 +23,6 @@ def parts(batch, column: str, limit: int = PART_BYTES) -> Iterator:
         low = high
 
 
-def text_parts(texts: pa.Array, limit: int = PART_BYTES) -> Iterator[list[str]]:
-    """The same for one column: lists of texts, null as empty."""
-    for part in parts(pa.RecordBatch.from_arrays([texts], ["t"]), "t", limit):
-        yield [t or "" for t in part["t"].to_pylist()]
-
-
 def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from all values one after the other and the size of each list."""
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions.kernels import kernel
-from redpen.llm.batches import lists, text_parts
+from redpen.llm.batches import lists, parts
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0  # below the least probable piece
-CELLS = 1 << 18  # characters segmented together
+CELLS = 1 << 17  # characters segmented together
 
 
 @dataclass
@@ -249,21 +249,22 @@ def decode(pieces: list[bytes], ids: np.ndarray) -> str:
     return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-ENCODED = "struct<ids: array<int>, score: double>"
+def with_pieces(df: DataFrame, text: str, vocabulary: Vocabulary, ids: str = "ids", score: str = "score") -> DataFrame:
+    """All columns, the ids of each text and its log probability. Row-local: no shuffle.
 
-
-def encode_column(text: Column, vocabulary: Vocabulary) -> Column:
-    """``ids, score`` (log probability) of each text; null and empty texts have no ids and score 0."""
-
-    def run(texts: pa.Array) -> pa.Array:
+    Null and empty texts have no ids and score 0. Texts go through in small parts, so a task holds little at a time.
+    """
+    def run(batches):
         segmenter = Segmenter(vocabulary)
-        got = [segmenter.texts(part) for part in text_parts(texts)]
-        if not got:
-            return pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64())]))
-        ids, sizes, scores = (np.concatenate(x) for x in zip(*got))
-        return pa.StructArray.from_arrays([lists(ids, sizes, pa.int32()), pa.array(scores, pa.float64())], ["ids", "score"])
+        for batch in batches:
+            for part in parts(batch, text):
+                found, sizes, scores = segmenter.texts([t or "" for t in part[text].to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, lists(found, sizes, pa.int32()), pa.array(scores, pa.float64())], [*part.schema.names, ids, score]
+                )
 
-    return kernel(ENCODED)(run)(text)
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return df.mapInArrow(run, f"{fields}, `{ids}` array<int>, `{score}` double")
 
 
 def decode_column(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -282,5 +283,5 @@ def encode_pieces(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     Null and empty texts give an empty list. Decoding gives the text back, but for the marker
     character itself, which comes back as a space. Other columns are not read.
     """
-    found = df.select(F.col(key), encode_column(F.col(text), Vocabulary.load(path)).alias("_found"))
-    return found.select(key, "_found.ids", "_found.score")
+    own = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return with_pieces(own, "_text", Vocabulary.load(path)).select(F.col("_key").alias(key), "ids", "score")

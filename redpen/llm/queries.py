@@ -61,13 +61,10 @@ def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     vocabulary = pieces.Vocabulary.load(path)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", "text", pieces.encode_column(F.col("text"), vocabulary).alias("found"))
-    decoded = found.select("doc_id", "text", "found", pieces.decode_column(F.col("found.ids"), vocabulary).alias("decoded"))
+    found = pieces.with_pieces(table(spark, sf, "documents").select("doc_id", "text"), "text", vocabulary)
+    decoded = found.select("*", pieces.decode_column(F.col("ids"), vocabulary).alias("decoded"))
     plain = F.coalesce(F.translate("text", pieces.MARKER, " "), F.lit(""))
-    return decoded.select(
-        "doc_id", "found.ids", F.size("found.ids").cast("long").alias("n_pieces"), "found.score", (F.col("decoded") == plain).alias("round_trip")
-    )
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", (F.col("decoded") == plain).alias("round_trip"))
 
 
 def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
