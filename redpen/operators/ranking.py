@@ -14,10 +14,10 @@ HOT_KEYS = 1024  # keys joined by broadcast; any other key holds less than 1/102
 
 
 def nth_lowest(df: DataFrame, rank: Column, key: str, ns: list[int], low: int, high: int) -> list[tuple]:
-    """The (rank, key) of the n-th rows in (rank, key) order; ``low..high`` bounds ``rank``.
+    """The (rank, key) of the n-th rows in (rank, key) order; ``low..high`` bounds ``rank``. Keys may repeat; null comes first.
 
     A pass counts rows per slice of the range (at most 65 536 counts, combined map-side)
-    and goes on with the slice that holds the n-th row, so only that slice is ordered. The
+    and goes on with the slice that holds the n-th row, until its distinct keys are few. The
     first pass serves all of ``ns``; a second is rarely needed.
     """
     keyed = df.select(rank.alias("rank"), F.col(key).alias("key"))
@@ -26,7 +26,9 @@ def nth_lowest(df: DataFrame, rank: Column, key: str, ns: list[int], low: int, h
     def counts(low: int, high: int, width: int) -> list:
         if (low, high) not in passes:
             inside = keyed.filter(F.col("rank").between(low, high))
-            sliced = inside.groupBy(F.expr(f"(rank - {low}) div {width}").alias("slice"))
+            # a span beyond 63 bits needs wider arithmetic
+            at = f"(rank - {low}L)" if high - low < 1 << 63 else f"(cast(rank as decimal(20, 0)) - cast('{low}' as decimal(20, 0)))"
+            sliced = inside.groupBy(F.expr(f"cast({at} div {width} as bigint)").alias("slice"))
             passes[low, high] = sorted(sliced.agg(F.count(F.lit(1)).alias("n")).collect())
         return passes[low, high]
 
@@ -42,15 +44,69 @@ def nth_lowest(df: DataFrame, rank: Column, key: str, ns: list[int], low: int, h
         low, high = low + at * width, low + (at + 1) * width - 1
         if held > EDGE_ROWS and width > 1:
             return find(left, low, high)
-        edge = keyed.filter(F.col("rank").between(low, high)).orderBy("rank", "key")
-        return tuple((edge.offset(left - 1) if left > 1 else edge).first())
+        # repeated keys are one row here, so a slice that cannot be narrowed is small as well
+        edge = keyed.filter(F.col("rank").between(low, high)).groupBy("rank", "key").agg(F.count(F.lit(1)).alias("n"))
+        for row in edge.orderBy("rank", "key").collect():
+            if left <= row["n"]:
+                return row["rank"], row["key"]
+            left -= row["n"]
+        raise RuntimeError("the input changed between two passes")
 
     return [find(n, low, high) for n in ns]
 
 
-def not_above(rank: Column, key: str, edge: tuple) -> Column:
-    """True for the rows up to and including ``edge``."""
-    return (rank < F.lit(edge[0])) | ((rank == F.lit(edge[0])) & (F.col(key) <= F.lit(edge[1])))
+def _compared(rank: Column, key: str, edge: tuple) -> tuple[Column, Column]:
+    """(below, at) the edge in (rank, key) order with null keys first."""
+    same = rank == F.lit(edge[0])
+    if edge[1] is None:
+        return rank < F.lit(edge[0]), same & F.col(key).isNull()
+    lower = F.coalesce(F.col(key) < F.lit(edge[1]), F.lit(True))
+    return (rank < F.lit(edge[0])) | (same & lower), same & F.coalesce(F.col(key) == F.lit(edge[1]), F.lit(False))
+
+
+def by_sizes(df: DataFrame, rank: Column, key: str, sizes: list[int], low: int, high: int, name: str) -> DataFrame:
+    """Add ``name``: 0 for the first sizes[0] rows in (rank, key) order, 1 for the next sizes[1], and so on; the rest gets len(sizes).
+
+    Sizes are exact whatever the keys: where a border falls among rows with one key, only those rows are
+    numbered, inside their partitions and with the counts of the partitions before. Rows are
+    labelled where they lie. Which of the rows with the same key come first follows the partitions of the input.
+    """
+    upto = [sum(sizes[: i + 1]) for i in range(len(sizes))]
+    wanted = sorted({n for n in upto if n > 0})
+    found = dict(zip(wanted, nth_lowest(df, rank, key, wanted, low, high)))
+    edges = sorted(set(found.values()), key=lambda e: (e[0], e[1] is not None, e[1]))
+    tests = {e: _compared(rank, key, e) for e in edges}
+    tallies = [F.count_if(t) for e in edges for t in tests[e]]
+    row = df.agg(*tallies).first() if edges else []
+    below, equal = dict(zip(edges, row[::2])), dict(zip(edges, row[1::2]))
+
+    def part(place: Column) -> Column:
+        out = F.lit(len(sizes))
+        for i in range(len(sizes) - 1, -1, -1):
+            out = F.when(place < upto[i], i).otherwise(out)
+        return out
+
+    # away from the edges the number of a row matters only up to the next edge
+    place = F.lit(upto[-1] if upto else 0)
+    for e in reversed(edges):
+        under, at = tests[e]
+        one = F.lit(below[e])
+        before = max((below[x] + equal[x] for x in edges if (below[x], x != e) < (below[e], False) and x != e), default=0)
+        place = F.when(at, one).when(under, F.lit(before)).otherwise(place)
+    torn = [e for e in edges if equal[e] > 1 and any(below[e] < n < below[e] + equal[e] for n in upto)]
+    if not torn:
+        return df.withColumn(name, part(place))
+    among = reduce(lambda a, b: a | b, [tests[e][1] for e in torn])
+    pieces = [df.filter(~among).withColumn(name, part(place))]
+    for e in torn:
+        rows = df.filter(tests[e][1]).withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+        held = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")  # one row per partition
+        starts = held.select("_pid", before.alias("_start"))
+        number = F.col("_start") + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+        numbered = rows.join(F.broadcast(starts), "_pid").withColumn(name, part(number + below[e]))
+        pieces.append(numbered.drop("_pid", "_mid", "_start"))
+    return union_all(pieces)
 
 
 def dense_index(df: DataFrame, key: str, seed: int, name: str = "idx") -> DataFrame:
