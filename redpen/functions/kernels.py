@@ -161,10 +161,13 @@ class Tagger:
 def tags_udf(phrases, do_swap: bool):
     """``phrases`` is a broadcast variable holding the phrase list."""
     out = pa.struct([("tags", pa.list_(pa.string())), ("swapped", pa.bool_())])
+    made: list[Tagger] = []  # one per task
 
     @kernel("struct<tags:array<string>,swapped:boolean>")
     def tag(sources: pa.Array, target: pa.Array) -> pa.Array:
-        tagger = Tagger(phrases.value)
+        if not made:
+            made.append(Tagger(phrases.value))
+        tagger = made[0]
         rows = []
         for s, t in zip(sources.to_pylist(), target.to_pylist()):
             tags, swapped = ([], False) if s is None or t is None else tagger.tags(s, t, do_swap)
@@ -317,6 +320,22 @@ def starts_udf():
     return starts
 
 
+def toggled_udf(marks: list[str]):
+    """Pieces -> 0/1 per piece: parity of the marks before it in its row, by running sums over the batch."""
+
+    @kernel("array<int>")
+    def toggled(pieces: pa.Array) -> pa.Array:
+        hits = pc.fill_null(pc.is_in(pieces.flatten(), pa.array(marks)), False).to_numpy(zero_copy_only=False)
+        before = np.cumsum(hits) - hits
+        sizes = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+        row_starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        base = np.concatenate([before, [0]])[np.minimum(row_starts, len(before))]
+        values = ((before - np.repeat(base, sizes)) % 2).astype(np.int32)
+        return pa.ListArray.from_arrays(_offsets(pieces), pa.array(values))
+
+    return toggled
+
+
 def basic_tokens_udf(lower: bool = True):
     @kernel("array<string>")
     def cut(text: pa.Array) -> pa.Array:
@@ -418,39 +437,39 @@ def whole_word_udf():
 
 # ---------------------------------------------------------------- prediction repair
 
-# Marks of which only the first in a run stays, and the pairs that must close.
+# Marks of which only the first in a run stays, quotes, and the pairs that must close.
 RUN_MARKS = frozenset(",.:!?")
-OPENERS = frozenset("{[(\"'")
-CLOSES = {"}": "{", "]": "[", ")": "(", '"': '"', "'": "'"}
+QUOTES = frozenset("\"'")
+PAIRS = ["{}", "[]", "()"]
 
 
 def repaired_tokens(words: list[str]) -> list[str]:
-    """Drop leading and repeated marks and every bracket or quote without a partner."""
-    keep = [True] * len(words)
-    waiting: dict[str, list[int]] = {opener: [] for opener in OPENERS}
-    started = False
-    after_mark = False
-    for at, word in enumerate(words):
-        if word in RUN_MARKS:
-            keep[at] = started and not after_mark
-            after_mark = True
+    """Drop quotes, leading and repeated marks, and every bracket without a partner or closed before the first word.
+
+    Brackets are judged by their running balance: a closing one has a partner if the balance does not reach a new
+    low, an opening one if the balance falls below its own level later on.
+    """
+    n = len(words)
+    marks = np.array([w in RUN_MARKS for w in words], bool)
+    keep = ~np.array([w in QUOTES for w in words], bool)
+    brackets = set("".join(PAIRS))
+    first = next((i for i, w in enumerate(words) if w not in RUN_MARKS and w not in QUOTES and w not in brackets), n)
+    at = np.arange(n)
+    after_mark = np.concatenate([[False], marks[:-1]]) if n else marks
+    keep &= ~(marks & (after_mark | (at < first)))
+    for opening, closing in PAIRS:
+        change = np.array([(w == opening) - (w == closing) for w in words], np.int64)
+        if not change.any():
             continue
-        after_mark = False
-        if word in OPENERS:
-            waiting[word].append(at)
-        elif word in CLOSES:
-            partners = waiting[CLOSES[word]]
-            opened_at = partners.pop() if partners else None
-            if opened_at is None or not started:
-                keep[at] = False
-            if opened_at is not None and not started:
-                keep[opened_at] = False
-        else:
-            started = True
-    for open_positions in waiting.values():
-        for at in open_positions:
-            keep[at] = False
-    return [word for at, word in enumerate(words) if keep[at]]
+        level = np.cumsum(change)
+        lowest_before = np.minimum.accumulate(np.concatenate([[0], level]))[:-1]
+        lowest_after = np.concatenate([np.minimum.accumulate(level[::-1])[::-1][1:], [n]])
+        lowest_early = np.full(n, n)  # after a place, but before the first word
+        if first > 1:
+            lowest_early[: first - 1] = np.minimum.accumulate(level[:first][::-1])[::-1][1:]
+        keep &= ~((change < 0) & ((level < lowest_before) | (at < first)))
+        keep &= ~((change > 0) & ((lowest_after >= level) | (lowest_early < level)))
+    return [word for word, stays in zip(words, keep) if stays]
 
 
 def repair_udf():

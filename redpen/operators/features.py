@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
-from redpen.functions.kernels import ids_udf, pieces_udf, sentence_pieces_udf, starts_udf
+from redpen.functions.kernels import ids_udf, pieces_udf, sentence_pieces_udf, starts_udf, toggled_udf
 from redpen.operators.tagging import checked_rows, source_tokens
 
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
@@ -63,25 +63,16 @@ TOGGLE_PIECES = [".", ",", ";", "!", "?", ":", "##.", "##,", "##;", "##!", "##?"
 
 def sentence_segments(pieces: Column) -> Column:
     """0/1 per piece: parity of the toggling pieces before it."""
-    state = F.struct(F.lit(0).alias("flag"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(
-        pieces,
-        state,
-        lambda acc, p: F.struct(
-            F.when(p.isin(TOGGLE_PIECES), 1 - acc["flag"]).otherwise(acc["flag"]).alias("flag"),
-            F.concat(acc["out"], F.array(acc["flag"])).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    return toggled_udf(TOGGLE_PIECES)(pieces)
 
 
 # Part-of-speech tags in id order, ids counted from 3.
 POS_TAGS = {
-    "full": (
-        "CC CD DT EX FW IN JJ JJR JJS LS MD NN NNS NNP NNPS PDT POS PRP PRP$ RB RBR RBS RP TO UH "
-        "VB VBD VBG VBN VBP VBZ WDT WP WP$ WRB . X"
-    ).split(),
-    "concise": "VERB NOUN PRON ADJ ADV ADP CONJ DET NUM PRT X .".split(),
+    "full": [
+        "CC", "CD", "DT", "EX", "FW", "IN", "JJ", "JJR", "JJS", "LS", "MD", "NN", "NNS", "NNP", "NNPS", "PDT", "POS", "PRP",
+        "PRP$", "RB", "RBR", "RBS", "RP", "TO", "UH", "VB", "VBD", "VBG", "VBN", "VBP", "VBZ", "WDT", "WP", "WP$", "WRB", ".", "X",
+    ],
+    "concise": ["VERB", "NOUN", "PRON", "ADJ", "ADV", "ADP", "CONJ", "DET", "NUM", "PRT", "X", "."],
 }
 POS_FIRST_ID = 3
 POS_START = 2

@@ -34,7 +34,10 @@ INPUTS = ["input_ids", "input_mask", "segment_ids"]
 
 
 def _predicted(factory: Callable[[], Predictor], kind: str, batch: int) -> Column:
-    """The predictor's answer per row; only the three id lists travel to the Python side."""
+    """The predictor's answer per row; only the three id lists travel to the Python side.
+
+    Marked as not deterministic: the optimiser would otherwise copy the call into every use of its answer.
+    """
 
     @F.pandas_udf(kind)
     def predict(frames: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -44,7 +47,7 @@ def _predicted(factory: Callable[[], Predictor], kind: str, batch: int) -> Colum
             parts = [model(frame.iloc[at : at + batch]) for at in range(0, len(frame), batch)]
             yield pd.Series([answer for part in parts for answer in part], dtype=object)
 
-    return predict(*INPUTS)
+    return predict.asNondeterministic()(*INPUTS)
 
 
 def tags_by_id(ids: dict[str, int]) -> Column:

@@ -111,7 +111,7 @@ WINDOW_FEATURES = f"""WITH {ANSWERS}, cut AS (
     unnest(range(0, greatest(0, ceil((len(flat) - room) / step))::INT + 1)) AS w FROM aligned), placed AS (
   SELECT *, w * step AS start0, least(room, m - w * step) AS len0, len(query) + 2 AS head FROM cut), inside AS (
   SELECT *, a >= start0 AND b < start0 + len0 AS ok FROM placed)
-SELECT 1000000000 + doc_id * 1048576 + w AS unique_id,
+SELECT concat(doc_id, ':', w) AS unique_id,
   array_to_string(list_concat(['[CLS]'], query, ['[SEP]'], flat[start0 + 1:start0 + len0], ['[SEP]']), ' ') AS tokens,
   array_to_string(word_of[start0 + 1:start0 + len0], ',') AS token_to_word,
   array_to_string(list_transform(range(0, {MAX_LEN}), lambda i: (i < head + len0 + 1)::INT), ',') AS input_mask,

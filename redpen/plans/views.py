@@ -208,6 +208,7 @@ PREDICTIONS = f"""{LINES}, predictions AS (
 
 # ------------------------------------------------------------------ rated lines
 
+# All codes of the rating buckets.
 CODES = ["6", "7", "9", "11", "12", "14", "21", "22", "24"]
 
 

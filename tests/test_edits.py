@@ -1,5 +1,6 @@
 """Phrase mining, tags, realisation and feature rows."""
 
+import itertools
 import random
 
 import pytest
@@ -9,31 +10,31 @@ from redpen.functions import kernels
 from redpen.operators import features, predict, tagging, vocabulary
 
 
-def table_lcs(a, b):
-    """The quadratic table and its walk back, as a check of the bit version."""
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append(b[j - 1])
-            i, j = i - 1, j - 1
-        elif t[i][j - 1] > t[i - 1][j]:
-            j -= 1
-        else:
-            i -= 1
-    return out[::-1]
+def longest(a, b):
+    """Length of the longest common subsequence, by trying all subsequences of a."""
+    def inside(part):
+        rest = iter(b)
+        return all(x in rest for x in part)
+
+    return max(n for n in range(len(a) + 1) if any(inside(part) for part in itertools.combinations(a, n)))
+
+
+def picked(a, b):
+    """The stated choice: equal ends are common; otherwise the source is shortened where that costs nothing."""
+    if not a or not b:
+        return []
+    if a[-1] == b[-1]:
+        return [*picked(a[:-1], b[:-1]), a[-1]]
+    return picked(a[:-1], b) if longest(a[:-1], b) == longest(a, b) else picked(a, b[:-1])
 
 
 def test_lcs():
-    assert kernels.lcs_tokens(list("abcdefg"), list("xzbdqwgab")) == ["b", "d", "g"]
+    assert kernels.lcs_tokens("red fox ran home".split(), "fox cub ran far home".split()) == ["fox", "ran", "home"]
     rng = random.Random(5)
-    for _ in range(1500):
-        a = [rng.choice("abc") for _ in range(rng.randrange(12))]
-        b = [rng.choice("abc") for _ in range(rng.randrange(12))]
-        assert kernels.lcs_tokens(a, b) == table_lcs(a, b)
+    for _ in range(600):
+        a = [rng.choice("abc") for _ in range(rng.randrange(8))]
+        b = [rng.choice("abc") for _ in range(rng.randrange(8))]
+        assert kernels.lcs_tokens(a, b) == picked(a, b)
 
 
 def test_lcs_long_texts():
@@ -43,12 +44,12 @@ def test_lcs_long_texts():
 
 def test_added_phrases(spark):
     rows = [
-        (1, ["First sentence .", "Second sentence ."], "The first sentence , on the other hand , second sentence ."),
+        (1, ["Rain fell all day .", "Rivers rose ."], "Now rain fell all day so quickly rivers rose ."),
         (2, ["a b"], "a b"),
     ]
     df = spark.createDataFrame(rows, "pair_id bigint, sources array<string>, target string")
     got = {r.pair_id: r.phrases for r in vocabulary.added_phrases(df).collect()}
-    assert got[1][0] == "the" and got[2] == []
+    assert got[1][0] == "now" and got[2] == []
     for _, sources, target in rows:
         kept = kernels.lcs_tokens(" ".join(sources).lower().split(), target.lower().split())
         phrases = kernels.added_phrases(" ".join(sources), target)
@@ -61,11 +62,11 @@ def test_swap_is_taken_only_when_shorter():
 
 
 def test_coverage(spark):
-    lists = [["the", "and"], ["and"], ["he"], ["the", "and"], []]
+    lists = [["so", "while"], ["while"], ["yet"], [], ["while", "so"]]
     mined = spark.createDataFrame(list(enumerate(lists)), "pair_id bigint, phrases array<string>")
     ranked = vocabulary.phrase_vocabulary(vocabulary.phrase_counts(mined), 10)
     curve = vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()
-    assert [(r.phrase, r.freq) for r in curve] == [("and", 3), ("the", 2), ("he", 1)]
+    assert [(r.phrase, r.freq) for r in curve] == [("while", 3), ("so", 2), ("yet", 1)]
     assert [round(r.coverage * 5 / 100) for r in curve] == [2, 4, 5]
 
 
@@ -79,18 +80,17 @@ def test_label_map(spark):
         vocabulary.parse_tags(bad).collect()
 
 
-BORN, DIED = "Turing was born in 1912 .", "Turing died in 1954 ."
+ROSE, FELL = "Prices rose in May .", "Prices fell in June ."
 K, D = "KEEP", "DELETE"
 CASES = [
-    ([BORN, DIED], "Turing was born in 1912 and died in 1954 .", ["and"], [K] * 5 + ["DELETE|and", D] + [K] * 4),
-    ([BORN, DIED], "Turing was born in 1912 ädåö died in 1954 .", ["ädåö"], [K] * 5 + ["DELETE|ädåö", D] + [K] * 4),
-    ([BORN, DIED], "Turing died in 1954 and was born in 1912 .", ["and"], [D] + [K] * 4 + ["SWAP"] + [K] * 4 + ["DELETE|and"]),
-    ([BORN, "Turing was a pioneer in TCS ."], "Turing , a pioneer in TCS , was born in 1912 .", [","],
-     [D] + [K] * 4 + ["SWAP", K, "DELETE|,"] + [K] * 4 + ["DELETE|,"]),
-    (["A . And B ."], "A , and B .", [",", "and", ", and"], [K, "DELETE|,", K, K, K]),
-    (["A . And B ."], "A , and B .", [", and"], [K, "DELETE|, and", D, K, K]),
-    ([BORN, DIED], "Turing was born in 1912 and died in 1954 .", ["but"], []),
-    (["a a a a"], "c", ["b"], []),
+    ([ROSE, FELL], "Prices rose in May but fell in June .", ["but"], [K] * 4 + ["DELETE|but", D] + [K] * 4),
+    ([ROSE, FELL], "Prices rose in May çüğ fell in June .", ["çüğ"], [K] * 4 + ["DELETE|çüğ", D] + [K] * 4),
+    ([ROSE, FELL], "Prices fell in June but rose in May .", ["but"], [D] + [K] * 3 + ["SWAP"] + [K] * 4 + ["DELETE|but"]),
+    ([ROSE, "Prices were a worry ."], "Prices ; a worry ; rose in May .", [";"], [D] + [K] * 3 + ["SWAP", K, "DELETE|;"] + [K] * 2 + ["DELETE|;"]),
+    (["go . So stay ."], "go ; so stay .", [";", "so", "; so"], [K, "DELETE|;", K, K, K]),
+    (["go . So stay ."], "go ; so stay .", ["; so"], [K, "DELETE|; so", D, K, K]),
+    ([ROSE, FELL], "Prices rose in May but fell in June .", ["while"], []),
+    (["no no no"], "yes", ["maybe"], []),
     ([""], "x", ["x"], []),
 ]
 
@@ -101,9 +101,9 @@ def test_tagger(sources, target, phrases, tags):
 
 
 def test_tags_and_back(spark):
-    rows = [(i, s, t) for i, (s, t, p, _) in enumerate(CASES) if p == ["and"] or p == [","]]
+    rows = [(i, s, t) for i, (s, t, p, _) in enumerate(CASES) if p == ["but"] or p == [";"]]
     df = spark.createDataFrame(rows, "pair_id bigint, sources array<string>, target string")
-    labels = spark.createDataFrame([("KEEP", 0), ("DELETE|and", 1), ("KEEP|,", 2)], "tag string, tag_id int")
+    labels = spark.createDataFrame([("KEEP", 0), ("DELETE|but", 1), ("KEEP|;", 2)], "tag string, tag_id int")
     tagged = tagging.tag_pairs(df, labels)
     for r in tagging.realize(tagged).collect():
         assert r.feasible and r.realized.lower() == r.target.lower()

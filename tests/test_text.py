@@ -110,40 +110,33 @@ def test_repair(given, repaired):
 
 
 def plain_repair(words):
-    """Plain restatement, decision by decision, for random comparison."""
-    keep, started, run = [], False, False
-    stacks = {o: [] for o in "{[(\"'"}
-    close = {"}": "{", "]": "[", ")": "("}
-    for i, w in enumerate(words):
-        ok = True
-        if w in (",", ".", ":", "!", "?"):
-            ok = started and not run
-            run = started
-        else:
-            run = False
-            if w in stacks:
-                stacks[w].append(i)
-            elif w in close:
-                if stacks[close[w]]:
-                    j = stacks[close[w]].pop()
-                    if not started:
-                        keep[j] = False
-                        ok = False
-                else:
-                    ok = False
-            else:
-                started = True
-        keep.append(ok)
-    for stack in stacks.values():
-        for i in stack:
-            keep[i] = False
-    return [w for w, k in zip(words, keep) if k]
+    """Partners by pairing off neighbouring brackets of a kind again and again; then each word by itself."""
+    marks, brackets, partner = ",.:!?", "{}[]()", {}
+    plain = [i for i, w in enumerate(words) if w not in [*marks, *brackets, '"', "'"]]
+    first = plain[0] if plain else len(words)
+    for kind in ("{}", "[]", "()"):
+        left = [i for i, w in enumerate(words) if w in list(kind)]
+        while (k := next((k for k in range(len(left) - 1) if words[left[k]] + words[left[k + 1]] == kind), None)) is not None:
+            i, j = left[k : k + 2]
+            partner[i], partner[j] = j, i
+            del left[k : k + 2]
+
+    def stays(i, w):
+        if w in ('"', "'"):
+            return False
+        if w in list(marks):
+            return i > first and words[i - 1] not in list(marks)
+        if w in list(brackets):
+            return i in partner and max(i, partner[i]) > first
+        return True
+
+    return [w for i, w in enumerate(words) if stays(i, w)]
 
 
 def test_repair_random():
     rng = random.Random(1)
     for _ in range(2000):
-        words = [rng.choice(["a", "b", ".", ",", "?", "[", "]", "(", ")", '"', "'"]) for _ in range(rng.randrange(9))]
+        words = [rng.choice(["a", "b", ".", ",", "?", "[", "]", "(", ")", '"', "'"]) for _ in range(rng.randrange(11))]
         assert kernels.repaired_tokens(words) == plain_repair(words)
 
 
