@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from redpen.functions.hashing import below
 from redpen.operators import clusters, pairs, ratings, sampling, scoring, spans
 from redpen.plans import edit_queries as e, feature_queries as f, pair_queries as p, score_queries as s, span_queries as q, views as v
 from redpen.plans.pair_queries import _rounded
@@ -145,30 +146,36 @@ def write_label_map(spark, sf):
 
 
 def write_class_mix(spark, sf):
+    """Both tables with all their rows, as they come back."""
     path = staged_path(spark, "class-mix")
     labelled = ratings.rating_labels(ratings.explode_rated_summaries(v.rated_lines(spark, sf)))
     keyed = labelled.withColumn("key", F.col("row_id") * 8 + F.col("summary_no"))
     done = sampling.split_dataset(keyed, 100, 200, "key", shuffle_all=True, seed=6)
     writers.write_class_mix(done, path)
-    schema = "source string, target string, label int, split string"
-    back = spark.read.csv(f"{path}/meaning", schema=schema, sep="\t", quote='"', escape='"')
-    return back.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    options = {"sep": "\t", "quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": ""}
+    meaning = spark.read.csv(f"{path}/meaning", schema="source string, target string, label int, split string", **options)
+    grammar = spark.read.csv(f"{path}/grammar", schema="target string, label int, split string", **options)
+    both = meaning.withColumn("kind", F.lit("meaning")).unionByName(grammar.withColumns({"kind": F.lit("grammar"), "source": F.lit("")}))
+    return both.select("kind", "split", "label", "source", "target")
 
 
 CLASS_MIX = f"""WITH {v.RATED}, labelled AS (
-  SELECT {p._sql_label(ratings.MEANING_BUCKETS)} AS label, row_number() OVER (
+  SELECT source, target, {p._sql_label(ratings.MEANING_BUCKETS)} AS meaning, {p._sql_label(ratings.GRAMMAR_BUCKETS)} AS grammar, row_number() OVER (
     ORDER BY substr(md5(concat('6:', row_id * 8 + summary_no)), 1, 15), row_id * 8 + summary_no) AS r
-  FROM rated WHERE len(ratings) > 0)
-SELECT CASE WHEN r <= 100 THEN 'tune' WHEN r <= 300 THEN 'valid' ELSE 'train' END AS split, label, count(*) AS n FROM labelled GROUP BY ALL"""
+  FROM rated WHERE len(ratings) > 0), placed AS (
+  SELECT *, CASE WHEN r <= 100 THEN 'tune' WHEN r <= 300 THEN 'valid' ELSE 'train' END AS split FROM labelled)
+SELECT 'meaning' AS kind, split, meaning AS label, source, target FROM placed
+UNION ALL SELECT 'grammar', split, grammar, '', target FROM placed"""
 
 
 def write_features(spark, sf):
+    """Feature rows as they come back, and the number of rows the writer saw."""
     path = staged_path(spark, "features")
-    rows = writers.write_features(v.lines(spark, sf).select("pair_id", "toks"), path)
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.lit(rows).cast("bigint").alias("observed"))
+    seen = writers.write_features(f.edit_features(spark, sf), path)
+    return spark.read.parquet(path).withColumn("observed", F.lit(seen).cast("bigint"))
 
 
-FEATURES = f"WITH {v.LINES} SELECT count(*) AS rows, count(*) AS observed FROM lines"
+FEATURES = f"SELECT *, count(*) OVER () AS observed FROM ({f.EDIT_FEATURES})"
 
 
 def write_prediction_table(spark, sf):
@@ -197,12 +204,21 @@ SELECT score, max(value) FILTER (model = 'm1') AS m1, max(value) FILTER (model =
 
 
 def write_qa_predictions(spark, sf):
+    """All three files: every entry of the n-best lists next to the answer and the null odds."""
     path = staged_path(spark, "qa")
     nbest = q._nbest(spark, sf)
     writers.write_qa_predictions(nbest, spans.choose_answer(nbest, q._nulls(spark, sf), -0.2), path)
     odds = spark.read.json(f"{path}/null_odds", schema="question_id bigint, score_diff double")
     answers = spark.read.json(f"{path}/predictions", schema="question_id bigint, answer string")
-    return _rounded(answers.join(odds, "question_id"))
+    entry = "struct<text:string, probability:double, start_logit:double, end_logit:double>"
+    lists = spark.read.json(f"{path}/nbest", schema=f"question_id bigint, nbest array<{entry}>")
+    entries = lists.select("question_id", F.posexplode("nbest").alias("at", "e"))
+    entries = entries.select("question_id", (F.col("at") + 1).cast("bigint").alias("rank"), "e.*")
+    return _rounded(entries.join(answers, "question_id").join(odds, "question_id"))
+
+
+QA_PREDICTIONS = f"""SELECT question_id, rank, text, probability, start_logit, end_logit, answer, score_diff
+FROM ({q.NBEST_ANSWERS}) JOIN ({q.CHOOSE}) USING (question_id)"""
 
 
 def write_probabilities(spark, sf):
@@ -219,25 +235,33 @@ PROBABILITIES = "SELECT round(label / 16.0::DOUBLE, 6) AS p, round(1 - label / 1
 
 
 def read_qa_json(spark, sf):
-    """Documents as paragraphs with one answered question each, nested and read back."""
+    """Documents as paragraphs with one question each: answers from any place, one question in eight unanswerable.
+
+    Every written file is one nested object, as the format has it.
+    """
     path = staged_path(spark, "qa-json")
     docs = v.documents(spark, sf).filter(F.length("text") > 0)
+    at = below(F.length("text"), 65, F.col("doc_id")).cast("int")
+    answer = F.struct(F.substr("text", at + 1, v._count(20, 66, F.col("doc_id")) + 1).alias("text"), at.alias("answer_start"))
+    impossible = v.digit(67, 1, F.col("doc_id")) < "2"
     qa = F.struct(
-        F.col("doc_id").cast("string").alias("id"), F.lit("?").alias("question"), F.lit(False).alias("is_impossible"),
-        F.array(F.struct(F.substring("text", 1, 5).alias("text"), F.lit(0).alias("answer_start"))).alias("answers"),
+        F.concat(F.lit("q-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("What is said at "), at.cast("string"), F.lit("?")).alias("question"),
+        impossible.alias("is_impossible"), F.when(impossible, F.expr("cast(array() as array<struct<text:string, answer_start:int>>)")).otherwise(F.array(answer)).alias("answers"),
     )
     paragraph = F.struct(F.col("text").alias("context"), F.array(qa).alias("qas"))
-
-    entry = F.struct(F.array(F.struct(F.lit("t").alias("title"), F.array(paragraph).alias("paragraphs"))).alias("data"))
-    lines = docs.select(F.to_json(entry).alias("value"))
-    lines.write.text(path)
-    parsed = spark.read.text(path).select(F.from_json("value", readers.QA_SCHEMA).alias("r")).select("r.data")
-    back = readers.qa_rows(parsed, training=True, with_negative=True)
-    return back.select("question_id", "context", "answer_text", F.col("answer_start").cast("bigint").alias("answer_start"))
+    blocks = docs.select(F.pmod(F.col("doc_id"), F.lit(16)).alias("block"), paragraph.alias("p")).groupBy("block").agg(F.collect_list("p").alias("paragraphs"))
+    entry = F.struct(F.array(F.struct(F.lit("t").alias("title"), F.col("paragraphs"))).alias("data"))
+    blocks.select("block", F.to_json(entry).alias("value")).repartition(16, "block").write.partitionBy("block").text(path)
+    return readers.read_qa_json(spark, path, training=True, with_negative=True).select(
+        "question_id", "question", "context", "is_impossible", "answer_text", F.col("answer_start").cast("bigint").alias("answer_start")
+    )
 
 
-QA_JSON = """SELECT doc_id::VARCHAR AS question_id, text AS context, substr(text, 1, 5) AS answer_text, 0::BIGINT AS answer_start
-FROM documents WHERE length(text) > 0"""
+QA_JSON = f"""WITH picked AS (
+  SELECT doc_id, text, floor({v.sql_uniform(65, 'doc_id')} * length(text))::BIGINT AS o, {v.sql_count(20, 66, 'doc_id')} + 1 AS k,
+    {v.sql_digit(67, 1, 'doc_id')} < '2' AS none FROM documents WHERE length(text) > 0)
+SELECT concat('q-', doc_id) AS question_id, concat('What is said at ', o, '?') AS question, text AS context, none AS is_impossible,
+  CASE WHEN none THEN '' ELSE substr(text, o + 1, k) END AS answer_text, CASE WHEN NOT none THEN o END AS answer_start FROM picked"""
 
 
 def read_headline_csvs(spark, sf):
@@ -280,6 +304,39 @@ def read_labelled_pairs(spark, sf):
     return readers.read_labelled_pairs(spark, path, "mrpc").select("text_a", "text_b", "label")
 
 
+def _labelled_layout(layout, split, width, places, header, languages=False):
+    """A layout written with the halves of lines at ``places`` (text_a, text_b, label) and read back."""
+    def query(spark, sf):
+        path = staged_path(spark, f"labelled-{layout}")
+        halves = v.fusion(spark, sf).filter(F.size("sources") == 2)
+        label = F.when(v.digit(71, 1, F.col("pair_id")) < "8", "contradictory").otherwise("neutral")
+        cells = dict.fromkeys(range(width), F.lit("-")) | dict(zip(places, (F.col("sources")[0], F.col("sources")[1], label)))
+        if languages:
+            cells[0] = F.when(v.digit(71, 1, F.col("pair_id")) < "4", "en").otherwise("zh")
+        halves.select(*[c.alias(f"c{i}") for i, c in cells.items()]).write.csv(path, header=header, **RAW)
+        return readers.read_labelled_pairs(spark, path, layout, split).select("text_a", "text_b", "label")
+
+    return query
+
+
+def _sql_labelled(label, text_b="array_to_string(two, ' ')", kept="true"):
+    digit = v.sql_digit(71, 1, "pair_id")
+    return f"""WITH {v.FUSION} SELECT array_to_string(one, ' ') AS text_a, {text_b} AS text_b, CASE WHEN {digit} < '8' THEN '{label}' ELSE 'neutral' END AS label
+FROM fusion WHERE len(two) > 0 AND {kept.format(digit=digit)}"""
+
+
+def read_meaning_rows(spark, sf):
+    """Rows of three columns; lines with fewer are left out."""
+    path = staged_path(spark, "meaning-rows")
+    label = F.when(v.digit(72, 1, F.col("pair_id")) < "8", "0").otherwise("1")
+    v.fusion(spark, sf).select(F.concat_ws("\t", F.array_join("sources", "\t"), label)).write.text(path)
+    return readers.read_class_rows(spark, path, "meaning").select("source", "summary", "label")
+
+
+MEANING_ROWS = f"""WITH {v.FUSION} SELECT array_to_string(one, ' ') AS source, array_to_string(two, ' ') AS summary,
+  CASE WHEN {v.sql_digit(72, 1, 'pair_id')} < '8' THEN 0 ELSE 1 END AS label FROM fusion WHERE len(two) > 0"""
+
+
 LABELLED = f"""WITH {v.FUSION} SELECT array_to_string(one, ' ') AS text_a, array_to_string(two, ' ') AS text_b,
   CASE WHEN {v.sql_digit(71, 1, 'pair_id')} < '8' THEN '0' ELSE '1' END AS label FROM fusion WHERE len(two) > 0"""
 
@@ -293,11 +350,10 @@ def read_vocab(spark, sf):
 def write_coverage_log(spark, sf):
     path = staged_path(spark, "coverage")
     writers.write_coverage_log(e.coverage_curve(spark, sf), path)
-    back = spark.read.csv(path, schema="k bigint, freq bigint, coverage string, phrase string", header=True, sep="\t")
-    return back.select("k", "freq", "phrase")
+    return spark.read.csv(path, schema="k bigint, freq bigint, coverage string, phrase string", header=True, sep="\t")
 
 
-COVERAGE_LOG = f"SELECT k, freq, phrase FROM ({e.COVERAGE})"
+COVERAGE_LOG = f"SELECT k, freq, printf('%.2f', coverage) AS coverage, phrase FROM ({e.COVERAGE})"
 
 
 QUERIES = {
@@ -314,6 +370,11 @@ QUERIES = {
     "read_title_tldr": (read_title_tldr, f"WITH {v.CHAT_PAIRS} SELECT source, target FROM chat_pairs"),
     "read_acceptability": (read_acceptability, CLASS_ROWS),
     "read_labelled_pairs": (read_labelled_pairs, LABELLED),
+    "read_labelled_nli_zh": (_labelled_layout("nli_zh", "train", 3, (0, 1, 2), True), _sql_labelled("contradiction")),
+    "read_labelled_nli_zh_dev": (_labelled_layout("nli_zh", "dev", 8, (6, 7, 1), True, True), _sql_labelled("contradictory", kept="{digit} >= '4'")),
+    "read_labelled_mnli": (_labelled_layout("mnli", "dev", 12, (8, 9, 11), True), _sql_labelled("contradictory")),
+    "read_labelled_cola": (_labelled_layout("cola", "train", 4, (3, 2, 1), False), _sql_labelled("contradictory", "NULL")),
+    "read_meaning_rows": (read_meaning_rows, MEANING_ROWS),
     "read_vocab": (read_vocab, f"WITH {f.VOCAB} SELECT token, token_id FROM vocab"),
     "write_coverage_log": (write_coverage_log, COVERAGE_LOG),
     "read_keyword_table": (read_keyword_table, KEYWORDS),
@@ -326,6 +387,6 @@ QUERIES = {
     "write_features": (write_features, FEATURES),
     "write_prediction_table": (write_prediction_table, WIDE),
     "score_table": (score_table, SCORE_TABLE),
-    "write_qa_predictions": (write_qa_predictions, q.CHOOSE),
+    "write_qa_predictions": (write_qa_predictions, QA_PREDICTIONS),
     "write_probabilities": (write_probabilities, PROBABILITIES),
 }

@@ -115,14 +115,14 @@ SELECT round(sum(CASE WHEN l = p THEN w ELSE 0 END) / sum(w)::DOUBLE, 6) AS accu
 
 def example_accuracy(spark, sf):
     rows = v.table(spark, sf, "embeddings").select(
-        "label", F.slice("embedding", 1, 10).alias("scores"),
+        "label", F.col("embedding").alias("scores"),
         F.abs(F.get("embedding", F.lit(0))).cast("double").alias("loss"),
         (F.get("embedding", F.lit(1)) > 0).cast("int").alias("is_real_example"),
     )
     return _rounded(scoring.example_accuracy(rows, "scores", "label", "loss"))
 
 
-EXAMPLE = """SELECT round(sum((list_position(embedding[1:10], list_max(embedding[1:10])) - 1 = label)::INT * w) / sum(w), 6) AS accuracy,
+EXAMPLE = """SELECT round(sum((list_position(embedding, list_max(embedding)) - 1 = label)::INT * w) / sum(w), 6) AS accuracy,
   round(sum(abs(embedding[1])::DOUBLE * w) / sum(w), 6) AS loss
 FROM (SELECT embedding, label, (embedding[2] > 0)::INT AS w FROM embeddings)"""
 

@@ -6,13 +6,14 @@ the order of the lines of a file, not dense.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from redpen.functions.text import SPACE
 from redpen.operators.ranking import union_all
 
 RAW_TSV = {"sep": "\t", "quote": "", "escape": ""}
 # line breaks inside quotes would tie a file to one task; cleaned texts have none
+NO_SEPARATOR = "\u0001\u0002\u0001"  # control characters that no text holds
 QUOTED_TSV = {"sep": "\t", "quote": '"', "escape": '"'}
 
 
@@ -77,13 +78,14 @@ def read_compression_json(spark: SparkSession, paths: str | list[str]) -> DataFr
 def read_headline_csvs(spark: SparkSession, path_wide: str, path_short: str) -> DataFrame:
     """Two Latin-1 CSV files with ``headlines`` and ``text`` among their columns, united.
 
-    Texts hold line breaks, so a file is read by one task; give many files for scale.
+    Texts hold line breaks, so a file is read by one task; its rows are dealt out right after. Give
+    many files for scale.
     """
     parts = []
     for path in (path_wide, path_short):
         raw = spark.read.csv(path, header=True, encoding="ISO-8859-1", multiLine=True, quote='"', escape='"')
         parts.append(raw.select(F.col("text").alias("source"), F.col("headlines").alias("target")))
-    return _numbered(union_all(parts))
+    return _numbered(union_all(parts)).repartition("row_id")
 
 
 def read_title_tldr(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -124,17 +126,9 @@ def read_labelled_pairs(
 ) -> DataFrame:
     """``guid, text_a, text_b, label`` from the layouts nli_zh, mnli, mrpc and cola."""
     text_a, text_b, label, kept, header = _labelled_layout(layout, split, language)
-    raw = _numbered(
-        spark.read.text(path).select(
-            F.split("value", "\t").alias("cells"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
-    )
-    if header:
-        # the header is the first row of the block at offset 0 of each file
-        heads = raw.filter("block = 0").groupBy("file").agg(F.min("row_id").alias("row_id"))
-        raw = raw.join(heads, ["file", "row_id"], "left_anti")
+    # read as a table of one column, because that reader knows which block of a file holds the header
+    lines = spark.read.csv(path, schema="value string", header=header, sep=NO_SEPARATOR, quote="", escape="")
+    raw = _numbered(lines.select(F.split("value", "\t").alias("cells")))
     guid = F.concat(F.lit(f"{split}-"), F.col("row_id").cast("string"))
     return raw.filter(kept).select(guid.alias("guid"), text_a.alias("text_a"), text_b.alias("text_b"), label.alias("label"))
 
@@ -161,8 +155,9 @@ QA_SCHEMA = (
 
 
 def read_qa_json(spark: SparkSession, path: str | list[str], training: bool, with_negative: bool = False) -> DataFrame:
-    """Questions of nested documents. The format is one object per file: give many files for scale."""
-    return qa_rows(spark.read.json(path, schema=QA_SCHEMA, multiLine=True), training, with_negative)
+    """Questions of nested documents. The format is one object per file, read by one task; its questions are
+    dealt out right after. Give many files for scale."""
+    return qa_rows(spark.read.json(path, schema=QA_SCHEMA, multiLine=True), training, with_negative).repartition("question_id")
 
 
 def qa_rows(raw: DataFrame, training: bool, with_negative: bool = False) -> DataFrame:
@@ -240,10 +235,14 @@ def read_bar_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _whole_file(spark: SparkSession, path: str) -> DataFrame:
-    """A dimension file as ``pos, line``; such files are small by nature and read in one piece."""
-    raw = spark.read.text(path, wholetext=True)
-    trimmed = F.regexp_replace("value", r"\n\z", "")
-    return raw.select(F.posexplode(F.split(trimmed, "\n")).alias("pos", "line"))
+    """A dimension table as ``pos, line``: its files one after the other in the order of their names.
+
+    Such files are small by nature and read in one piece each.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\n\z", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+    lines = raw.filter("value <> ''").select("file", F.split("value", "\n").alias("lines"))
+    before = F.sum(F.size("lines")).over(Window.orderBy("file")) - F.size("lines")  # one row per file
+    return lines.withColumn("start", before).select("start", F.posexplode("lines").alias("at", "line")).select((F.col("start") + F.col("at")).cast("int").alias("pos"), "line")
 
 
 def read_label_map(spark: SparkSession, path: str) -> DataFrame:
