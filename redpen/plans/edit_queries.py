@@ -97,7 +97,11 @@ def _sources(spark, sf):
 
 
 def added_phrases(spark, sf):
-    """What the alignment finds, against whole source texts; no SQL twin."""
+    """What the alignment finds, against whole source texts.
+
+    No SQL twin: a line may have thousands of tokens, and the quadratic table of lengths as SQL lists did not
+    end within minutes on the smallest tables. tests/test_edits.py tries all subsequences instead.
+    """
     return vocabulary.phrase_rows(vocabulary.added_phrases(_sources(spark, sf)))
 
 

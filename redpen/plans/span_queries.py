@@ -242,6 +242,23 @@ NBEST_ANSWERS = f"""WITH {NBEST} SELECT question_id, rank, text, round(start_log
   round(exp(start_logit + end_logit) / sum(exp(start_logit + end_logit)) OVER (PARTITION BY question_id), 6) AS probability FROM nbest"""
 
 
+def nbest_answers_only(spark, sf):
+    """Lists without the empty answer; a question without candidates has the stand-in."""
+    rows = spans.nbest_answers(_candidates(spark, sf), _nulls(spark, sf), N_BEST, with_null=False)
+    return _rounded(rows.withColumn("rank", F.col("rank").cast("bigint")))
+
+
+NBEST_ONLY = f"""WITH {CANDIDATES}, {NULLS}, firsts AS (
+  SELECT question_id, text, start_logit, end_logit, win, sr, er, row_number() OVER (
+    PARTITION BY question_id, text ORDER BY start_logit + end_logit DESC, win, sr, er) AS r FROM texts), listed AS (
+  SELECT question_id, text, start_logit, end_logit, row_number() OVER (
+    PARTITION BY question_id ORDER BY start_logit + end_logit DESC, win, sr, er) AS rank FROM firsts WHERE r = 1), kept AS (
+  SELECT question_id, rank, text, start_logit, end_logit FROM listed WHERE rank <= {N_BEST}
+  UNION ALL SELECT question_id, 1, 'empty', 0, 0 FROM nulls WHERE question_id NOT IN (SELECT question_id FROM listed))
+SELECT question_id, rank, text, round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit,
+  round(exp(start_logit + end_logit) / sum(exp(start_logit + end_logit)) OVER (PARTITION BY question_id), 6) AS probability FROM kept"""
+
+
 def choose_answer(spark, sf):
     return _rounded(spans.choose_answer(_nbest(spark, sf), _nulls(spark, sf), -0.2))
 
@@ -421,6 +438,7 @@ QUERIES = {
     "char_word_offsets": (char_word_offsets, CHAR_WORDS),
     "span_candidates": (span_candidates, SPAN_CANDIDATES),
     "null_scores": (null_scores, NULL_SCORES),
+    "nbest_answers_only": (nbest_answers_only, NBEST_ONLY),
     "nbest_answers": (nbest_answers, NBEST_ANSWERS),
     "choose_answer": (choose_answer, CHOOSE),
     "duplicate_with_seed": (duplicate_with_seed, DUPLICATES),
