@@ -111,16 +111,18 @@ def multi_model_table(
 ) -> DataFrame:
     """One row per input with a repaired prediction per model, joined by key.
 
-    The frames are united and folded by one aggregation, so the inputs are shuffled once
-    however many models there are.
+    The frames are united and folded by one aggregation; only the first model's rows carry
+    source and target, so those are shuffled once however many models there are.
     """
     models = list(predictions)
-    long = union_all([
-        clean_predictions(df).select(key, "source", "target", "prediction", F.lit(m).alias("model"))
-        for m, df in predictions.items()
-    ])
-    side = [F.first(F.when(F.col("model") == m, F.col("prediction")), True).alias(m) for m in models]
+
+    def side(m: str, df: DataFrame) -> DataFrame:
+        texts = [F.col(c) if m == models[0] else F.lit(None).cast("string").alias(c) for c in ("source", "target")]
+        return clean_predictions(df).select(key, *texts, "prediction", F.lit(m).alias("model"))
+
+    long = union_all([side(m, df) for m, df in predictions.items()])
+    answers = [F.first(F.when(F.col("model") == m, F.col("prediction")), True).alias(m) for m in models]
     first = F.col("model") == models[0]
     original = F.first(F.when(first, F.col("source")), True).alias("original")
     target = [F.first(F.when(first, F.col("target")), True).alias("target")] if with_target else []
-    return long.groupBy(key).agg(original, *side, *target)
+    return long.groupBy(key).agg(original, *answers, *target)

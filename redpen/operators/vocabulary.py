@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from redpen.functions.kernels import added_phrases_udf
+from redpen.functions.kernels import added_phrases_udf, worst_rank_udf
 from redpen.functions.text import tokens
 
 NEVER = 1 << 30  # rank of a phrase outside the listed ones
+RANKS_IN_PLACE = 1 << 18  # phrases whose ranks travel to the examples
 
 
 def added_phrases(df: DataFrame, key: str = "pair_id", try_swap: bool = False) -> DataFrame:
@@ -38,14 +39,18 @@ def coverage_curve(mined: DataFrame, vocabulary: DataFrame, key: str = "pair_id"
     """``k, freq, coverage, phrase``: share of examples whose phrases all rank at most k.
 
     An example is covered from the worst rank among its phrases on, so a histogram of
-    worst ranks and its running sum give the whole curve.
+    worst ranks and its running sum give the whole curve. While the vocabulary is small enough to travel, the worst
+    rank is found inside the row and only the histogram moves; a larger one is joined.
     """
-    worst = (
-        mined.select(key, F.explode_outer("phrases").alias("phrase"))
-        .join(F.broadcast(vocabulary.select("phrase", "rank")), "phrase", "left")
-        .groupBy(key)
-        .agg(F.max(F.when(F.col("phrase").isNull(), 0).otherwise(F.coalesce("rank", F.lit(NEVER)))).alias("rank"))
-    )
+    ranks = vocabulary.select("phrase", "rank")
+    held = ranks.limit(RANKS_IN_PLACE + 1).collect()
+    if len(held) <= RANKS_IN_PLACE:
+        table = mined.sparkSession.sparkContext.broadcast({r["phrase"]: r["rank"] for r in held})
+        worst = mined.select(worst_rank_udf(table, NEVER)(F.col("phrases")).alias("rank"))
+    else:
+        rows = mined.select(key, F.explode_outer("phrases").alias("phrase")).join(ranks, "phrase", "left")
+        unlisted = F.when(F.col("phrase").isNull(), 0).otherwise(F.coalesce("rank", F.lit(NEVER)))
+        worst = rows.groupBy(key).agg(F.max(unlisted).alias("rank"))
     histogram = worst.groupBy("rank").agg(F.count(F.lit(1)).alias("examples"))
     listed = vocabulary.select("rank", "phrase", "freq")
     joined = histogram.join(listed, "rank", "full_outer")

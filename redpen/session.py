@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -46,9 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/redpen-{spark.sparkContext.applicationId}"
+
+
+_cleaned: set[str] = set()
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder, which goes when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _cleaned:
+        _cleaned.add(application)
+        atexit.register(_clear_at_exit, application)
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all tables that this application staged; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_at_exit(application: str) -> None:
+    spark = SparkSession.getActiveSession()
+    if spark and spark.sparkContext.applicationId == application:
+        clear_staged(spark)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from redpen.functions.hashing import ORDER_KEY_MAX, order_key
-from redpen.operators import clusters, ranking, sampling, scoring
+from redpen.operators import clusters, features, ranking, sampling, scoring, vocabulary
 from redpen.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -154,6 +155,44 @@ def test_no_cross_join(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", ["predict_table", "attach_quality_label"])
+def test_models_run_once(spark, name):
+    """Each predictor and kernel is called in one place of the plan."""
+    calls = re.findall(r"(?:ArrowEvalPython|BatchEvalPython) \[(.*?)\], \[", plan_of(CATALOG[name][0](spark, SF)))
+    names = [re.match(r"\w+", c)[0] for c in calls]
+    assert names.count("predict") == (2 if name == "attach_quality_label" else 1)
+
+
+def test_long_rows_of_pieces(spark):
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(["a", ".", "b"] * 60_000,), ([],), (None,), (["!", "x"],)], "p array<string>")
+    got = [r[0] for r in rows.select(features.sentence_segments(F.col("p"))).collect()]
+    assert got[0][:7] == [0, 0, 1, 1, 1, 0, 0] and got[1] == [] and got[3] == [0, 1]
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("keys", [[i % 3 for i in range(30)], [None] * 7 + [1] * 13 + [2] * 10, [-(2**63)] * 3 + [2**63 - 1] * 27])
+def test_exact_sizes_with_repeated_keys(spark, keys):
+    df = spark.createDataFrame(list(enumerate(keys)), "i int, k long").repartition(4)
+    for n, seed in [(1, None), (5, 3), (10, None), (29, 3), (30, None)]:
+        got = sampling.sample_rows(df, n, "k", seed).collect()
+        assert len(got) == n == len({r.i for r in got})
+    for tune, valid, shuffle in [(5, 5, False), (1, 2, True), (10, 20, False), (0, 4, True), (3, 14, False)]:
+        sizes = dict(sampling.split_dataset(df, tune, valid, "k", shuffle_all=shuffle).groupBy("split").count().collect())
+        assert [sizes.get(s, 0) for s in ("tune", "valid", "train")] == [tune, valid, 30 - tune - valid]
+
+
+def test_coverage_moves_only_the_histogram(spark):
+    mined = spark.createDataFrame([(i, ["a", f"p{i % 5}"]) for i in range(50)], "pair_id bigint, phrases array<string>")
+    ranked = vocabulary.phrase_vocabulary(vocabulary.phrase_counts(mined), 4)
+    small = [tuple(r) for r in vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()]
+    before, vocabulary.RANKS_IN_PLACE = vocabulary.RANKS_IN_PLACE, 0
+    try:
+        assert [tuple(r) for r in vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()] == small
+    finally:
+        vocabulary.RANKS_IN_PLACE = before
+
+
 def test_pushdown(spark):
     plan = plan_of(CATALOG["roc_auc"][0](spark, SF))
     assert "text" not in "".join(re.findall(r"ReadSchema: \S+", plan))

@@ -13,6 +13,8 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 import __spark_entry__
 for name in ("added_phrases", "predict_table", "training_instances"):
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+import glob
+print(glob.glob({shared!r} + "/redpen-*/*"))
 """
 
 
@@ -23,4 +25,5 @@ def test_kernels_without_the_package(tmp_path):
         [sys.executable, "-c", SCRIPT.format(root=root, shared=str(shared))], cwd=tmp_path, capture_output=True, text=True, timeout=300
     )
     assert done.returncode == 0, done.stderr[-2000:]
-    assert list(shared.glob("sentences-*"))
+    assert "sentences-" in done.stdout  # staged in the named folder
+    assert not list(shared.glob("redpen-*"))  # and gone with the driver
