@@ -11,12 +11,15 @@ GRAM_SIZES = (1, 2, 3, 4)
 
 
 def lowercase_columns(df: DataFrame) -> DataFrame:
-    """Lower-case source, prediction and targets for case-insensitive scores."""
-    return df.withColumns({
-        "source": F.lower("source"),
-        "prediction": F.lower("prediction"),
-        "targets": F.transform("targets", F.lower),
-    })
+    """Lower-case source, prediction (or ``predictions``) and targets for case-insensitive scores."""
+    low = {"source": F.lower("source"), "targets": F.transform("targets", F.lower)}
+    if "predictions" in df.columns:
+        low["predictions"] = F.transform(
+            "predictions", lambda x: F.struct(x["model"].alias("model"), F.lower(x["prediction"]).alias("prediction"))
+        )
+    else:
+        low["prediction"] = F.lower("prediction")
+    return df.withColumns(low)
 
 
 def exact_score(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -56,29 +59,37 @@ def _f1(precision: Column, recall: Column) -> Column:
 def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
     """``keep columns, sari, keep, addition, deletion`` per row of source, prediction, targets.
 
+    With a list ``predictions`` of structs ``model, prediction`` instead of one prediction there is one row per
+    entry, and the grams of source and targets are made once for all of them; ``keep`` may then name ``model`` and
+    ``exact``, whether the prediction is one of the targets.
+
     Everything is set arithmetic inside the row. A gram's weight is the share of non-empty
     targets that hold it, so a weighted sum over a set of grams is the number of its grams
     found in each target, summed over the targets and divided by their number.
     """
     prepare = text.strip_separators if strip else (lambda c: c)
+    many = "predictions" in df.columns
+    own = [c for c in keep if c in df.columns]
     step = df.select(
-        *keep,
+        *own,
         text.tokens(prepare(F.col("source"))).alias("_s"),
-        text.tokens(prepare(F.col("prediction"))).alias("_p"),
         F.transform("targets", lambda t: text.tokens(prepare(t))).alias("_t"),
+        *([F.col("predictions").alias("_all"), F.col("targets").alias("_targets")] if many else [text.tokens(prepare(F.col("prediction"))).alias("_p")]),
     )
-    parts = []
     for n in GRAM_SIZES:
-        s, p, t = f"_s{n}", f"_p{n}", f"_t{n}"
+        step = step.withColumns({f"_s{n}": grams(F.col("_s"), n), f"_t{n}": _gram_lists("_t", n)})
+        step = step.withColumn(f"_st{n}", F.array_except(F.flatten(f"_t{n}"), F.col(f"_s{n}")))
+    if many:
+        step = step.withColumn("_one", F.explode("_all")).drop("_all")
         step = step.withColumns({
-            s: grams(F.col("_s"), n),
-            p: grams(F.col("_p"), n),
-            t: _gram_lists("_t", n),
-        })
-        step = step.withColumns({
-            f"_sp{n}": F.array_intersect(s, p),
-            f"_fresh{n}": F.array_except(F.flatten(t), F.col(s)),
+            "model": F.col("_one.model"), "exact": F.array_contains("_targets", F.col("_one.prediction")).cast("double"),
+            "_p": text.tokens(prepare(F.col("_one.prediction"))),
         })
+    parts = []
+    for n in GRAM_SIZES:
+        s, p, t = f"_s{n}", f"_p{n}", f"_t{n}"
+        step = step.withColumn(p, grams(F.col("_p"), n))
+        step = step.withColumn(f"_sp{n}", F.array_intersect(s, p))
 
         def shared(grams_col: str, t: str = t) -> Column:
             return F.aggregate(
@@ -90,8 +101,8 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
             f"_m{n}": F.size(t),
             f"_a{n}": shared(f"_sp{n}"),
             f"_b{n}": shared(s),
-            f"_hit{n}": F.size(F.array_intersect(f"_fresh{n}", p)),
-            f"_new{n}": F.size(f"_fresh{n}"),
+            f"_hit{n}": F.size(F.array_intersect(f"_st{n}", p)),
+            f"_new{n}": F.size(f"_st{n}"),
         })
         m, both, in_s = F.col(f"_m{n}"), F.col(f"_a{n}"), F.col(f"_b{n}")
         kept, size_s = F.size(f"_sp{n}"), F.size(s)
@@ -112,10 +123,13 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
 
 
 def score_report(df: DataFrame, by: str = "model") -> DataFrame:
-    """Per model: exact, SARI and its parts as percentages, in one aggregation."""
-    rows = sari_rows(
-        df.withColumn("exact", F.array_contains("targets", F.col("prediction")).cast("double")), [by, "exact"]
-    )
+    """Per model: exact, SARI and its parts as percentages, in one aggregation.
+
+    Takes one prediction per row, or a list ``predictions`` per input.
+    """
+    if "predictions" not in df.columns:
+        df = df.withColumn("exact", F.array_contains("targets", F.col("prediction")).cast("double"))
+    rows = sari_rows(df, [by, "exact"])
     names = ["exact", "sari", "keep", "addition", "deletion"]
     return rows.groupBy(by).agg(*[F.round(F.avg(c) * 100, 3).alias(c) for c in names])
 

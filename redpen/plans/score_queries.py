@@ -57,7 +57,7 @@ SARI = _SARI + """ SELECT row_id, model, round(keep, 6) AS keep, round(addition,
 
 
 def score_report(spark, sf):
-    return scoring.score_report(scoring.lowercase_columns(v.predictions(spark, sf)))
+    return scoring.score_report(scoring.lowercase_columns(v.prediction_lists(spark, sf)))
 
 
 SCORE_REPORT = _SARI + """ SELECT model, round(avg(list_contains(list_transform(targets, lambda t: lower(t)), lower(prediction))::INT) * 100, 3) AS exact,

@@ -184,8 +184,8 @@ CHAT_PAIRS = """chat_pairs AS (
 MODELS = {"m1": MODEL_1, "m2": MODEL_2}
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Two models and two targets per line: ``row_id, model, source, prediction, targets``."""
+def prediction_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models and two targets per line: ``row_id, source, predictions, targets``."""
     key, toks, marked = F.col("pair_id"), F.col("toks"), F.col("marked")
     base = lines(spark, sf).withColumn("marked", hashed(toks, key))
     targets = F.array(*[joined_words(edited(marked, slot)) for slot in (TARGET, SECOND_TARGET)])
@@ -193,7 +193,12 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(m).alias("model"), joined_words(edited(marked, slot)).alias("prediction"))
         for m, slot in MODELS.items()
     ])
-    step = base.select(key.alias("row_id"), text.spaced(toks).alias("source"), targets.alias("targets"), F.explode(made).alias("x"))
+    return base.select(key.alias("row_id"), text.spaced(toks).alias("source"), targets.alias("targets"), made.alias("predictions"))
+
+
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per model: ``row_id, model, source, prediction, targets``."""
+    step = prediction_lists(spark, sf).select("row_id", "source", "targets", F.explode("predictions").alias("x"))
     return step.select("row_id", "x.model", "source", "x.prediction", "targets")
 
 
