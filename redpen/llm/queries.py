@@ -15,6 +15,24 @@ def op1_odd_sketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf, "documents"), "doc_id", "text")
 
 
+OP1_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles FROM split),
+members AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n_a, any_value(b.n) AS n_b, count(*) AS n
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM common WHERE 100 * n >= 75 * (n_a + n_b - n)),
+pairs AS (SELECT a AS i, b AS j FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS i, doc_id AS j FROM sets UNION SELECT reach.i, pairs.j FROM reach JOIN pairs ON pairs.i = reach.j)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM sets s JOIN (SELECT i, min(j) AS component_id FROM reach GROUP BY i) m ON m.i = s.doc_id"""
+
+
 def op2_kneser_ney_quality(spark: SparkSession, sf: str) -> DataFrame:
     trusted = quality.trusted_labels(table(spark, sf, "labels"))
     return quality.classify(table(spark, sf, "documents"), trusted, "doc_id", "text", "lang")
@@ -55,6 +73,19 @@ def op6_pruned_graph(spark: SparkSession, sf: str) -> DataFrame:
     return vectorgraph.near_vectors(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+unit AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+links AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0
+  WHERE list_sum(list_transform(range(1, len(a.e) + 1), lambda k: a.e[k] * b.e[k])) / (a.norm * b.norm) >= 0.95),
+reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT reach.i, links.j FROM reach JOIN links ON links.i = reach.j)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT i AS vec_id, min(j) AS component_id FROM reach GROUP BY i) LEFT JOIN (SELECT i AS vec_id, count(*) AS n FROM links GROUP BY i) USING (vec_id)"""
+
+
 def op7_unigram_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids and log score of every document, and whether decoding gives the text back."""
     import public_tokenizers
@@ -123,12 +154,12 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 10"""
 
 QUERIES = {
-    "op1_odd_sketch_dedup": (op1_odd_sketch_dedup, None),
+    "op1_odd_sketch_dedup": (op1_odd_sketch_dedup, OP1_SQL),
     "op2_kneser_ney_quality": (op2_kneser_ney_quality, None),
     "op3_soft_mixing": (op3_soft_mixing, None),
     "op4_pii_deobfuscation": (op4_pii_deobfuscation, None),
     "op5_rans_tokens": (op5_rans_tokens, None),
-    "op6_pruned_graph": (op6_pruned_graph, None),
+    "op6_pruned_graph": (op6_pruned_graph, OP6_SQL),
     "op7_unigram_pieces": (op7_unigram_pieces, None),
     "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
