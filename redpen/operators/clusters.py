@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from redpen.operators.ranking import join_group_totals
+from redpen.session import stage
 
 
 def unpivot_models(df: DataFrame, models: list[str], key: str = "row_id", keyword: str = "keyword") -> DataFrame:
@@ -24,7 +25,7 @@ def keyword_clusters(long: DataFrame, key: str = "row_id") -> DataFrame:
     One row per member, in ``row_id`` order within a cluster, so a cluster that holds a
     large part of the table is never one value or one task.
     """
-    sizes = cluster_sizes(long).filter(F.col("size") > 1)
+    sizes = stage(cluster_sizes(long).filter(F.col("size") > 1), "cluster-sizes")  # read three times below
     used = long.filter(F.coalesce("short", F.lit("")) != "")
     members = join_group_totals(used, sizes, ["model", "short"], "size")
     return members.select("model", "short", "size", key, "keyword")

@@ -146,8 +146,15 @@ def join_group_totals(df: DataFrame, totals: DataFrame, keys: list[str], size: s
     return of_hot.unionByName(of_rest)
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, slices: int = 256) -> DataFrame:
-    """Exclusive running total of ``value`` over distinct ``order`` values, sliced by quantiles."""
+SLICE_ROWS = 1 << 17  # rows of a running total that one task sums up
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str, slices: int | None = None) -> DataFrame:
+    """Exclusive running total of ``value`` over distinct ``order`` values, sliced by quantiles.
+
+    The number of slices grows with the table, so a slice stays as large as a task can sum up.
+    """
+    slices = slices or max(16, -(-df.count() // SLICE_ROWS))
     marks = sorted(set(df.stat.approxQuantile(order, [i / slices for i in range(1, slices)], 0.001)))
     at = F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m < F.col(order))) if marks else F.lit(0)
     sliced = df.withColumn("_b", at)
