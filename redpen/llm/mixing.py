@@ -11,12 +11,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions.hashing import uniform
+from redpen.functions.text import let
 from redpen.session import stage
 
 BUCKETS = 1 << 16  # hashed words; fixes the size of the classifier
 LABELLED = 20_000  # labelled rows that the classifier is fitted on, chosen by a hash
-SMOOTHING = 0.5
+SMOOTHING = 10.0  # documents of average content that each domain is given
 SIGNIFICANT = 6.0  # standard errors by which a word must differ between domains to count
+VARIED = 20  # words from which on a document's variety counts
 STEPS = 40
 RIDGE = 1e-3  # weight of the distance of rates from one against the errors
 CLOSE = 1e-6  # gradient, relative to the largest target, at which the fit ends
@@ -35,12 +37,24 @@ def feature(word: Column) -> Column:
     return F.when(word.rlike(r"^[\p{L}.,]+$"), F.lower(word)).otherwise(shape)
 
 
+def features(words_: Column) -> Column:
+    """The different features of a document, and how varied it is: the tenths that different ones make up of its words.
+
+    A word that is repeated a thousand times says no more than once; that it is repeated tells something of its own.
+    """
+    def varied(different: Column) -> Column:
+        tenths = F.concat(F.lit("different/10: "), F.floor(F.size(different) * 10 / F.greatest(F.size(words_), F.lit(1))).cast("string"))
+        return F.concat(different, F.filter(F.array(tenths), lambda x: F.size(words_) >= VARIED))
+
+    return let(F.array_distinct(F.transform(words_, feature)), varied)
+
+
 def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, domains: list[str], bound: int = LABELLED) -> tuple[DataFrame, list[float]]:
-    """(weights, priors): log likelihoods per bucket and domain, and the log share of each domain.
+    """(weights, priors): log chances of a bucket in a document of each domain, and the log share of each domain.
 
     Fitted on at most ``bound`` labelled rows, taken in the order of a hash of their ids. Words whose counts do
     not differ significantly between the domains have no weight. The table has at most BUCKETS rows.
@@ -48,20 +62,19 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, do
     known = labelled.filter(F.col(domain).isin(domains) & F.col(key).isNotNull()).groupBy(key).agg(F.min(domain).alias("_domain"))
     sample = known.orderBy(F.xxhash64(key), key).limit(bound).select(F.col(key).alias("_key"), "_domain")
     taught = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")  # at most ``bound`` small rows
-    counted = taught.select("_domain", F.explode(words(F.col("_text"))).alias("w")).groupBy(bucket(feature(F.col("w"))).alias("bucket")).agg(
+    counted = taught.select("_domain", F.explode(features(words(F.col("_text")))).alias("w")).groupBy(bucket(F.col("w")).alias("bucket")).agg(
         *[F.count_if(F.col("_domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     )
     counted = stage(counted, "bucket-counts")
-    totals = [int(x or 0) for x in counted.agg(*[F.sum(f"n{i}") for i in range(len(domains))]).first()]
-    sizes = dict(sample.groupBy("_domain").count().collect())
-    rows = [sizes.get(d, 0) + 1.0 for d in domains]
-    priors = [float(np.log(r / sum(rows))) for r in rows]
-    all_words = max(sum(totals), 1)
+    sizes = dict(taught.groupBy("_domain").count().collect())
+    rows = [float(sizes.get(d, 0)) for d in domains]
+    every = max(sum(rows), 1.0)
+    priors = [float(np.log((r + 1.0) / (sum(rows) + len(rows)))) for r in rows]
     n = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0))
-    gaps = [F.abs(F.col(f"n{i}") - n * (t / all_words)) / F.sqrt(n * (t / all_words) + F.lit(1.0)) for i, t in enumerate(totals)]
+    gaps = [F.abs(F.col(f"n{i}") - n * (r / every)) / F.sqrt(n * (r / every) + F.lit(1.0)) for i, r in enumerate(rows)]
     gap = F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
-    # smoothed towards the share of the word in all domains
-    logs = [F.log((F.col(f"n{i}") + SMOOTHING * n / all_words * BUCKETS) / (t + SMOOTHING * BUCKETS)) for i, t in enumerate(totals)]
+    # the share of documents with the word, smoothed towards its share in all domains
+    logs = [F.log((F.col(f"n{i}") + SMOOTHING * n / every) / (r + SMOOTHING)) for i, r in enumerate(rows)]
     weights = counted.filter(gap > SIGNIFICANT).select("bucket", *[x.alias(f"w{i}") for i, x in enumerate(logs)])
     return stage(weights, "bucket-weights"), priors
 
@@ -69,17 +82,17 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, do
 def posteriors(docs: DataFrame, key: str, text: str, weights: DataFrame, priors: list[float], *others: str) -> DataFrame:
     """``key, others, text_hash, n_tokens, p`` (array by domain): one row per input row.
 
-    The words of a document meet the weights (at most BUCKETS rows, broadcast) where they lie; only sums move.
+    The different words of a document meet the weights (at most BUCKETS rows, broadcast) where they lie; only sums move.
     Documents without words have the prior.
     """
     k = len(priors)
     own = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(key), *others, F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("_words")
-    )
-    at = own.select("_row", key, *others, "text_hash", F.explode_outer("_words").alias("w")).withColumn("bucket", bucket(feature(F.col("w"))))
+    ).withColumn("n_tokens", F.size("_words").cast("long"))
+    at = own.select("_row", key, *others, "text_hash", "n_tokens", F.explode_outer(features(F.col("_words"))).alias("w")).withColumn("bucket", bucket(F.col("w")))
     met = at.join(F.broadcast(weights), "bucket", "left")
-    sums = met.groupBy("_row", key, *others, "text_hash").agg(
-        F.count("w").alias("n_tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
+    sums = met.groupBy("_row", key, *others, "text_hash", "n_tokens").agg(
+        *[F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(k)]
     )
     logits = [F.col(f"s{i}") + priors[i] for i in range(k)]
     top = F.greatest(*logits) if k > 1 else logits[0]

@@ -63,6 +63,10 @@ def test_mixing(spark, steps):
     ).collect()
     assert set(texts(steps[4])) == {r["doc_id"] for r in rated if r["copies"] > 0}
     assert all(r["copies"] > 0 for r in rated if r["rate"] >= 1)
+    marks = {r["doc_id"]: r["domain"] for r in mixing.quality_domains(spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    stays = {d: [r["copies"] > 0 for r in rated if marks.get(r["doc_id"]) == d] for d in ("clean", "toxic")}
+    share = {d: sum(x) / len(x) for d, x in stays.items()}
+    assert share["clean"] > 0.9 and share["toxic"] < share["clean"]
 
 
 def test_pieces(steps):
