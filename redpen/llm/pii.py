@@ -1,7 +1,7 @@
 """Personal data with offset-preserving deobfuscation.
 
-Base spans come from the text as it stands. For disguised ones the text runs through three
-transducers (characters, at/dot disguises, spelled digits). Each is a list of edits with the
+Base spans come from the text as it stands. For disguised ones the text runs through four
+transducers (characters, at/dot disguises of mail addresses, dot disguises of IP addresses, spelled digits). Each is a list of edits with the
 source range that every output character stands for; the maps compose, so a span found in
 the normalised text goes back to the exact characters of the source.
 """
@@ -111,11 +111,20 @@ DOT = re.compile(rf"(?P<framed> {{0,2}}{_OPEN} ?(?:{_any(DOT_WORDS)}|\.) ?{_CLOS
 _DIGIT = rf"(?:{_any(VALUE)})(?![^\W\d_])"
 _JOIN = rf"(?: ?[.-] ?| (?:{_any(DOT_WORDS)}) | )"
 SPELLED = re.compile(
-    rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)}) |\+ ?)?(?:{_DIGIT}|[0-9]+)(?:{_JOIN}(?:{_DIGIT}|[0-9]+)){{6,}}", re.I
+    rf"(?<!\w)(?:(?:{_any(PLUS_WORDS)}) |\+ ?)?(?:{_DIGIT}|[0-9]++)(?:{_JOIN}(?:{_DIGIT}|[0-9]++))*", re.I
 )
-SPELLED_HINT = re.compile(rf"(?<!\w){_DIGIT}{_JOIN}(?:{_DIGIT}|[0-9])", re.I)
+# no run with a word and another unit lacks it
+SPELLED_HINT = re.compile(rf"(?<!\w){_DIGIT}{_JOIN}(?:{_DIGIT}|[0-9])|[0-9]{_JOIN}{_DIGIT}|(?<!\w)(?:{_any(PLUS_WORDS)}) [0-9]", re.I)
+LEAST_DIGITS = 7
 SPELLED_PART = re.compile(rf"(?P<plus>{_any(PLUS_WORDS)}) ?|(?P<digit>{_any(VALUE)})|(?P<dot> ?(?:{_any(DOT_WORDS)}) ?)|(?P<gap> )|(?P<rest>[0-9+.-]+)", re.I)
 
+_DOT = rf"(?: {{0,2}}{_OPEN} ?(?:{_any(DOT_WORDS)}|\.) ?{_CLOSE} {{0,2}}| (?:{_any(DOT_WORDS)}) |\.)"
+_GROUP = rf"([0-9]++|{_DIGIT}(?: {_DIGIT}){{0,2}})"
+QUAD = re.compile(rf"(?<!\w){_GROUP}({_DOT}){_GROUP}({_DOT}){_GROUP}({_DOT}){_GROUP}", re.I)
+# each begins with few characters, so that most texts are passed over quickly
+FRAMED_HINT = re.compile(rf"{_OPEN} ?(?:{_any(DOT_WORDS)}|\.) ?{_CLOSE}", re.I)
+SPELLED_QUAD_HINT = re.compile(rf"\.(?:{_DIGIT}|(?<=[^\W\d_]\.)[0-9])", re.I)
+
 Edit = tuple[int, int, str]
 
 
@@ -162,19 +171,49 @@ def address_edits(text: str) -> list[Edit]:
     return edits
 
 
+def quad_edits(text: str) -> list[Edit]:
+    """Four groups of digits or spelled digits up to 255 with dots between them, of which some are disguised."""
+    edits, at = [], 0
+    low = text.lower()
+    if not (any(f" {w} " in low for w in DOT_WORDS) or FRAMED_HINT.search(text) or SPELLED_QUAD_HINT.search(text)):
+        return edits
+    while m := QUAD.search(text, at):
+        groups = [m.span(i) for i in (1, 3, 5, 7)]
+        values = ["".join(VALUE.get(w, w) for w in text[s:e].lower().split(" ")) for s, e in groups]
+        while len(values[3]) > 1 and not _small(values[3]) and " " in text[slice(*groups[3])]:  # words behind the address
+            groups[3] = groups[3][0], text.rindex(" ", *groups[3])
+            values[3] = values[3][:-1]
+        if not all(map(_small, values)):
+            at = min(x for x in (text.find(" ", m.start(), m.end(1)), m.end(1)) if x >= 0)
+            continue
+        for i, (s, e) in enumerate(groups):
+            if text[s:e] != values[i]:
+                edits.append((s, e, values[i]))
+            if i < 3 and m[2 * i + 2] != ".":
+                edits.append((*m.span(2 * i + 2), "."))
+        at = groups[3][1]
+    return edits
+
+
 def digit_edits(text: str) -> list[Edit]:
-    """Runs of seven or more digits of which some are words: the words become digits."""
+    """Runs of seven or more digits of which some, or the plus before them, are words: the words become digits."""
     edits = []
     if not SPELLED_HINT.search(text):
         return edits
     for run in SPELLED.finditer(text):
+        if run.end() - run.start() < LEAST_DIGITS:
+            continue
         parts = list(SPELLED_PART.finditer(text, run.start(), run.end()))
+        if sum(1 if m.lastgroup == "digit" else sum(map(str.isdigit, m[0])) for m in parts) < LEAST_DIGITS:
+            continue
+        # a word beside an address is not part of its first or last group
+        edges = {x for m in IP.finditer(text, run.start(), run.end()) if all(map(_small, m[0].split("."))) for x in m.span()}
         for i, m in enumerate(parts):
             if m.lastgroup == "digit":
                 edits.append((m.start(), m.end(), VALUE[m[0].lower()]))
             elif m.lastgroup in ("plus", "dot"):
                 edits.append((m.start(), m.end(), "+" if m.lastgroup == "plus" else "."))
-            elif m.lastgroup == "gap" and "digit" in (parts[i - 1].lastgroup, parts[min(i + 1, len(parts) - 1)].lastgroup):
+            elif m.lastgroup == "gap" and m.end() not in edges and m.start() not in edges and "digit" in (parts[i - 1].lastgroup, parts[min(i + 1, len(parts) - 1)].lastgroup):
                 edits.append((m.start(), m.end(), ""))
     return edits
 
@@ -212,7 +251,7 @@ class Traced:
 def hidden_spans(text: str) -> list[tuple[int, str, int]]:
     """Spans that show only in the normalised text, as (start, kind, end) in the source."""
     steps = [Traced(text, edits)] if (edits := character_edits(text)) else []
-    for rule in (address_edits, digit_edits):
+    for rule in (address_edits, quad_edits, digit_edits):
         current = steps[-1].text if steps else text
         if edits := rule(current):
             steps.append(Traced(current, edits))

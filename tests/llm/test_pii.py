@@ -103,3 +103,33 @@ def test_query_against_the_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[1] for x in want) for k in SHAPES]
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+HIDDEN_NUMBERS = [
+    ("x 192 dot 168 dot 0 dot 1 y", "ip", "192 dot 168 dot 0 dot 1"),
+    ("x 192[.]168[.]0[.]1 y", "ip", "192[.]168[.]0[.]1"),
+    ("x 192.168 [dot] 0.1 y", "ip", "192.168 [dot] 0.1"),
+    ("x one dot one dot one dot one y", "ip", "one dot one dot one dot one"),
+    ("eight dot eight dot four dot four", "ip", "eight dot eight dot four dot four"),
+    ("300 dot 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
+    ("one 10 dot 0 dot 0 dot one nine nine", "ip", "10 dot 0 dot 0 dot one nine nine"),
+    ("eight dot eight dot four dot four nine nine", "ip", "eight dot eight dot four dot four nine"),
+    ("call plus 49 151 2345 six seven eight now", "phone", "plus 49 151 2345 six seven eight"),
+    ("call +49 30 1234567 eight nine now", "phone", "+49 30 1234567 eight nine"),
+    ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+]
+
+
+@pytest.mark.parametrize("text,kind,part", HIDDEN_NUMBERS)
+def test_hidden_numbers(text, kind, part):
+    assert (kind, part) in [(k, text[s:e]) for s, k, e, base in pii.all_spans(text) if not base]
+
+
+@pytest.mark.parametrize("text", ["256 dot 1 dot 1 dot 1", "1 dot 2 dot 3", "in 2010 one of 12", "section 3 point 4", "plus 12 345"])
+def test_other_numbers_stay(text):
+    assert pii.all_spans(text) == []
+
+
+def test_runs_of_groups_take_linear_time():
+    for text in ("1 dot " * 60_000, "999 dot " * 60_000, "one dot " * 60_000, "one 9." * 60_000, "9" * 300_000 + " dot 1", "7 " * 100_000 + "one 2"):
+        pii.all_spans(text)
