@@ -234,10 +234,13 @@ def write_probabilities(spark, sf):
 PROBABILITIES = "SELECT round(label / 16.0::DOUBLE, 6) AS p, round(1 - label / 16.0::DOUBLE, 6) AS q FROM embeddings"
 
 
+QA_FILE_BYTES = 16 << 20  # text of a nested file, about
+
+
 def read_qa_json(spark, sf):
     """Documents as paragraphs with one question each: answers from any place, one question in eight unanswerable.
 
-    Every written file is one nested object, as the format has it.
+    Every written file is one nested object, as the format has it. Their number grows with the texts, so that none does.
     """
     path = staged_path(spark, "qa-json")
     docs = v.documents(spark, sf).filter(F.length("text") > 0)
@@ -249,9 +252,11 @@ def read_qa_json(spark, sf):
         impossible.alias("is_impossible"), F.when(impossible, F.expr("cast(array() as array<struct<text:string, answer_start:int>>)")).otherwise(F.array(answer)).alias("answers"),
     )
     paragraph = F.struct(F.col("text").alias("context"), F.array(qa).alias("qas"))
-    blocks = docs.select(F.pmod(F.col("doc_id"), F.lit(16)).alias("block"), paragraph.alias("p")).groupBy("block").agg(F.collect_list("p").alias("paragraphs"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(16, -(-total // QA_FILE_BYTES))
+    blocks = docs.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(files)).alias("block"), paragraph.alias("p")).groupBy("block").agg(F.collect_list("p").alias("paragraphs"))
     entry = F.struct(F.array(F.struct(F.lit("t").alias("title"), F.col("paragraphs"))).alias("data"))
-    blocks.select("block", F.to_json(entry).alias("value")).repartition(16, "block").write.partitionBy("block").text(path)
+    blocks.select("block", F.to_json(entry).alias("value")).repartition(min(files, 2_000), "block").write.partitionBy("block").text(path)
     return readers.read_qa_json(spark, path, training=True, with_negative=True).select(
         "question_id", "question", "context", "is_impossible", "answer_text", F.col("answer_start").cast("bigint").alias("answer_start")
     )

@@ -258,3 +258,20 @@ def test_drop_empty_on_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_nested_files_grow_in_number(spark, monkeypatch):
+    from pathlib import Path
+
+    from redpen.plans import file_queries
+
+    paths, staged = [], file_queries.staged_path
+    monkeypatch.setattr(file_queries, "staged_path", lambda *a: paths.append(staged(*a)) or paths[-1])
+    sf = "/root/testdata/sf0.001"
+    found = []
+    for size in (16 << 20, 8 << 10):
+        monkeypatch.setattr(file_queries, "QA_FILE_BYTES", size, raising=False)
+        found.append(sorted(map(str, file_queries.read_qa_json(spark, sf).collect())))
+    few, many = ([f.stat().st_size for f in Path(p).rglob("*.txt")] for p in paths)
+    assert found[0] == found[1]
+    assert len(few) <= 16 < len(many) and max(many) < max(few)
