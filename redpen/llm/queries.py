@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, neardup, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
+from redpen.llm import chat, mixing, neardup, packing, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -153,6 +153,15 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10"""
 
+
+
+def op11_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = packing.pack_documents(table(spark, sf, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_odd_sketch_dedup": (op1_odd_sketch_dedup, OP1_SQL),
     "op2_kneser_ney_quality": (op2_kneser_ney_quality, None),
@@ -164,4 +173,5 @@ QUERIES = {
     "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
+    "op11_sum_of_squares_packing": (op11_sum_of_squares_packing, None),
 }
