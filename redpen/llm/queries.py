@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, neardup, packing, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
+from redpen.llm import chat, mixing, multiindex, neardup, packing, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -162,6 +162,32 @@ def op11_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_multi_index_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """One row in seven gets the next label first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").withColumn("label", label)
+    return multiindex.mine(vectors, "vec_id", "label", "embedding", F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, n.vec_id AS negative_id, positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score)
+WHERE rank <= 3"""
+
 QUERIES = {
     "op1_odd_sketch_dedup": (op1_odd_sketch_dedup, OP1_SQL),
     "op2_kneser_ney_quality": (op2_kneser_ney_quality, None),
@@ -174,4 +200,5 @@ QUERIES = {
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
     "op11_sum_of_squares_packing": (op11_sum_of_squares_packing, None),
+    "op13_multi_index_negatives": (op13_multi_index_negatives, OP13_SQL),
 }
