@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from redpen.llm import chat, mixing, multiindex, neardup, packing, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
+from redpen.llm import chat, convtrie, mixing, multiindex, neardup, packing, pieces, pii, quality, suffixtree, tokens, topk, vectorgraph
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -162,6 +162,53 @@ def op11_sum_of_squares_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def rebuilt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversation ids): conversations that begin with up to eight turns of the next smaller multiple of five."""
+    turns = convtrie.numbered(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    borrowed = F.crc32(F.col("conv").cast("string")) % 9
+    ids = turns.select("conv").distinct()
+    own = turns.filter(F.col("pos") > borrowed).withColumn("part", F.lit(1))
+    firsts = turns.filter("pos <= 8 and conv % 5 = 0").withColumnRenamed("conv", "base")
+    asked = ids.select("conv", (F.col("conv") - F.col("conv") % 5).alias("base"), borrowed.alias("borrowed")).filter("borrowed > 0")
+    begun = asked.join(firsts, "base").filter("pos <= borrowed").select(*turns.columns, F.lit(0).alias("part"))
+    return own.unionByName(begun), ids
+
+
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    turns, ids = rebuilt(spark, sf)
+    return convtrie.prefix_trie(turns, "conv", ["part", "pos"], "role", "text", ids).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
+OP12_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS said FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda acc, byte: list_reduce(list_concat([xor(acc, byte)], range(8)), lambda crc, bit: CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END)),
+    4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+parts AS (
+  SELECT i.conv_id, 0 AS part, pos, said FROM ids i JOIN turns t ON t.conv_id = i.conv_id - i.conv_id % 5 AND pos <= h
+  UNION ALL SELECT i.conv_id, 1, pos, said FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND pos > h),
+whole AS (
+  SELECT conv_id, coalesce(list(said ORDER BY part, pos) FILTER (WHERE said IS NOT NULL), []) AS said FROM ids LEFT JOIN parts USING (conv_id) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS depth FROM whole),
+nodes AS (
+  SELECT said[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN depth = len(said) THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL),
+children AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+valued AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE octet_length(encode(path[depth].text)) END AS own
+  FROM nodes n LEFT JOIN children c USING (path)),
+subtrees AS (
+  SELECT path[1:upto] AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum(own) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS upto FROM valued) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM valued n JOIN subtrees s ON s.path = n.path LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]"""
+
+
 def op13_multi_index_negatives(spark: SparkSession, sf: str) -> DataFrame:
     """One row in seven gets the next label first."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -200,5 +247,6 @@ QUERIES = {
     "op9_quotation_linking": (op9_quotation_linking, OP9_SQL),
     "op10_exact_topk": (op10_exact_topk, OP10_SQL),
     "op11_sum_of_squares_packing": (op11_sum_of_squares_packing, None),
+    "op12_conversation_trie": (op12_conversation_trie, OP12_SQL),
     "op13_multi_index_negatives": (op13_multi_index_negatives, OP13_SQL),
 }
