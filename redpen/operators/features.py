@@ -7,45 +7,79 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
-from redpen.functions.kernels import ids_udf, pieces_udf, sentence_pieces_udf, starts_udf, toggled_udf
-from redpen.operators.tagging import checked_rows, source_tokens
+from redpen.functions.kernels import cut_udf, pieces_udf, sentence_pieces_udf, starts_udf, substrings_udf, toggled_udf
+from redpen.operators.lookup import Lookup, key_filter, with_found
+from redpen.operators.tagging import source_tokens
+from redpen.session import stage
 
 CLS, SEP, PAD = "[CLS]", "[SEP]", "[PAD]"
 
 
 class PieceVocabulary:
-    """A checked word-piece table, broadcast once: cuts tokens and looks up ids."""
+    """A word-piece table of any size: cuts tokens and looks up ids.
+
+    A table that is small enough travels to the tasks once. For a larger one the distinct tokens of the rows are cut with those of
+    their substrings that a join finds in the table, and the pieces come back to the rows.
+    """
 
     def __init__(self, vocab: DataFrame, lower: bool = True, masking: bool = False):
-        table = {r.token: r.token_id for r in checked_rows(vocab.select("token", "token_id"))}
-        sc = vocab.sparkSession.sparkContext
-        self.ids = table
-        self._ids_udf = ids_udf(sc.broadcast(table))
-        known = sc.broadcast(frozenset(table))
-        self._cut_udf = pieces_udf(known, lower)
-        self._sentence_udf = sentence_pieces_udf(known, lower)
-        self.masking = masking
-
-    def pieces(self, token_list: Column) -> Column:
-        """One list of pieces per token."""
-        return self._cut_udf(token_list)
-
-    def sentence_pieces(self, sentences: Column) -> Column:
-        """One flat list of pieces per sentence."""
-        return self._sentence_udf(sentences)
-
-    def look_up(self, pieces: Column) -> Column:
-        """Ids of a flat piece list, after masking if that is switched on."""
-        return self._ids_udf(F.transform(pieces, text.masked_piece) if self.masking else pieces)
+        self.lookup = Lookup(vocab, "token", "token_id")
+        self.lower, self.masking = lower, masking
+        rows = self.lookup.rows
+        pad = rows.get(PAD) if rows is not None else next((r[0] for r in vocab.filter(F.col("token") == PAD).select("token_id").collect()), None)
+        self._pad_id = pad
+        if rows is not None:
+            known = vocab.sparkSession.sparkContext.broadcast(frozenset(rows))
+            self._cut_udf = pieces_udf(known, lower)
+            self._sentence_udf = sentence_pieces_udf(known, lower)
+        else:
+            self.longest = vocab.agg(F.coalesce(F.max(F.length("token")), F.lit(0))).first()[0]
+            self.bitmap = vocab.sparkSession.sparkContext.broadcast(key_filter(vocab, "token"))
+
+    def _cut_table(self, tokens: DataFrame) -> DataFrame:
+        """``token, pieces`` of distinct tokens."""
+        asked = tokens.withColumn("_asked", substrings_udf(self.bitmap, self.longest, self.lower)("token"))
+        found = with_found(asked, "_asked", self.lookup.table, "token", "token_id")
+        return found.select("token", cut_udf(self.lower)("token", "found_keys").alias("pieces"))
+
+    def add_pieces(self, df: DataFrame, **tokens: Column) -> DataFrame:
+        """Add columns with one list of pieces per token of a token list."""
+        for out, column in tokens.items():
+            if self.lookup.rows is not None:
+                df = df.withColumn(out, self._cut_udf(column))
+                continue
+            df = stage(df.withColumn("_tokens", column), "tokens")
+            cut = stage(self._cut_table(df.select(F.explode("_tokens").alias("token")).distinct()), "cut-tokens")
+            df = Lookup.joined(cut, "token", "pieces").add(df, out, F.col("_tokens")).drop("_tokens")
+        return df
+
+    def add_sentence_pieces(self, df: DataFrame, out: str, sentences: Column) -> DataFrame:
+        """Add one flat list of pieces per sentence of a list of token lists."""
+        if self.lookup.rows is not None:
+            return df.withColumn(out, self._sentence_udf(sentences))
+        df = df.withColumn("_sentences", sentences)
+        df = self.add_pieces(df, _all=F.flatten("_sentences"))
+        upto = F.aggregate("_sentences", F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(s))))
+        df = df.withColumn("_upto", upto)
+        flat = F.transform("_sentences", lambda s, i: F.flatten(F.slice("_all", F.get("_upto", i) + 1, F.size(s))))
+        return df.withColumn(out, flat).drop("_sentences", "_all", "_upto")
+
+    def add_ids(self, df: DataFrame, **pieces: Column) -> DataFrame:
+        """Add columns with the ids of flat piece lists, after masking if that is switched on."""
+        for out, column in pieces.items():
+            df = self.lookup.add(df, out, F.transform(column, text.masked_piece) if self.masking else column)
+        return df
 
     @property
     def pad_id(self) -> int:
-        return self.ids[PAD]
+        if self._pad_id is None:
+            raise KeyError(PAD)
+        return self._pad_id
 
 
 def wordpiece_table(df: DataFrame, vocab: PieceVocabulary, col: str = "tokens") -> DataFrame:
     """Add ``pieces``: one list per token."""
-    return df.withColumn("pieces", vocab.pieces(F.col(col)))
+    return vocab.add_pieces(df, pieces=F.col(col))
 
 
 def padded(items: Column, length: int, fill: Column) -> Column:
@@ -114,10 +148,10 @@ def edit_features(
     Needs ``tokens`` and ``tags``, and ``pos_tags`` for the part-of-speech embeddings.
     ``token_starts`` is the position of each token's first piece before truncation.
     """
-    table = label_map if isinstance(label_map, dict) else {r.tag: r.tag_id for r in checked_rows(label_map)}
-    tag_ids = ids_udf(df.sparkSession.sparkContext.broadcast(table))
+    if isinstance(label_map, dict):
+        label_map = df.sparkSession.createDataFrame(list(label_map.items()), "tag string, tag_id int")
     room = max_len - 2
-    step = df.withColumns({"_p": vocab.pieces(F.col("tokens")), "_l": tag_ids(F.col("tags"))})
+    step = vocab.add_pieces(Lookup(label_map, "tag", "tag_id").add(df, "_l", F.col("tags")), _p=F.col("tokens"))
     step = step.withColumns({
         "_flat": F.slice(F.flatten("_p"), 1, room),
         "_lab": F.slice(repeat_over_pieces(F.col("_l"), F.col("_p")), 1, room),
@@ -140,7 +174,7 @@ def edit_features(
         return F.concat(F.array(F.lit(start)), items, F.array(F.lit(end)))
 
     zero = F.lit(0)
-    step = step.withColumn("_ids", vocab.look_up(framed(F.col("_flat"), CLS, SEP)))
+    step = vocab.add_ids(step, _ids=framed(F.col("_flat"), CLS, SEP))
     return step.select(
         *keep,
         padded(F.col("_ids"), max_len, F.lit(vocab.pad_id)).alias("input_ids"),
@@ -163,13 +197,14 @@ def token_labels(labels: Column, unmasked: Callable[[Column], Column], starts: C
 
 
 def _text_features(df: DataFrame, vocab: PieceVocabulary, col: str, max_len: int, suffix: str) -> DataFrame:
-    pieces = F.slice(F.flatten(vocab.pieces(text.tokens(F.col(col)))), 1, max_len - 2)
-    step = df.withColumn("_ids", vocab.look_up(F.concat(F.array(F.lit(CLS)), pieces, F.array(F.lit(SEP)))))
+    step = vocab.add_pieces(df, _p=text.tokens(F.col(col)))
+    pieces = F.slice(F.flatten("_p"), 1, max_len - 2)
+    step = vocab.add_ids(step, _ids=F.concat(F.array(F.lit(CLS)), pieces, F.array(F.lit(SEP))))
     return step.withColumns({
         f"input_ids{suffix}": padded(F.col("_ids"), max_len, F.lit(vocab.pad_id)),
         f"input_mask{suffix}": padded(F.transform("_ids", lambda i: F.lit(1)), max_len, F.lit(0)),
         f"segment_ids{suffix}": F.array_repeat(F.lit(0), max_len),
-    }).drop("_ids")
+    }).drop("_p", "_ids")
 
 
 def grammar_features(df: DataFrame, vocab: PieceVocabulary, max_len: int, col: str = "text") -> DataFrame:
@@ -202,11 +237,8 @@ def pair_features(
     label: str = "label",
 ) -> DataFrame:
     """``[CLS] a [SEP] b [SEP]`` rows; a null second text gives a single-text row."""
-    flat = {
-        "_a": F.flatten(vocab.pieces(text.tokens(F.col(text_a)))),
-        "_b": F.flatten(vocab.pieces(text.tokens(F.coalesce(F.col(text_b), F.lit(""))))),
-    }
-    step = df.withColumns(flat)
+    step = vocab.add_pieces(df, _a=text.tokens(F.col(text_a)), _b=text.tokens(F.coalesce(F.col(text_b), F.lit(""))))
+    step = step.withColumns({c: F.flatten(c) for c in ("_a", "_b")})
     two = F.col(text_b).isNotNull() & (F.size("_b") > 0)
     keep_a, keep_b = fitted_lengths(F.size("_a"), F.size("_b"), max_len - 3)
     step = step.withColumns({
@@ -216,7 +248,7 @@ def pair_features(
     })
     head = F.concat(F.array(F.lit(CLS)), F.col("_a"), F.array(F.lit(SEP)))
     tail = F.when(F.col("_two"), F.concat("_b", F.array(F.lit(SEP)))).otherwise(F.expr("cast(array() as array<string>)"))
-    step = step.withColumns({"_ids": vocab.look_up(F.concat(head, tail)), "_h": F.size("_a") + 2})
+    step = vocab.add_ids(step, _ids=F.concat(head, tail)).withColumn("_h", F.size("_a") + 2)
     segment = F.transform("_ids", lambda x, i: F.when(i < F.col("_h"), 0).otherwise(1))
     out = {
         "input_ids": padded(F.col("_ids"), max_len, F.lit(0)),

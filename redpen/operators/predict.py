@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from redpen.functions import text
 from redpen.functions.kernels import repair_udf
 from redpen.operators.features import PieceVocabulary, edit_features, feature_tokens, grammar_features, token_labels
+from redpen.operators.lookup import Lookup
 from redpen.operators.pairs import clean_text, drop_empty_pairs
 from redpen.operators.ranking import union_all
-from redpen.operators.tagging import apply_infeasible_policy, checked_rows, realize
+from redpen.operators.tagging import apply_infeasible_policy, realize
 
 # A predictor takes a frame with input_ids, input_mask and segment_ids, and returns one
 # list of label ids per row. The factory runs once per task.
@@ -50,14 +51,6 @@ def _predicted(factory: Callable[[], Predictor], kind: str, batch: int) -> Colum
     return predict.asNondeterministic()(*INPUTS)
 
 
-def tags_by_id(ids: dict[str, int]) -> Column:
-    """A constant list with every tag at its id, so that a look-up is one step."""
-    slots = [""] * (max(ids.values()) + 1)
-    for tag, at in ids.items():
-        slots[at] = tag
-    return F.split(F.lit("\n".join(slots)), "\n")
-
-
 def predict_table(
     df: DataFrame,
     factory: Callable[[], Predictor],
@@ -72,15 +65,14 @@ def predict_table(
 
     Labels missing for cut tokens mean KEEP.
     """
-    ids = {r.tag: r.tag_id for r in checked_rows(label_map)}
-    by_id = tags_by_id(ids)
+    keep_id = label_map.filter("tag = 'KEEP'").first()["tag_id"]
+    by_id = Lookup(label_map, "tag_id", "tag", default="")
     tagged = apply_infeasible_policy(feature_tokens(df), "predict")
-    rows = edit_features(tagged, vocab, ids, max_len, embedding, keep=(key, "sources", "target"))
+    rows = edit_features(tagged, vocab, label_map, max_len, embedding, keep=(key, "sources", "target"))
     scored = rows.withColumn("pred", _predicted(factory, "array<int>", batch))
     inner = lambda at: (at > 0) & (at < F.size("pred") - 1)
-    labels = token_labels(F.col("pred"), inner, F.col("token_starts"), ids["KEEP"])
-    tags = F.transform(labels, lambda i: F.get(by_id, i))
-    return realize(scored.withColumn("tags", tags), out="prediction").select(
+    labels = token_labels(F.col("pred"), inner, F.col("token_starts"), keep_id)
+    return realize(by_id.add(scored, "tags", labels), out="prediction").select(
         key, "sources", "target", "prediction"
     )
 

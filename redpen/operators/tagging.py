@@ -4,20 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from redpen.functions.kernels import tags_udf
+from redpen.functions.kernels import row_tags_udf, spans_udf, tags_udf
 from redpen.functions.text import lower_first, spaced, tokens, upper_first
-from redpen.operators.vocabulary import label_map_phrases
-
-MAX_LABELS = 1_000_000  # a label map is a dimension table; beyond this size it is a mistake
-
-
-def checked_rows(df: DataFrame, limit: int = MAX_LABELS) -> list:
-    """Rows of a dimension table, refusing tables that have outgrown the driver."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"dimension table has more than {limit} rows")
-    return rows
-
+from redpen.operators.lookup import Lookup, key_filter, travelling, with_found
+from redpen.operators.vocabulary import label_map_phrases, parse_tags
 
 def source_tokens(sources: Column) -> Column:
     return F.flatten(F.transform(sources, tokens))
@@ -33,13 +23,24 @@ def first_tokens(sources: Column) -> Column:
 def tag_pairs(df: DataFrame, label_map: DataFrame, do_swap: bool = True) -> DataFrame:
     """Add ``tokens, tags, feasible, swapped`` to ``sources, target``.
 
-    The phrase list is a checked dimension table and travels as a broadcast variable.
+    Phrases of a label map that is small enough travel to the tasks. With a larger one the spans of each target that may be
+    asked for are joined with the phrases, and the tags are decided from what was found.
     """
-    phrases = [r.phrase for r in checked_rows(label_map_phrases(label_map).select("phrase"))]
-    tag = tags_udf(df.sparkSession.sparkContext.broadcast(phrases), do_swap)
+    phrases = label_map_phrases(label_map)
+    listed = travelling(phrases.select("phrase"))
+    if listed is not None:
+        held = df.sparkSession.sparkContext.broadcast([r["phrase"] for r in listed])
+        tagged = df.withColumn("_t", tags_udf(held, do_swap)(F.col("sources"), F.col("target")))
+    else:
+        lowered = phrases.select(F.lower("phrase").alias("phrase"), "length").groupBy("phrase").agg(F.max("length").alias("length"))
+        longest = lowered.agg(F.max("length")).first()[0]
+        bitmap = df.sparkSession.sparkContext.broadcast(key_filter(lowered, "phrase"))
+        asked = df.withColumn("_asked", spans_udf(bitmap, longest)(F.col("sources"), F.col("target")))
+        found = with_found(asked, "_asked", lowered, "phrase", "length")
+        tag = row_tags_udf(do_swap)(F.col("sources"), F.col("target"), F.col("found_keys"))
+        tagged = found.withColumn("_t", tag).drop("_asked", "found_keys", "found_values")
     return (
-        df.withColumn("_t", tag(F.col("sources"), F.col("target")))
-        .withColumns({
+        tagged.withColumns({
             "tokens": source_tokens(F.col("sources")),
             "tags": F.col("_t.tags"),
             "swapped": F.col("_t.swapped"),
@@ -148,21 +149,19 @@ def token_loss_weights(
     A label with a phrase takes the add weight, on top of the weight of its kind; deleting
     a verb (by ``segment_ids``) is weighted by 1 + ``verb``.
     """
-    ids: dict[str, list[int]] = {"KEEP": [], "DELETE": [], "add": []}
-    for row in checked_rows(label_map):
-        kind, _, phrase = row.tag.partition("|")
-        ids.setdefault(kind, []).append(row.tag_id)
-        if phrase:
-            ids["add"].append(row.tag_id)
+    parsed = parse_tags(label_map)
+    kinds = F.when(F.col("kind") == "KEEP", 1).when(F.col("kind") == "DELETE", 2).otherwise(0)
+    code = (kinds + F.when(F.col("phrase") != "", 4).otherwise(0)).cast("int")
+    classes = Lookup(parsed.select("tag_id", code.alias("code")), "tag_id", "code", default=0)
+    step = classes.add(df, "_codes", F.col("labels"))
 
     def weight(x: Column) -> Column:
-        label, segment = x["labels"], x["segment_ids"]
-        deletes = label.isin(ids["DELETE"])
+        kind = x["_codes"].bitwiseAND(F.lit(3))
         return (
-            F.when(label.isin(ids["add"]), F.lit(float(add))).otherwise(1.0)
-            * F.when(label.isin(ids["KEEP"]), F.lit(float(keep))).otherwise(1.0)
-            * F.when(deletes, F.lit(float(delete))).otherwise(1.0)
-            * F.when(deletes & segment.isin(VERB_IDS[tagset]), F.lit(1.0 + verb)).otherwise(1.0)
+            F.when(x["_codes"] >= 4, F.lit(float(add))).otherwise(1.0)
+            * F.when(kind == 1, F.lit(float(keep))).otherwise(1.0)
+            * F.when(kind == 2, F.lit(float(delete))).otherwise(1.0)
+            * F.when((kind == 2) & x["segment_ids"].isin(VERB_IDS[tagset]), F.lit(1.0 + verb)).otherwise(1.0)
         )
 
-    return df.withColumn("weights", F.transform(F.arrays_zip("labels", "segment_ids"), weight))
+    return step.withColumn("weights", F.transform(F.arrays_zip("_codes", "segment_ids"), weight)).drop("_codes")

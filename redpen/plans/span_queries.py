@@ -346,12 +346,16 @@ UNION ALL SELECT inst_id, array_to_string(a, ' '), array_to_string(flatten(tail[
   lambda k: len(flatten(tail[1:k])) >= wanted)[1], len(tail))]), ' '), true FROM tails"""
 
 
+def _numbered(spark, words):
+    return spark.createDataFrame(list(enumerate(words)), "word_id long, word string")
+
+
 def mask_lm(spark, sf):
     """Every document line framed as an instance, one token in seven masked."""
     rows = v.lines(spark, sf).select(
         F.col("pair_id").alias("inst_id"), F.concat(F.array(F.lit("[CLS]")), "toks", F.array(F.lit("[SEP]"))).alias("tokens")
     )
-    done = masked_lm.mask_lm(rows, ["and", "or", "but", "so"], 0.15, 20, SEED)
+    done = masked_lm.mask_lm(rows, _numbered(spark, ["and", "or", "but", "so"]), 0.15, 20, SEED)
     return done.select(
         "inst_id", text.spaced(F.col("masked_tokens")).alias("masked_tokens"), _ints("masked_pos"),
         text.spaced(F.col("masked_labels")).alias("masked_labels"),
@@ -377,12 +381,12 @@ LINE_LEN, LINE_MASKS, LETTERS4 = 48, 8, ["a", "b", "c", "d"]
 def instance_features(spark, sf):
     """Both halves of every line as an instance: cut at random ends, masked, encoded, padded."""
     vocab = pieces(spark, sf)
-    side = lambda i: F.flatten(vocab.pieces(text.tokens(F.coalesce(F.get("sources", F.lit(i)), F.lit("")))))
-    rows = v.fusion(spark, sf).select(
-        F.col("pair_id").alias("inst_id"), side(0).alias("a"), side(1).alias("b"), (F.size("sources") == 1).alias("is_random_next")
+    side = lambda i: text.tokens(F.coalesce(F.get("sources", F.lit(i)), F.lit("")))
+    rows = vocab.add_pieces(v.fusion(spark, sf), a=side(0), b=side(1)).select(
+        F.col("pair_id").alias("inst_id"), F.flatten("a").alias("a"), F.flatten("b").alias("b"), (F.size("sources") == 1).alias("is_random_next")
     )
     cut = masked_lm.instances(masked_lm.truncate_pair(rows, LINE_LEN - 3, SEED))
-    masked = masked_lm.mask_lm(cut, LETTERS4, 0.15, LINE_MASKS, SEED)
+    masked = masked_lm.mask_lm(cut, _numbered(spark, LETTERS4), 0.15, LINE_MASKS, SEED)
     done = masked_lm.instance_features(masked, vocab, LINE_LEN, LINE_MASKS)
     return done.select(
         "inst_id", *[_ints(c) for c in ("input_ids", "input_mask", "segment_ids", "masked_lm_positions", "masked_lm_ids")],
@@ -425,8 +429,7 @@ def training_instances(spark, sf):
     listed = stage(listed, "sentences")
     chunks = masked_lm.pack_sentences(masked_lm.duplicate_with_seed(listed, DUPES), LM_LEN, SHORT, SEED)
     paired = masked_lm.truncate_pair(masked_lm.random_next(chunks, listed, SEED), LM_LEN - 3, SEED)
-    words = [t for t in vocab.ids if not t.startswith(("[", "##"))]
-    masked = masked_lm.mask_lm(masked_lm.instances(paired), words, 0.15, 20, SEED, whole_word=True)
+    masked = masked_lm.mask_lm(masked_lm.instances(paired), masked_lm.whole_words(vocab.lookup.table), 0.15, 20, SEED, whole_word=True)
     return masked_lm.instance_features(masked, vocab, LM_LEN, 20)
 
 

@@ -165,7 +165,7 @@ def test_instance_features(spark):
         [(t, i) for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b", "c"])], "token string, token_id int"
     ))
     df = spark.createDataFrame([("x", ["a", "b"], ["c"], True)], "inst_id string, a array<string>, b array<string>, is_random_next boolean")
-    masked = masked_lm.mask_lm(masked_lm.instances(df), ["a"], 0.4, 4, 1)
+    masked = masked_lm.mask_lm(masked_lm.instances(df), spark.createDataFrame([(0, "a")], "word_id long, word string"), 0.4, 4, 1)
     r = masked_lm.instance_features(masked, vocab, 8, 4).first()
     assert len(r.input_ids) == len(r.segment_ids) == 8 and r.segment_ids == [0, 0, 0, 0, 1, 1, 0, 0]
     assert sum(r.masked_lm_weights) == 2 and r.next_sentence_label == 1

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from redpen.functions import kernels
@@ -80,33 +81,82 @@ def test_label_map(spark):
         vocabulary.parse_tags(bad).collect()
 
 
-ROSE, FELL = "Prices rose in May .", "Prices fell in June ."
 K, D = "KEEP", "DELETE"
-CASES = [
-    ([ROSE, FELL], "Prices rose in May but fell in June .", ["but"], [K] * 4 + ["DELETE|but", D] + [K] * 4),
-    ([ROSE, FELL], "Prices rose in May çüğ fell in June .", ["çüğ"], [K] * 4 + ["DELETE|çüğ", D] + [K] * 4),
-    ([ROSE, FELL], "Prices fell in June but rose in May .", ["but"], [D] + [K] * 3 + ["SWAP"] + [K] * 4 + ["DELETE|but"]),
-    ([ROSE, "Prices were a worry ."], "Prices ; a worry ; rose in May .", [";"], [D] + [K] * 3 + ["SWAP", K, "DELETE|;"] + [K] * 2 + ["DELETE|;"]),
-    (["go . So stay ."], "go ; so stay .", [";", "so", "; so"], [K, "DELETE|;", K, K, K]),
-    (["go . So stay ."], "go ; so stay .", ["; so"], [K, "DELETE|; so", D, K, K]),
-    ([ROSE, FELL], "Prices rose in May but fell in June .", ["while"], []),
-    (["no no no"], "yes", ["maybe"], []),
-    ([""], "x", ["x"], []),
-]
-
-
-@pytest.mark.parametrize("sources, target, phrases, tags", CASES)
-def test_tagger(sources, target, phrases, tags):
-    assert kernels.Tagger(phrases).tags(sources, target, True)[0] == tags
+WORDS, ADDED = "abc", ("x", "y", "x y")  # no word of a phrase is a word of a source
+
+
+def told(sources, tags):
+    """The target that tags stand for, by their meaning: a phrase, then the token unless it goes; SWAP turns the sources round."""
+    parts = [s.split() for s in sources]
+    pairs = list(zip([t for p in parts for t in p], tags, strict=True))
+    first = len(parts[0])
+    if len(parts) == 2 and tags[first - 1].startswith("SWAP"):
+        pairs = pairs[first:] + pairs[:first]
+    return [w for token, tag in pairs for w in [*tag.partition("|")[2].split(), *([] if tag.startswith(D) else [token])]]
+
+
+def reachable(source, target, phrases):
+    """Whether some choice of kept tokens, each with at most one phrase before it, spells the target."""
+    if not target:
+        return True
+    for n in range(len(target)):
+        if n == 0 or " ".join(target[:n]) in phrases:
+            for at, token in enumerate(source):
+                if token == target[n] and reachable(source[at + 1 :], target[n + 1 :], phrases):
+                    return True
+    return False
+
+
+SOURCE = st.lists(st.sampled_from(WORDS), min_size=1, max_size=5)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(SOURCE, min_size=1, max_size=2), st.lists(st.sampled_from(WORDS + "xy"), min_size=1, max_size=6), st.sets(st.sampled_from(ADDED)), st.booleans())
+def test_tagger_by_trying_everything(parts, target, phrases, swap):
+    sources = [" ".join(p) for p in parts]
+    tags, swapped = kernels.Tagger(phrases).tags(sources, " ".join(target), swap)
+    straight = reachable([t for p in parts for t in p], target, phrases)
+    turned = swap and len(parts) == 2 and reachable(parts[1] + parts[0], target, phrases)
+    assert bool(tags) == (straight or turned) and swapped == (turned and not straight)
+    if tags:
+        # SWAP takes the place of the last token's own kind, so that token stays even where the target ends before it
+        assert told(sources, tags) in ([target, [*target, parts[0][-1]]] if swapped else [target])
+        assert {t.partition("|")[2] for t in tags} <= {*phrases, ""}
+
+
+def random_tagged(seed, n):
+    """Rows with sources and the target that random tags give."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        parts = [rng.choices(["Red", "sky", "ünder", "no", "."], k=rng.randint(1, 8)) for _ in range(rng.randint(1, 2))]
+        tags, held = [], False
+        for _ in [t for p in parts for t in p]:
+            tag = rng.choice([K, K, D])
+            if not held and rng.random() < 0.3:  # one phrase for a gap
+                tag, held = f"{tag}|{rng.choice(['but', 'or so'])}", True
+            held = held and tag.startswith(D)
+            tags.append(tag)
+        target = told([" ".join(p) for p in parts], tags)
+        while target and target[-1] in ("but", "or", "so"):  # nothing can be added behind the last kept token
+            target.pop()
+        if target:
+            rows.append((i, [" ".join(p) for p in parts], " ".join(target)))
+    return rows
 
 
 def test_tags_and_back(spark):
-    rows = [(i, s, t) for i, (s, t, p, _) in enumerate(CASES) if p == ["but"] or p == [";"]]
+    """Whatever random tags made is found again and realised as the same words."""
+    rows = random_tagged(8, 400)
     df = spark.createDataFrame(rows, "pair_id bigint, sources array<string>, target string")
-    labels = spark.createDataFrame([("KEEP", 0), ("DELETE|but", 1), ("KEEP|;", 2)], "tag string, tag_id int")
+    labels = spark.createDataFrame([("KEEP", 0), ("DELETE|but", 1), ("KEEP|or so", 2)], "tag string, tag_id int")
     tagged = tagging.tag_pairs(df, labels)
-    for r in tagging.realize(tagged).collect():
-        assert r.feasible and r.realized.lower() == r.target.lower()
+    done = tagging.realize(tagged).collect()
+    assert len(done) == len(rows) > 300
+    for r in done:
+        assert r.feasible and r.realized.lower().split() == r.target.lower().split()
+    none = spark.createDataFrame([(1, [""], "x"), (2, ["a"], "b")], "pair_id bigint, sources array<string>, target string")
+    assert not any(r.feasible for r in tagging.tag_pairs(none, labels).collect())
 
 
 REALIZE = [
