@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from itertools import accumulate
 
 import pyarrow as pa
@@ -270,8 +271,14 @@ def all_spans(text: str) -> list[tuple[int, str, int, bool]]:
     """(start, kind, end, base): base spans, and hidden ones that no base span of their kind holds."""
     base = base_spans(text)
     extra = hidden_spans(text)
-    held = [x for x in extra if any(b[1] == x[1] and b[0] <= x[0] and x[2] <= b[2] for b in base)] if extra else []
-    spans = [(*b, True) for b in base] + [(*x, False) for x in dict.fromkeys(extra) if x not in held]
+    of_kind = {kind: sorted((b[0], b[2]) for b in base if b[1] == kind) for kind in KINDS} if extra else {}
+
+    def held(start: int, kind: str, end: int) -> bool:
+        # base spans of a kind do not overlap, so only the last one that starts at or before can hold it
+        at = bisect_right(of_kind[kind], (start, len(text))) - 1
+        return at >= 0 and end <= of_kind[kind][at][1]
+
+    spans = [(*b, True) for b in base] + [(*x, False) for x in dict.fromkeys(extra) if not held(*x)]
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
