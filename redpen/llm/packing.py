@@ -11,121 +11,19 @@ Texts are encoded and packed where they lie; only the last open window of each t
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
-from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from redpen.llm.batches import parts
+from redpen.llm.encoding import WordEncoder
 from redpen.session import staged_path
 
 WINDOW = 2048
 OPEN_WINDOWS = 4096  # windows that a task holds open; beyond it they are settled
 TOGETHER = 1024  # tasks whose last open windows meet in one place
-MEMO_UNITS = 400_000  # encoded words that a task remembers
-
-# ---------------------------------------------------------------- encoding texts
-
-
-class WordEncoder:
-    """Ids of whole texts for a tokenizer that lowers case, drops white space and never merges over it.
-
-    Each distinct word between ASCII spaces is encoded once per task. Strings of special tokens are cut out first and
-    stand for their ids, as the library does it. New words of ASCII and the letters of Latin-1 are cut into the tokenizer's runs of letters,
-    digits and signs here, and only these go to the merges of the library; all other words go through the whole library.
-    """
-
-    SPECIAL = b"\xff"  # marks the unit of a special token; no text in UTF-8 holds that byte
-    # fixed value: the rule by which the tokenizer cuts normalised text
-    RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-    PLAIN_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
-    TOGETHER = 500  # words that go to the library in one text
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.tokenizer.encode_special_tokens = True  # a word in upper case may look like one once it is lowered
-        self.special_ids = {self.SPECIAL + name: i for name, i in special.items()}
-        self.cut_special = re.compile(b"(" + b"|".join(map(re.escape, sorted(special, key=len, reverse=True))) + b")").split if special else None
-        rule = json.loads(self.tokenizer.to_str())
-        cuts = (rule["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.merges = None
-        if rule["model"]["type"] == "BPE" and cuts[0].get("pattern") == {"Regex": self.RUNS} and [c["type"] for c in cuts] == ["Split", "ByteLevel"]:
-            self.merges = Tokenizer.from_file(path)
-            self.merges.encode_special_tokens = True
-            self.merges.normalizer = normalizers.Sequence([])
-            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            # signs of bytes: printable ones stand for themselves, the others follow from 256 on
-            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            hidden = [b for b in range(256) if b not in shown]
-            self.signs = [(chr(b), chr(256 + hidden.index(b))) for b in hidden if 0x80 <= b]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def units(self, text: str) -> list[bytes]:
-        """The words of a text; bytes.lower and bytes.split know ASCII only."""
-        raw = text.encode()
-        cut = self.cut_special(raw) if self.cut_special else [raw]
-        if len(cut) == 1:
-            return raw.lower().split()
-        words = [part.lower().split() for part in cut]
-        words[1::2] = [[self.SPECIAL + name] for name in cut[1::2]]
-        return list(chain.from_iterable(words))
-
-    def _plain_ids(self, words: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """(ids, ids per word) of words that PLAIN knows, some hundred words in one text."""
-        ids, sizes = [], []
-        for at in range(0, len(words), self.TOGETHER):
-            runs = [self.PLAIN_RUNS(w.decode().lower()) for w in words[at : at + self.TOGETHER]]
-            text = " ".join(chain.from_iterable(runs)).encode().decode("latin-1")
-            for byte, sign in self.signs:
-                text = text.replace(byte, sign)
-            got = self.merges.encode(text, add_special_tokens=False)
-            word_of_run = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-            ids.append(np.array(got.ids, np.uint32))
-            sizes.append(np.bincount(word_of_run[np.array(got.word_ids, np.int64)], minlength=len(runs)))
-        return ids, sizes
-
-    def _learn(self, new: list[bytes]) -> None:
-        fits = [self.merges is not None and self.PLAIN(u) is not None for u in new]
-        plain, other = list(compress(new, fits)), [u for u, fit in zip(new, fits) if not fit]
-        words = [u for u in other if u not in self.special_ids]
-        encoded = iter(self.tokenizer.encode_batch_fast([u.decode() for u in words], add_special_tokens=False))
-        lists = [[self.special_ids[u]] if u in self.special_ids else next(encoded).ids for u in other]
-        ids, sizes = self._plain_ids(plain)
-        self.pool = np.concatenate([self.pool, *ids, np.fromiter(chain.from_iterable(lists), np.uint32)])
-        self.sizes = np.concatenate([self.sizes, *sizes, np.fromiter(map(len, lists), np.int64, len(lists))])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.known.update(zip(chain(plain, other), count(len(self.known))))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after the other, ids per text)."""
-        if len(self.known) > MEMO_UNITS:
-            self.forget()
-        units = [self.units(text) if text else [] for text in texts]
-        flat = list(chain.from_iterable(units))
-        found = list(map(self.known.get, flat))
-        if None in found:
-            self._learn(list(dict.fromkeys(unit for unit, row in zip(flat, found) if row is None)))
-            found = map(self.known.__getitem__, flat)
-        at = np.fromiter(found, np.int64, len(flat))
-        starts, sizes = self.starts[at], self.sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, units)])]
-        return ids, np.diff(edges)
-
 
 # ---------------------------------------------------------------- windows
 

@@ -14,23 +14,20 @@ the ids l, l + lanes, ... of the block; step t decodes the ids t * lanes up to (
 from __future__ import annotations
 
 import struct
-import sys
 import zlib
-from itertools import chain, count
-from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from redpen.llm.batches import parts as parts_of
+from redpen.llm.encoding import SpacedEncoder
 from redpen.session import staged_path
 
 BITS = 18  # the frequencies of all symbols add up to 2**BITS
 LANES = 1024
 BLOCK_IDS = 1 << 18  # a block ends with the document that reaches this size
 CHECKPOINT_STEPS = 128
-MEMO_UNITS = 250_000  # encoded words that a Python worker remembers
 
 _HEAD = "<4sHHIQIIQII"
 _MAGIC = b"RANS"
@@ -157,66 +154,7 @@ class Block:
         return coder.decode(self.words, mark, self.n_ids, -(-(end - base) // self.lanes))[start - base : end - base]
 
 
-# ---------------------------------------------------------------- encoding texts
-
-
-class TextEncoder:
-    """Ids of whole texts; words that were seen before are not encoded again.
-
-    A byte-level vocabulary never merges over the place before a space that a non-space
-    follows, so a text can be cut there and its units looked up. The units and their ids stay
-    with the Python worker for its next tasks; a full memory is emptied.
-    """
-
-    FIRST = " "  # marks the unit that begins a text, the only one without a space before it; others never start with one
-
-    def __init__(self, path: str):
-        import re
-
-        from tokenizers import Tokenizer
-
-        kept = sys.modules.setdefault("redpen_worker_memory", ModuleType("redpen_worker_memory")).__dict__
-        if path not in kept:
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            kept[path] = {"tokenizer": tokenizer, "known": {}, "pool": np.empty(0, np.uint32), "sizes": np.empty(0, np.int64)}
-        self.kept = kept[path]
-        self.odd_space = re.compile(r" (?:\s|\Z)").search
-        self.cut = re.compile(r"(?<=.)(?= \S)", re.S).split
-
-    def units(self, text: str) -> list[str]:
-        if self.odd_space(text):
-            first, *rest = self.cut(text)
-            return [self.FIRST + first, *[unit[1:] for unit in rest]]
-        units = text.split(" ")
-        units[0] = self.FIRST + units[0]
-        return units
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after the other, ids per text)."""
-        kept = self.kept
-        if len(kept["known"]) > MEMO_UNITS:
-            kept.update(known={}, pool=np.empty(0, np.uint32), sizes=np.empty(0, np.int64))
-        known = kept["known"]
-        units = [self.units(text) if text else [] for text in texts]
-        flat = list(chain.from_iterable(units))
-        new = [unit for unit in dict.fromkeys(flat) if unit not in known]
-        if new:
-            known.update(zip(new, count(len(known))))
-            plain = [unit[1:] if unit[0:1] == self.FIRST else " " + unit for unit in new]
-            encoded = [e.ids for e in kept["tokenizer"].encode_batch_fast(plain, add_special_tokens=False)]
-            kept["sizes"] = np.concatenate([kept["sizes"], np.fromiter(map(len, encoded), np.int64, len(encoded))])
-            kept["pool"] = np.concatenate([kept["pool"], np.fromiter(chain.from_iterable(encoded), np.uint32)])
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        all_sizes = kept["sizes"]
-        starts, sizes = (np.cumsum(all_sizes) - all_sizes)[at], all_sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = kept["pool"][np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.cumsum([len(line) for line in units], dtype=np.int64)
-        upto = np.concatenate([[0], ends])[bounds]
-        return ids, np.diff(upto, prepend=0)
-
+# ---------------------------------------------------------------- files
 
 RAW = "shard int, block long, doc_ids array<long>, sizes array<long>, n_ids long, ids binary"
 _RAW = pa.schema([
@@ -229,7 +167,7 @@ def _raw_blocks(path: str, end_id: int):
     """Tasks get documents in order and give raw blocks of whole documents."""
 
     def run(batches):
-        encoder, number = TextEncoder(path), 0
+        encoder, number = SpacedEncoder(path), 0
         doc_ids, parts, sizes, held, shard = [], [], [], 0, 0
 
         def block():

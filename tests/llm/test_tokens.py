@@ -8,16 +8,17 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from redpen.llm import tokens
+from redpen.llm import encoding, tokens
 from redpen.llm.queries import op5_rans_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY, ENCODER = Tokenizer.from_file(PATH), encoding.SpacedEncoder(PATH)
+
+
 def plain(texts):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 70_000, 300_000])
