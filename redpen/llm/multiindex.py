@@ -28,6 +28,7 @@ MOST_CODES = 256  # of a half; below that the fourth root of the number of rows
 STEPS = 8  # of the fit
 CHUNK_ROWS = 2048  # rows of a cell that meet a block of anchors together
 BLOCK_ROWS = 256  # anchors that go together
+HELD_HITS = 200_000  # hits that a task holds before it reduces them
 FIRST_ROWS, GROWTH = 8192, 8  # rows that an anchor may look at in the first round, and how that grows
 
 # ---------------------------------------------------------------- codebooks and cells
@@ -35,6 +36,8 @@ FIRST_ROWS, GROWTH = 8192, 8  # rows that an anchor may look at in the first rou
 
 def fitted(points: np.ndarray, codes: int) -> np.ndarray:
     """Centres of a sample by a few rounds of k-means; deterministic."""
+    if not len(points):
+        return np.zeros((1, points.shape[1]))
     distinct = np.unique(points, axis=0)
     centres = distinct[np.random.default_rng(3).permutation(len(distinct))[:codes]]
     for _ in range(STEPS):
@@ -205,28 +208,52 @@ def _asker(codes: Codes, width: int, scale: int, may_see: int):
     return ask
 
 
+def _reduced(hits: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows (block, place, window, anchor, id, score) of each window."""
+    hits = hits[np.lexsort((hits[:, 4], -hits[:, 5], hits[:, 2], hits[:, 1], hits[:, 0]))]
+    first = np.append(True, (hits[1:, :3] != hits[:-1, :3]).any(1))
+    at = np.arange(len(hits))
+    return hits[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
+
+
 def _finder(width: int, scale: int, k: int, same: bool):
-    """The k best hits of each anchor and window in one chunk, among rows with the same or with another label."""
+    """The k best hits of each anchor and window in the chunks of a task, among rows with the same or with another label.
+
+    Hits of several chunks are reduced together; those of more than HELD_HITS rows go out.
+    """
+
+    def batch_of(hits: np.ndarray) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(hits[:, i]).cast(t) for i, t in enumerate(kinds)], [f.split()[0] for f in HITS.split(", ")])
 
     def find(batches):
+        out, n = [], 0
         for batch in batches:
             for at in range(batch.num_rows):
                 (row,) = batch.slice(at, 1).to_pylist()
                 ids, labels, x = _unpacked(row, width, scale)
                 own_ids, own_labels, q = _unpacked(row, width, scale, "q_")
                 scores = exact.products(q, x)
-                out = []
                 for place, window, low, high in map(dict.values, row["windows"]):
                     fits = (ids != own_ids[place]) & ((labels == own_labels[place]) == same)
                     if low is not None:
                         fits &= (scores[place] >= low) & (scores[place] <= high)
                     inside = np.flatnonzero(fits.astype(bool))
                     hits = inside[exact.best(scores[place][inside], ids[inside], k)]
-                    found = exact.longs(scores[place][hits]).tolist()
-                    out += [(row["block"], place, window, int(own_ids[place]), i, s) for i, s in zip(ids[hits].tolist(), found)]
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                columns = list(zip(*out)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in HITS.split(", ")])
+                    if len(hits):
+                        found = np.empty((len(hits), 6), np.int64)
+                        found[:, :4] = row["block"], place, window, own_ids[place]
+                        found[:, 4], found[:, 5] = ids[hits], exact.longs(scores[place][hits])
+                        out.append(found)
+                        n += len(found)
+                if n > HELD_HITS:
+                    out = [_reduced(np.concatenate(out), k)]
+                    n = len(out[0])
+                    if n > HELD_HITS // 2:
+                        yield batch_of(out[0])
+                        out, n = [], 0
+        if out:
+            yield batch_of(_reduced(np.concatenate(out), k))
 
     return find
 
