@@ -106,17 +106,6 @@ def added_phrases_udf(try_swap: bool):
     return mine
 
 
-def worst_rank_udf(ranks, never: int):
-    """Phrases -> the largest of their ranks, 0 without phrases; ``ranks`` is a broadcast dict."""
-
-    @kernel("int")
-    def worst(phrases: pa.Array) -> pa.Array:
-        table = ranks.value
-        return pa.array([max((table.get(p, never) for p in row or []), default=0) for row in phrases.to_pylist()], pa.int32())
-
-    return worst
-
-
 # ---------------------------------------------------------------- edit tags
 
 class Tagger:
@@ -520,21 +509,50 @@ def pack(sizes: list[int], key, max_tokens: int, short_prob: float, seed: int) -
     return chunks
 
 
-PACK_TYPE = "array<struct<first:int,cut:int,last:int,is_random_next:boolean,wanted:int>>"
+PACK_TYPE = "array<struct<first:int,a:array<string>,b:array<string>,is_random_next:boolean,wanted:int>>"
+
+
+def _ranges(pieces: pa.Array, starts: np.ndarray, ends: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Lists of the pieces from each start to its end; null where not valid."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    taken = pieces.take(pa.array(np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])))
+    mask = None if valid is None else pa.array(~valid)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), taken, mask=mask)
 
 
 def pack_udf(max_tokens: int, short_prob: float, seed: int):
-    out = pa.list_(pa.struct([
-        ("first", pa.int32()), ("cut", pa.int32()), ("last", pa.int32()),
-        ("is_random_next", pa.bool_()), ("wanted", pa.int32()),
-    ]))
+    """Sentences as piece lists, and the name of the document -> its chunks with their pieces.
+
+    Boundaries come from the sentence lengths; the pieces of all chunks of a batch are then taken at once.
+    """
 
     @kernel(PACK_TYPE)
-    def boundaries(sizes: pa.Array, key: pa.Array) -> pa.Array:
-        rows = zip(sizes.to_pylist(), key.to_pylist())
-        return pa.array([pack(s or [], k, max_tokens, short_prob, seed) for s, k in rows], out)
+    def chunks(sentences: pa.Array, key: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False)
+        row_at = np.cumsum(sizes) - sizes
+        flat = sentences.flatten()
+        lengths = pc.fill_null(pc.list_value_length(flat), 0).to_numpy(zero_copy_only=False)
+        piece_at = np.concatenate([[0], np.cumsum(lengths)])
+        found, per_row, base = [], [], []
+        for at, n, name in zip(row_at.tolist(), sizes.tolist(), key.to_pylist()):
+            own = pack(lengths[at : at + n].tolist(), name, max_tokens, short_prob, seed)
+            found += own
+            per_row.append(len(own))
+            base += [at] * len(own)
+        base = np.array(base, np.int64)
+        first, cut, last = (base + np.array([c[k] for c in found], np.int64) for k in ("first", "cut", "last"))
+        random_next = np.array([c["is_random_next"] for c in found], bool)
+        pieces = flat.flatten()
+        fields = [
+            pa.array([c["first"] for c in found], pa.int32()), _ranges(pieces, piece_at[first], piece_at[cut]),
+            _ranges(pieces, piece_at[cut], np.where(random_next, piece_at[cut], piece_at[last]), ~random_next),
+            pa.array(random_next), pa.array([c["wanted"] for c in found], pa.int32()),
+        ]
+        made = pa.StructArray.from_arrays(fields, ["first", "a", "b", "is_random_next", "wanted"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), made)
 
-    return boundaries
+    return chunks
 
 
 def whole_word_order(pieces: list[str], key: str, limit: int) -> list[int]:

@@ -256,7 +256,7 @@ def pair_features(
         "segment_ids": padded(segment, max_len, F.lit(0)),
     }
     if labels is not None:
-        out["label_id"] = (F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1).cast("int")
+        out["label_id"] = (F.nullif(F.array_position(F.array(*map(F.lit, labels)), F.col(label)), F.lit(0)) - 1).cast("int")
     return step.withColumns(out).drop("_a", "_b", "_two", "_ids", "_h")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from redpen.functions.kernels import added_phrases_udf, worst_rank_udf
+from redpen.functions.kernels import added_phrases_udf
 from redpen.functions.text import tokens
+from redpen.operators.lookup import Lookup
+from redpen.operators.ranking import running_total
+from redpen.session import stage
 
 NEVER = 1 << 30  # rank of a phrase outside the listed ones
-RANKS_IN_PLACE = 1 << 18  # phrases whose ranks travel to the examples
 
 
 def added_phrases(df: DataFrame, key: str = "pair_id", try_swap: bool = False) -> DataFrame:
@@ -39,28 +41,19 @@ def coverage_curve(mined: DataFrame, vocabulary: DataFrame, key: str = "pair_id"
     """``k, freq, coverage, phrase``: share of examples whose phrases all rank at most k.
 
     An example is covered from the worst rank among its phrases on, so a histogram of
-    worst ranks and its running sum give the whole curve. While the vocabulary is small enough to travel, the worst
-    rank is found inside the row and only the histogram moves; a larger one is joined.
+    worst ranks and its running sum give the whole curve. Ranks are looked up where the examples lie if the vocabulary is small
+    enough to travel, and by a join otherwise; the running sum goes over slices of ranks.
     """
-    ranks = vocabulary.select("phrase", "rank")
-    held = ranks.limit(RANKS_IN_PLACE + 1).collect()
-    if len(held) <= RANKS_IN_PLACE:
-        table = mined.sparkSession.sparkContext.broadcast({r["phrase"]: r["rank"] for r in held})
-        worst = mined.select(worst_rank_udf(table, NEVER)(F.col("phrases")).alias("rank"))
-    else:
-        rows = mined.select(key, F.explode_outer("phrases").alias("phrase")).join(ranks, "phrase", "left")
-        unlisted = F.when(F.col("phrase").isNull(), 0).otherwise(F.coalesce("rank", F.lit(NEVER)))
-        worst = rows.groupBy(key).agg(F.max(unlisted).alias("rank"))
-    histogram = worst.groupBy("rank").agg(F.count(F.lit(1)).alias("examples"))
-    listed = vocabulary.select("rank", "phrase", "freq")
-    joined = histogram.join(listed, "rank", "full_outer")
-    so_far = F.sum(F.coalesce("examples", F.lit(0))).over(Window.orderBy("rank"))
-    total = F.sum(F.coalesce("examples", F.lit(0))).over(Window.partitionBy())
-    return (
-        joined.select("rank", "phrase", "freq", (F.lit(100.0) * so_far / total).alias("coverage"))
-        .filter(F.col("phrase").isNotNull())
-        .select(F.col("rank").alias("k"), "freq", "coverage", "phrase")
-    )
+    ranks = Lookup(vocabulary.select("phrase", "rank"), "phrase", "rank", default=NEVER)
+    ranked = ranks.add(mined.select(key, F.coalesce("phrases", F.expr("cast(array() as array<string>)")).alias("phrases")), "ranks", F.col("phrases"))
+    worst = ranked.select(F.coalesce(F.array_max("ranks"), F.lit(0)).cast("long").alias("rank"))
+    histogram = stage(worst.groupBy("rank").agg(F.count(F.lit(1)).alias("examples")), "worst-ranks")
+    total = histogram.agg(F.coalesce(F.sum("examples"), F.lit(0))).first()[0]
+    listed = vocabulary.select(F.col("rank").cast("long").alias("rank"), "phrase", "freq")
+    joined = histogram.join(listed, "rank", "full_outer").withColumn("examples", F.coalesce("examples", F.lit(0)).cast("long"))
+    summed = running_total(stage(joined, "coverage"), "rank", "examples", "before")
+    share = F.lit(100.0) * (F.col("before") + F.col("examples")) / F.nullif(F.lit(total), F.lit(0))
+    return summed.filter(F.col("phrase").isNotNull()).select(F.col("rank").cast("int").alias("k"), "freq", share.alias("coverage"), "phrase")
 
 
 def label_map_table(vocabulary: DataFrame, size: int, swap: bool) -> DataFrame:

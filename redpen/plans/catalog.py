@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from redpen.plans import edit_queries, feature_queries, file_queries, pair_queries, predict_queries, score_queries, span_queries
+from redpen.plans import edit_queries, feature_queries, file_queries, pair_queries, predict_queries, score_queries, span_queries, stream_queries
 
 CATALOG = {
     **pair_queries.QUERIES,
@@ -12,4 +12,5 @@ CATALOG = {
     **predict_queries.QUERIES,
     **score_queries.QUERIES,
     **file_queries.QUERIES,
+    **stream_queries.QUERIES,
 }

@@ -75,8 +75,8 @@ FROM placed LEFT JOIN token_pieces USING (token) GROUP BY pair_id"""
 MAX_LEN = 48
 
 
-def _out(df, *cols):
-    return df.select("pair_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in cols])
+def _out(df, *cols, also=()):
+    return df.select("pair_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in cols], *also)
 
 
 def edit_features(spark, sf):
@@ -110,9 +110,18 @@ SELECT pair_id, {_sql_padded(f'list_concat([{_CLS}], ids, [{_SEP}])')} AS input_
   {_sql_padded('list_concat([0], list_transform(labels, lambda x: 1), [0])')} AS labels_mask FROM whole"""
 
 
+def _label(seed):
+    """A class by hash, next to the texts."""
+    return (v.digit(seed, 1, F.col("pair_id")) < "8").cast("int")
+
+
+def _sql_label(seed):
+    return f"({v.sql_digit(seed, 1, 'pair_id')} < '8')::INT"
+
+
 def grammar_features(spark, sf):
-    rows = features.grammar_features(v.lines(spark, sf), pieces(spark, sf), MAX_LEN)
-    return _out(rows, "input_ids", "input_mask", "segment_ids")
+    rows = features.grammar_features(v.lines(spark, sf).withColumn("label", _label(71)), pieces(spark, sf), MAX_LEN)
+    return _out(rows, "input_ids", "input_mask", "segment_ids", also=["label"])
 
 
 GRAMMAR = f"""WITH RECURSIVE {FEATURE_ROWS}, kept AS (
@@ -120,7 +129,7 @@ GRAMMAR = f"""WITH RECURSIVE {FEATURE_ROWS}, kept AS (
   SELECT pair_id, coalesce(ids, []) AS ids FROM fusion LEFT JOIN kept USING (pair_id))
 SELECT pair_id, {_sql_padded(f'list_concat([{_CLS}], ids, [{_SEP}])')} AS input_ids,
   {_sql_padded('list_transform(range(0, len(ids) + 2), lambda x: 1)')} AS input_mask,
-  {_sql_padded('[0]')} AS segment_ids FROM whole"""
+  {_sql_padded('[0]')} AS segment_ids, {_sql_label(71)} AS label FROM whole"""
 
 
 def _two_texts(spark, sf):
@@ -131,10 +140,10 @@ def _two_texts(spark, sf):
 
 def meaning_features(spark, sf):
     texts = _two_texts(spark, sf).select(
-        "pair_id", F.col("text_a").alias("source"), F.coalesce("text_b", F.lit("")).alias("summary")
+        "pair_id", F.col("text_a").alias("source"), F.coalesce("text_b", F.lit("")).alias("summary"), _label(72).alias("label")
     )
     rows = features.meaning_features(texts, pieces(spark, sf), MAX_LEN)
-    return _out(rows, "input_ids_source", "input_mask_source", "input_ids_summary", "input_mask_summary")
+    return _out(rows, "input_ids_source", "input_mask_source", "input_ids_summary", "input_mask_summary", also=["label"])
 
 
 _SIDES = f"""{FEATURE_ROWS}, sides AS (
@@ -145,12 +154,17 @@ MEANING = f"""WITH RECURSIVE {_SIDES}, cut_sides AS (SELECT pair_id, a[1:{MAX_LE
 SELECT pair_id, {_sql_padded(f'list_concat([{_CLS}], a, [{_SEP}])')} AS input_ids_source,
   {_sql_padded('list_transform(range(0, len(a) + 2), lambda x: 1)')} AS input_mask_source,
   {_sql_padded(f'list_concat([{_CLS}], b, [{_SEP}])')} AS input_ids_summary,
-  {_sql_padded('list_transform(range(0, len(b) + 2), lambda x: 1)')} AS input_mask_summary FROM cut_sides"""
+  {_sql_padded('list_transform(range(0, len(b) + 2), lambda x: 1)')} AS input_mask_summary, {_sql_label(72)} AS label FROM cut_sides"""
+
+
+PAIR_LABELS = ["contradiction", "entailment", "neutral"]
 
 
 def pair_features(spark, sf):
-    rows = features.pair_features(_two_texts(spark, sf), pieces(spark, sf), MAX_LEN)
-    return _out(rows, "input_ids", "input_mask", "segment_ids")
+    """One label in four is none of the listed ones and has no id."""
+    dealt = F.get(F.array(*map(F.lit, [*PAIR_LABELS, "other"])), v._count(4, 73, F.col("pair_id")))
+    rows = features.pair_features(_two_texts(spark, sf).withColumn("label", dealt), pieces(spark, sf), MAX_LEN, PAIR_LABELS)
+    return _out(rows, "input_ids", "input_mask", "segment_ids", also=["label_id"])
 
 
 # the shorter side keeps up to half of the room, a tie costs the second text
@@ -162,7 +176,8 @@ PAIR_FEATURES = f"""WITH RECURSIVE {_SIDES}, sized AS (
     CASE WHEN len(a) + len(b) <= {_ROOM} THEN b ELSE b[1:{_ROOM} - na] END AS b FROM sized), joined AS (
   SELECT pair_id, len(a) + 2 AS head, list_concat([{_CLS}], a, [{_SEP}], CASE WHEN len(b) > 0 THEN list_append(b, {_SEP}) ELSE [] END) AS ids FROM fitted)
 SELECT pair_id, {_sql_padded('ids')} AS input_ids, {_sql_padded('list_transform(ids, lambda x: 1)')} AS input_mask,
-  {_sql_padded('list_transform(ids, lambda x, i: (i > head)::INT)')} AS segment_ids FROM joined"""
+  {_sql_padded('list_transform(ids, lambda x, i: (i > head)::INT)')} AS segment_ids,
+  CASE WHEN {v.sql_count(4, 73, 'pair_id')} < 3 THEN {v.sql_count(4, 73, 'pair_id')}::INT END AS label_id FROM joined"""
 
 
 def sentence_segments(spark, sf):
@@ -175,17 +190,18 @@ SENTENCE_SEGMENTS = f"""WITH {v.LINES} SELECT pair_id, array_to_string(list_tran
 
 
 def pos_segments(spark, sf):
-    """Ids of tags dealt out by hash, one of them outside the set."""
+    """Ids of tags dealt out by hash, one of them outside the set, over the pieces of their tokens."""
     known = features.POS_TAGS["concise"] + ["?"]
     dealt = F.array(*map(F.lit, known))
     key = F.col("pair_id")
     tags = F.transform("toks", lambda t, i: F.get(dealt, v._count(len(known), 51, key, i)))
-    rows = v.lines(spark, sf).select("pair_id", features.pos_ids(tags, "concise").alias("ids"))
-    return _out(rows, "ids")
+    rows = pieces(spark, sf).add_pieces(v.lines(spark, sf), pieces=F.col("toks"))
+    return _out(rows.withColumn("ids", features.pos_segments(F.col("pieces"), features.pos_ids(tags, "concise"))), "ids")
 
 
-POS_SEGMENTS = f"""WITH {v.LINES} SELECT pair_id, array_to_string(list_transform(toks,
-  lambda t, i: 3 + {v.sql_count(13, 51, 'pair_id', 'i - 1')}), ',') AS ids FROM lines"""
+POS_SEGMENTS = f"""WITH RECURSIVE {PIECES}, placed AS (SELECT pair_id, unnest(range(0, len(toks))) AS i, unnest(toks) AS token FROM lines), dealt AS (
+  SELECT pair_id, i, list_transform(pieces, lambda p: 3 + {v.sql_count(13, 51, 'pair_id', 'i')}) AS ids FROM placed JOIN token_pieces USING (token))
+SELECT pair_id, coalesce(array_to_string(flatten(list(ids ORDER BY i)), ','), '') AS ids FROM lines LEFT JOIN dealt USING (pair_id) GROUP BY pair_id"""
 
 
 def vocab_with_mask_tokens(spark, sf):

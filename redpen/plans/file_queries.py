@@ -203,11 +203,18 @@ SCORE_TABLE = f"""WITH report AS ({s.SCORE_REPORT}), long AS (
 SELECT score, max(value) FILTER (model = 'm1') AS m1, max(value) FILTER (model = 'm2') AS m2 FROM long GROUP BY score"""
 
 
+def write_score_table(spark, sf):
+    """The written file of scores, read back with its header."""
+    path = staged_path(spark, "scores")
+    writers.write_score_table(s.score_report(spark, sf), list(v.MODELS), path)
+    return _rounded(spark.read.csv(path, header=True, sep="\t", schema="score string, m1 double, m2 double"))
+
+
 def write_qa_predictions(spark, sf):
     """All three files: every entry of the n-best lists next to the answer and the null odds."""
     path = staged_path(spark, "qa")
-    nbest = q._nbest(spark, sf)
-    writers.write_qa_predictions(nbest, spans.choose_answer(nbest, q._nulls(spark, sf), -0.2), path)
+    nbest, nulls = q.nbest_and_nulls(spark, sf)
+    writers.write_qa_predictions(nbest, spans.choose_answer(nbest, nulls, -0.2), path)
     odds = spark.read.json(f"{path}/null_odds", schema="question_id bigint, score_diff double")
     answers = spark.read.json(f"{path}/predictions", schema="question_id bigint, answer string")
     entry = "struct<text:string, probability:double, start_logit:double, end_logit:double>"
@@ -392,6 +399,7 @@ QUERIES = {
     "write_features": (write_features, FEATURES),
     "write_prediction_table": (write_prediction_table, WIDE),
     "score_table": (score_table, SCORE_TABLE),
+    "write_score_table": (write_score_table, SCORE_TABLE),
     "write_qa_predictions": (write_qa_predictions, QA_PREDICTIONS),
     "write_probabilities": (write_probabilities, PROBABILITIES),
 }

@@ -8,7 +8,7 @@ from redpen.functions import text
 from redpen.functions.hashing import below
 from redpen.operators import masked_lm, spans, windows
 from redpen.plans import views as v
-from redpen.plans.feature_queries import FEATURE_ROWS, _sql_padded, pieces
+from redpen.plans.feature_queries import _BASIC, FEATURE_ROWS, PIECES, _sql_padded, pieces
 from redpen.plans.pair_queries import _rounded
 from redpen.session import stage
 
@@ -142,91 +142,128 @@ WHERE s >= 0 AND contains(array_to_string(words[s + 1:e + 1], ' '), array_to_str
 
 # ------------------------------------------------------------------ spans from scores
 
-N_BEST, MAX_ANSWER, QUERY, WINDOW_STEP, ROOM = 10, 6, 8, 20, 53
-DOC = 2 * WINDOW_STEP + ROOM
+N_BEST, MAX_ANSWER, HYPHEN_EVERY = 10, 6, 7
 
 
-def score_features(spark, sf):
-    """Three windows per question over a synthetic document whose words have two pieces each."""
-    q, win = F.col("question_id"), F.col("win")
-    word = lambda k: F.concat(F.pmod(q * 7 + k, F.lit(5)).cast("string"))
-    tail = lambda k: F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (k % 3).cast("int"))
-    base = v.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("unique_id"), F.floor(F.col("vec_id") / 3).alias("question_id"),
-        (F.col("vec_id") % 3).cast("int").alias("win"),
+def qa_windows(spark, sf):
+    """Windows over the vocabulary pieces of whole documents, their first lines as questions.
+
+    One word length in seven is spelled with a soft hyphen in the original, which the pieces do not have.
+    """
+    vocab = pieces(spark, sf)
+    step = vocab.add_pieces(questions(spark, sf), pieces=F.col("doc_tokens"), asked=F.col("query_tokens"))
+    hyphened = F.transform("doc_tokens", lambda t: F.when(
+        F.length(t) % HYPHEN_EVERY == 0, F.concat(F.substring(t, 1, 3), F.lit("\u00ad"), F.substr(t, F.lit(4)))).otherwise(t))
+    step = step.select(
+        F.col("doc_id").alias("question_id"), F.flatten("pieces").alias("flat"), F.flatten("asked").alias("asked"), hyphened.alias("words"),
+        F.flatten(F.transform("pieces", lambda p, i: F.array_repeat(i, F.size(p)))).alias("word_of"),
     )
-    at = F.sequence(win * WINDOW_STEP, win * WINDOW_STEP + ROOM - 1)
-    half = lambda p: F.floor(p / 2)
-    doc = F.transform(at, lambda p: F.when(p % 2 == 0, F.concat(F.lit("t"), word(half(p)))).otherwise(F.concat(F.lit("##"), tail(half(p)))))
-    step = base.withColumns({
-        "query_len": F.lit(QUERY), "room": F.lit(ROOM), "step": F.lit(WINDOW_STEP), "n_windows": F.lit(3),
-        "start": win * WINDOW_STEP, "length": F.lit(ROOM), "doc_size": F.lit(DOC),
-        "tokens": F.concat(F.array(F.lit("[CLS]")), F.array_repeat(F.lit("q"), QUERY), F.array(F.lit("[SEP]")), doc, F.array(F.lit("[SEP]"))),
-        "token_to_word": F.transform(at, lambda p: half(p).cast("int")),
-        "words": F.transform(F.sequence(F.lit(0), F.lit((DOC - 1) // 2)), lambda k: F.concat(F.lit("T"), word(k), tail(k))),
-    })
-    return windows.max_context(step).drop("doc_size", "room", "step", "n_windows", "start", "length")
-
-
-def score_results(spark, sf):
-    return v.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("unique_id"), F.col("embedding").alias("start_logits"), F.reverse("embedding").alias("end_logits")
+    cut = windows.doc_windows(step, MAX_LEN, STRIDE, MAX_QUERY, doc="flat", query="asked")
+    return windows.window_features(cut, vocab, MAX_LEN, key="question_id", doc="flat", query="asked")
+
+
+def window_input_ids(spark, sf):
+    return qa_windows(spark, sf).select("unique_id", _ints("input_ids"))
+
+
+def score_features(spark, sf):
+    """The windows with the words that they cover."""
+    step = windows.max_context(qa_windows(spark, sf))
+    first, last = F.element_at("token_to_word", 1), F.element_at("token_to_word", -1)
+    return step.select(
+        "unique_id", "question_id", "win", "query_len", "tokens", "is_max_context", F.slice("words", first + 1, last - first + 1).alias("words"),
+        F.transform("token_to_word", lambda w: w - first).alias("token_to_word"),
     )
 
 
-def _candidates(spark, sf):
-    found = spans.span_candidates(score_features(spark, sf), score_results(spark, sf), N_BEST, MAX_ANSWER)
-    return spans.candidate_texts(found)
+def _logits(side, key):
+    """A score for each place of a window from two hex digits of a seeded hash."""
+    hexes = F.concat(*[F.md5(F.concat(F.lit(f"{side}:"), key, F.lit(f":{block}"))) for block in range(MAX_LEN // 16)])
+    return text.let(hexes, lambda h: F.transform(
+        F.sequence(F.lit(0), F.lit(MAX_LEN - 1)), lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 16 - 8))
+
+
+def _scored(spark, sf):
+    """(features, results), written once because candidates and null scores both read them."""
+    features = stage(score_features(spark, sf), "windows")
+    key = F.col("unique_id")
+    return features, features.select(key, _logits("s", key).alias("start_logits"), _logits("e", key).alias("end_logits"))
+
+
+def _candidates(features, results):
+    return spans.candidate_texts(spans.span_candidates(features, results, N_BEST, MAX_ANSWER))
 
 
 def span_candidates(spark, sf):
-    return _rounded(_candidates(spark, sf).select(
+    return _rounded(_candidates(*_scored(spark, sf)).select(
         "unique_id", *[F.col(c).cast("bigint").alias(c) for c in ("start_index", "end_index")], "start_logit", "end_logit", "text"
     ))
 
 
-_FIRST = QUERY + 2
-CANDIDATES = f"""logits AS (
-  SELECT vec_id AS unique_id, vec_id // 3 AS question_id, vec_id % 3 AS win, unnest(range(0, 64)) AS i,
-    unnest(embedding)::DOUBLE AS s, unnest(list_reverse(embedding))::DOUBLE AS e FROM embeddings), ranks AS (
+_HEX = " || ".join(f"md5(concat('{{0}}:', unique_id, ':{block}'))" for block in range(MAX_LEN // 16))
+_WINDOWS = f"""{PIECES}, question_rows AS (
+  SELECT doc_id AS question_id, {v.sql_tokens('text')} AS toks, {v.sql_tokens("string_split(text, chr(10))[1]")} AS query
+  FROM documents WHERE len({v.sql_tokens('text')}) > 0), doc_places AS (
+  SELECT question_id, unnest(range(0, len(toks))) AS i, unnest(toks) AS token FROM question_rows), doc_pieces AS (
+  SELECT question_id, list(pieces ORDER BY i) AS pieces FROM doc_places JOIN token_pieces USING (token) GROUP BY question_id), asked_places AS (
+  SELECT question_id, unnest(range(0, len(query))) AS i, unnest(query) AS token FROM question_rows), asked AS (
+  SELECT question_id, flatten(list(pieces ORDER BY i)) AS asked FROM asked_places JOIN token_pieces USING (token) GROUP BY question_id), pieced AS (
+  SELECT question_id, list_transform(toks, lambda t: CASE WHEN length(t) % {HYPHEN_EVERY} = 0 THEN substr(t, 1, 3) || chr(173) || substr(t, 4) ELSE t END) AS words,
+    flatten(pieces) AS flat, flatten(list_transform(pieces, lambda p, i: list_transform(p, lambda x: i - 1))) AS word_of,
+    coalesce(asked, [])[1:{MAX_QUERY}] AS asked
+  FROM question_rows JOIN doc_pieces USING (question_id) LEFT JOIN asked USING (question_id)), roomy AS (
+  SELECT *, len(flat) AS m, {MAX_LEN - 3} - len(asked) AS room, least({STRIDE}, {MAX_LEN - 3} - len(asked)) AS step, len(asked) + 2 AS head
+  FROM pieced WHERE len(flat) > 0), qa_windows AS (
+  SELECT *, concat(question_id, ':', win) AS unique_id, win * step AS start0, least(room, m - win * step) AS len0 FROM (
+    SELECT *, unnest(range(0, greatest(0, ceil((m - room) / step))::INT + 1)) AS win FROM roomy))"""
+WINDOW_IDS = f"""WITH RECURSIVE {_WINDOWS}, shown AS (
+  SELECT unique_id, list_concat(['[CLS]'], asked, ['[SEP]'], flat[start0 + 1:start0 + len0], ['[SEP]']) AS tokens FROM qa_windows), placed AS (
+  SELECT unique_id, unnest(range(0, len(tokens))) AS i, unnest(tokens) AS token FROM shown)
+SELECT unique_id, {_sql_padded('list(token_id ORDER BY i)', MAX_LEN)} AS input_ids FROM placed JOIN vocab USING (token) GROUP BY unique_id"""
+CANDIDATES = f"""{_WINDOWS}, logits AS (
+  SELECT unique_id, question_id, win, head, start0, len0, i, ('0x' || substr(sh, 2 * i + 1, 2))::INT / 16.0::DOUBLE - 8 AS s,
+    ('0x' || substr(eh, 2 * i + 1, 2))::INT / 16.0::DOUBLE - 8 AS e
+  FROM (SELECT *, unnest(range(0, {MAX_LEN})) AS i FROM (
+    SELECT unique_id, question_id, win, head, start0, len0, {_HEX.format('s')} AS sh, {_HEX.format('e')} AS eh FROM qa_windows))), ranks AS (
   SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY s DESC, i) AS sr, row_number() OVER (PARTITION BY unique_id ORDER BY e DESC, i) AS er
-  FROM logits), spots AS (
-  SELECT w, p, row_number() OVER (PARTITION BY p ORDER BY least(p - w * {WINDOW_STEP}, w * {WINDOW_STEP} + {ROOM} - 1 - p) + 0.01::DOUBLE * {ROOM} DESC, w) AS r
-  FROM (VALUES (0), (1), (2)) AS k(w), range(0, {DOC}) AS g(p) WHERE p BETWEEN w * {WINDOW_STEP} AND w * {WINDOW_STEP} + {ROOM} - 1), pairs AS (
+  FROM logits), pairs AS (
   SELECT a.unique_id, a.question_id, a.win, a.i AS start_index, b.i AS end_index, a.sr, b.er, a.s AS start_logit, b.e AS end_logit,
-    a.i - {_FIRST} + a.win * {WINDOW_STEP} AS p, b.i - {_FIRST} + a.win * {WINDOW_STEP} AS q
+    a.i - a.head + a.start0 AS p, b.i - a.head + a.start0 AS q
   FROM ranks a JOIN ranks b ON a.unique_id = b.unique_id AND a.sr <= {N_BEST} AND b.er <= {N_BEST}
-    AND a.i BETWEEN {_FIRST} AND {_FIRST + ROOM - 1} AND b.i BETWEEN {_FIRST} AND {_FIRST + ROOM - 1}
-    AND b.i >= a.i AND b.i - a.i < {MAX_ANSWER}), candidates AS (
-  SELECT pairs.*, list_transform(range(pairs.p // 2, q // 2 + 1), lambda k:
-      CASE WHEN k = pairs.p // 2 AND pairs.p % 2 = 1 THEN '' ELSE 'T' || ((question_id * 7 + k) % 5) END
-      || CASE WHEN k = q // 2 AND q % 2 = 0 THEN '' ELSE ['a', 'b', 'c'][k % 3 + 1] END) AS parts
-  FROM pairs JOIN spots ON spots.w = win AND spots.p = pairs.p AND r = 1), texts AS (
-  SELECT *, array_to_string(parts, ' ') AS text FROM candidates)"""
-SPAN_CANDIDATES = f"""WITH {CANDIDATES} SELECT unique_id, start_index, end_index, round(start_logit, 6) AS start_logit,
+    AND a.i BETWEEN a.head AND a.head + a.len0 - 1 AND b.i BETWEEN a.head AND a.head + a.len0 - 1
+    AND b.i >= a.i AND b.i - a.i < {MAX_ANSWER}), served AS (
+  SELECT question_id, p, arg_min(win, (-(least(p - start0, start0 + len0 - 1 - p) + 0.01::DOUBLE * len0), win)) AS win
+  FROM (SELECT DISTINCT question_id, p FROM pairs) JOIN qa_windows w USING (question_id) WHERE p BETWEEN start0 AND start0 + len0 - 1 GROUP BY ALL), raws AS (
+  SELECT pairs.*, array_to_string(w.words[w.word_of[p + 1] + 1:w.word_of[q + 1] + 1], ' ') AS raw, array_to_string({v.sql_tokens(
+    "replace(replace(array_to_string(w.flat[p + 1:q + 1], ' '), ' ##', ''), '##', '')")}, ' ') AS said
+  FROM pairs JOIN served USING (question_id, p, win) JOIN qa_windows w USING (unique_id)), spelled AS (
+  SELECT *, array_to_string({_BASIC.format('raw')}, ' ') AS tok FROM raws), found AS (
+  SELECT *, strpos(tok, said) AS hit, list_filter(range(1, length(raw) + 1), lambda i: substr(raw, i, 1) <> ' ') AS solid FROM spelled), texts AS (
+  SELECT * EXCLUDE (raw, said, tok, hit, solid), CASE WHEN hit > 0 AND length(said) > 0 AND length(replace(raw, ' ', '')) = length(replace(tok, ' ', ''))
+    THEN substr(raw, solid[length(replace(substr(tok, 1, hit - 1), ' ', '')) + 1], solid[length(replace(substr(tok, 1, hit - 1), ' ', ''))
+      + length(replace(said, ' ', ''))] - solid[length(replace(substr(tok, 1, hit - 1), ' ', '')) + 1] + 1) ELSE raw END AS text FROM found)"""
+SPAN_CANDIDATES = f"""WITH RECURSIVE {CANDIDATES} SELECT unique_id, start_index, end_index, round(start_logit, 6) AS start_logit,
   round(end_logit, 6) AS end_logit, text FROM texts"""
 
 
-def _nulls(spark, sf):
-    return spans.null_scores(score_features(spark, sf), score_results(spark, sf))
-
-
 def null_scores(spark, sf):
-    return _rounded(_nulls(spark, sf))
+    return _rounded(spans.null_scores(*_scored(spark, sf)))
 
 
 NULLS = """null_rows AS (SELECT question_id, s, e, row_number() OVER (PARTITION BY question_id ORDER BY s + e, win) AS r
   FROM logits WHERE i = 0), nulls AS (SELECT question_id, s + e AS null_score, s AS start_logit, e AS end_logit FROM null_rows WHERE r = 1)"""
-NULL_SCORES = f"""WITH {CANDIDATES}, {NULLS} SELECT question_id, round(null_score, 6) AS null_score,
+NULL_SCORES = f"""WITH RECURSIVE {CANDIDATES}, {NULLS} SELECT question_id, round(null_score, 6) AS null_score,
   round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit FROM nulls"""
 
 
-def _nbest(spark, sf):
-    return spans.nbest_answers(_candidates(spark, sf), _nulls(spark, sf), N_BEST, with_null=True)
+def nbest_and_nulls(spark, sf, with_null=True):
+    scored = _scored(spark, sf)
+    nulls = spans.null_scores(*scored)
+    return spans.nbest_answers(_candidates(*scored), nulls, N_BEST, with_null), nulls
 
 
 def nbest_answers(spark, sf):
-    return _rounded(_nbest(spark, sf).withColumn("rank", F.col("rank").cast("bigint")))
+    return _rounded(nbest_and_nulls(spark, sf)[0].withColumn("rank", F.col("rank").cast("bigint")))
 
 
 NBEST = f"""{CANDIDATES}, {NULLS}, firsts AS (
@@ -238,17 +275,17 @@ NBEST = f"""{CANDIDATES}, {NULLS}, firsts AS (
     PARTITION BY question_id ORDER BY start_logit + end_logit DESC, win, sr, er) AS pos FROM pool), nbest AS (
   SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY pos) AS rank, text, start_logit, end_logit
   FROM listed WHERE pos <= {N_BEST} OR text = '')"""
-NBEST_ANSWERS = f"""WITH {NBEST} SELECT question_id, rank, text, round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit,
+NBEST_ANSWERS = f"""WITH RECURSIVE {NBEST} SELECT question_id, rank, text, round(start_logit, 6) AS start_logit, round(end_logit, 6) AS end_logit,
   round(exp(start_logit + end_logit) / sum(exp(start_logit + end_logit)) OVER (PARTITION BY question_id), 6) AS probability FROM nbest"""
 
 
 def nbest_answers_only(spark, sf):
     """Lists without the empty answer; a question without candidates has the stand-in."""
-    rows = spans.nbest_answers(_candidates(spark, sf), _nulls(spark, sf), N_BEST, with_null=False)
+    rows, _ = nbest_and_nulls(spark, sf, with_null=False)
     return _rounded(rows.withColumn("rank", F.col("rank").cast("bigint")))
 
 
-NBEST_ONLY = f"""WITH {CANDIDATES}, {NULLS}, firsts AS (
+NBEST_ONLY = f"""WITH RECURSIVE {CANDIDATES}, {NULLS}, firsts AS (
   SELECT question_id, text, start_logit, end_logit, win, sr, er, row_number() OVER (
     PARTITION BY question_id, text ORDER BY start_logit + end_logit DESC, win, sr, er) AS r FROM texts), listed AS (
   SELECT question_id, text, start_logit, end_logit, row_number() OVER (
@@ -260,10 +297,10 @@ SELECT question_id, rank, text, round(start_logit, 6) AS start_logit, round(end_
 
 
 def choose_answer(spark, sf):
-    return _rounded(spans.choose_answer(_nbest(spark, sf), _nulls(spark, sf), -0.2))
+    return _rounded(spans.choose_answer(*nbest_and_nulls(spark, sf), -0.2))
 
 
-CHOOSE = f"""WITH {NBEST}, best AS (SELECT question_id, arg_min(text, rank) AS text, arg_min(start_logit + end_logit, rank) AS score
+CHOOSE = f"""WITH RECURSIVE {NBEST}, best AS (SELECT question_id, arg_min(text, rank) AS text, arg_min(start_logit + end_logit, rank) AS score
   FROM nbest WHERE text <> '' GROUP BY question_id)
 SELECT question_id, CASE WHEN score IS NULL OR null_score - score > -0.2 THEN '' ELSE text END AS answer,
   round(null_score - score, 6) AS score_diff FROM nulls LEFT JOIN best USING (question_id)"""
@@ -439,6 +476,7 @@ QUERIES = {
     "align_answer_span": (align_answer_span, ALIGN),
     "window_features": (window_features, WINDOW_FEATURES),
     "char_word_offsets": (char_word_offsets, CHAR_WORDS),
+    "window_input_ids": (window_input_ids, WINDOW_IDS),
     "span_candidates": (span_candidates, SPAN_CANDIDATES),
     "null_scores": (null_scores, NULL_SCORES),
     "nbest_answers_only": (nbest_answers_only, NBEST_ONLY),

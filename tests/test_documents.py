@@ -170,3 +170,12 @@ def test_instance_features(spark):
     assert len(r.input_ids) == len(r.segment_ids) == 8 and r.segment_ids == [0, 0, 0, 0, 1, 1, 0, 0]
     assert sum(r.masked_lm_weights) == 2 and r.next_sentence_label == 1
     assert r.input_mask == [1] * 6 + [0, 0]
+
+
+def test_answers_from_whole_documents(spark):
+    """Some answers can be traced into their original words, others keep the whole stretch: unknown words and soft hyphens."""
+    from redpen.plans import span_queries
+
+    texts = [r.text for r in span_queries.span_candidates(spark, "/root/testdata/sf0.001").select("text").distinct().collect()]
+    hyphened = sum("­" in t for t in texts)
+    assert 0 < hyphened < len(texts) and max(map(len, texts)) > 20

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from redpen.functions.hashing import ORDER_KEY_MAX, order_key
-from redpen.operators import clusters, features, ranking, sampling, scoring, vocabulary
+from redpen.operators import clusters, features, lookup, ranking, sampling, scoring, vocabulary
 from redpen.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -182,15 +182,12 @@ def test_exact_sizes_with_repeated_keys(spark, keys):
         assert [sizes.get(s, 0) for s in ("tune", "valid", "train")] == [tune, valid, 30 - tune - valid]
 
 
-def test_coverage_moves_only_the_histogram(spark):
+def test_coverage_of_a_vocabulary_that_does_not_travel(spark, monkeypatch):
     mined = spark.createDataFrame([(i, ["a", f"p{i % 5}"]) for i in range(50)], "pair_id bigint, phrases array<string>")
     ranked = vocabulary.phrase_vocabulary(vocabulary.phrase_counts(mined), 4)
     small = [tuple(r) for r in vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()]
-    before, vocabulary.RANKS_IN_PLACE = vocabulary.RANKS_IN_PLACE, 0
-    try:
-        assert [tuple(r) for r in vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()] == small
-    finally:
-        vocabulary.RANKS_IN_PLACE = before
+    monkeypatch.setattr(lookup, "TRAVEL_BYTES", -1)
+    assert [tuple(r) for r in vocabulary.coverage_curve(mined, ranked).orderBy("k").collect()] == small
 
 
 def test_pushdown(spark):
