@@ -220,27 +220,82 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return ordered.select("a", "b", "text").mapInArrow(_compare, "a long, b long")
 
 
+def _words(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit words of each row of a list column."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+
+
+def _whole_fits(n: int, whole_x, half_x, whole_y, half_y) -> bool:
+    """The test of ``may_link`` on the sketches of whole sets, for sets with ``n`` shingles together."""
+    x, y = (half_x if len(whole_x) > len(whole_y) else whole_x), (half_y if len(whole_y) > len(whole_x) else whole_y)
+    differing, counters = int(np.bitwise_count(x ^ y).sum()), 64.0 * min(len(whole_x), len(whole_y))
+    most = n * (100 - SHARE) // (100 + SHARE)
+    expected, again = counters / 2 * (1 - math.exp(-2 * most / counters)), math.exp(-4 * most / counters)
+    spread = math.sqrt(max(counters / 4 * (1 - again) - most * again, 0.0))
+    return differing <= min(most, expected + ERRORS * spread + 1)
+
+
+def _pairs_apart(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of one bucket: members in different components whose sizes and sketches allow the limit."""
+    reps, comps, sizes = (rows[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+    sketch = np.stack(_words(rows["sketch"].combine_chunks()))
+    whole, half = (_words(rows[c].combine_chunks()) for c in ("whole", "half"))
+    out = []
+    for i in range(0, len(reps), 256):
+        for j in range(0, len(reps), 1024):
+            a, b = slice(i, i + 256), slice(j, j + 1024)
+            fits = (comps[a, None] != comps[None, b]) & (reps[a, None] < reps[None, b])
+            fits &= 100 * np.minimum(sizes[a, None], sizes[None, b]) >= SHARE * np.maximum(sizes[a, None], sizes[None, b])
+            if not fits.any():
+                continue
+            bits = sum(np.bitwise_count(sketch[a, None, w] ^ sketch[None, b, w]).astype(np.int64) for w in range(BITS // 64))
+            for x, y in zip(*(k.tolist() for k in np.nonzero(fits & (bits <= most_bits(SHARE / 100 - MARGIN))))):
+                x, y = x + i, y + j
+                if _whole_fits(int(sizes[x] + sizes[y]), whole[x], half[x], whole[y], half[y]):
+                    out.append((reps[x], reps[y]))
+    return tuple(np.array([p[k] for p in out], np.int64) for k in (0, 1))
+
+
+def _apart(batches):
+    """Rows sorted by band: the pairs of each bucket. A task holds one bucket at a time."""
+    held: list[pa.Table] = []
+
+    def found() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs_apart(pa.concat_tables(held))], ["a", "b"])
+
+    for batch in batches:
+        bands = batch["band"].to_numpy()
+        edges = np.flatnonzero(np.append(True, bands[1:] != bands[:-1])) if len(bands) else np.empty(0, np.int64)
+        for low, high in zip(edges, np.append(edges[1:], len(bands))):
+            if held and held[0]["band"][0].as_py() != bands[low]:
+                yield found()
+                held.clear()
+            held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+    if held:
+        yield found()
+
+
 def across(buckets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that share a bucket and lie in different components so far.
 
-    Only buckets with several components are looked at. From CROWDED members on a pair must share a second band as
-    well, which a pair at the limit does with all but chance 4e-5.
+    Only buckets with several components are looked at. From CROWDED members on a pair must share a second such bucket as
+    well, which a pair at the limit does with all but chance 4e-5. A document's sketches are looked up once and go along to its buckets.
     """
     placed = buckets.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "band", "rep", F.coalesce("component", "rep").alias("component")
     )
-    left = _several(placed)
+    left = stage(_several(placed), "mixed-buckets")
     few = left.filter(F.col("held") < CROWDED).select("band", "rep", "component")
-    many = left.filter(F.col("held") >= CROWDED).join(classes.select("rep", "bands"), "rep")
-    again = many.select("rep", "component", "band", F.explode("bands").alias("other")).filter("band < other")
-    again = _several(again.select(F.xxhash64("band", "other").alias("band"), "rep", "component"))
+    # a second bucket with fewer members is met by itself
+    many = left.filter(F.col("held") >= CROWDED).groupBy("rep", "component").agg(F.collect_list("band").alias("bands"))  # at most BANDS
+    again = many.select("rep", "component", "bands", F.explode("bands").alias("band")).select("rep", "component", "band", F.explode("bands").alias("other"))
+    again = _several(again.filter("band < other").select(F.xxhash64("band", "other").alias("band"), "rep", "component"))
     members = few.unionByName(again.select("band", "rep", "component"))
-    side = stage(members.join(classes.select("rep", signature()), "rep"), "mixed-buckets")
-    a = side.select(*[F.col(c).alias(f"{c}_a") for c in ("band", "rep", "component", "s")])
-    b = side.select(*[F.col(c).alias(f"{c}_b") for c in ("band", "rep", "component", "s")])
-    apart = (F.col("component_a") != F.col("component_b")) & (F.col("rep_a") < F.col("rep_b"))
-    met = a.join(b, (F.col("band_a") == F.col("band_b")) & apart & may_link(F.col("s_a"), F.col("s_b")))
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    documents = members.groupBy("rep", "component").agg(F.collect_list("band").alias("bands"))
+    side = documents.join(classes.select("rep", "n_shingles", "sketch", "whole", "half"), "rep")
+    met = side.select(F.explode("bands").alias("band"), *side.drop("bands").columns).repartition("band").sortWithinPartitions("band")
+    return met.mapInArrow(_apart, "a long, b long").distinct()
 
 
 def _several(placed: DataFrame) -> DataFrame:
