@@ -13,7 +13,6 @@ from itertools import chain, compress, count, repeat
 
 import numpy as np
 
-MEMO_UNITS = 600_000  # encoded units that a task remembers
 TOGETHER = 1000  # units that go to the library in one text
 
 
@@ -25,22 +24,21 @@ class UnitEncoder:
 
     RULES: list[dict] = []  # fixed values: the tokenizer's own rules for which ``runs`` stands
     SEPARATOR = " "  # between runs, not part of one
+    MEMO_UNITS = 600_000  # encoded units that a task remembers
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.tokenizer.encode_special_tokens = True  # a unit in upper case may look like one once it is lowered
         self.special = special
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        rule = json.loads(self.tokenizer.to_str())
-        cuts = rule["pre_tokenizer"] or {}
+        state = self.tokenizer.pre_tokenizer.__getstate__() if self.tokenizer.pre_tokenizer else b"{}"
+        cuts = json.loads(state)
         self.merges = None
-        if rule["model"]["type"] == "BPE" and cuts.get("pretokenizers", [cuts]) == self.RULES:
-            self.merges = Tokenizer.from_file(path)
-            self.merges.encode_special_tokens = True
-            self.merges.normalizer = normalizers.Sequence([])
+        if isinstance(self.tokenizer.model, models.BPE) and cuts.get("pretokenizers", [cuts]) == self.RULES:
+            self.merges = Tokenizer(self.tokenizer.model)  # the same vocabulary, held once
             self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             # signs of bytes: printable ones stand for themselves, the others follow from 256 on
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -103,7 +101,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, ids per text)."""
-        if len(self.known) > MEMO_UNITS:
+        if len(self.known) > self.MEMO_UNITS:
             self.forget()
         units = [self.units(text) if text else [] for text in texts]
         flat = list(chain.from_iterable(units))
@@ -155,21 +153,28 @@ class WordEncoder(UnitEncoder):
 class SpacedEncoder(UnitEncoder):
     """For a byte-level vocabulary, which never merges over the place before a space that a non-space follows: a unit begins with that space.
 
-    Units are kept without it; FIRST marks one that begins a text, the only kind without a space before it.
+    Units are kept without it. FIRST marks one without a space before it, at the start of a text. A text whose white space stands alone is
+    also cut around its line breaks, which are units of their own; MARK stands before what follows one.
     """
 
     RULES = [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}]
     SEPARATOR = "\t"
-    FIRST = " "  # no other unit starts with one
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+    MEMO_UNITS = 200_000  # their texts are Python strings, larger than bytes
+    FIRST, MARK = " ", "\x01"  # no other unit starts with one
+    PLAIN = re.compile("\x01?[!-~À-ÖØ-öø-ÿ]+").fullmatch
     RUNS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^A-Za-z0-9À-ÖØ-öø-ÿ\n ]+").findall
     ODD_SPACE = re.compile(r" (?:\s|\Z)").search
+    PAIRED_SPACE = re.compile(r"\s\s| \Z").search
     CUT = re.compile(r"(?<=.)(?= \S)", re.S).split
 
     def _spaced(self, text: str) -> list[str]:
+        if self.MARK in text:
+            return [self.FIRST + text]
         if self.ODD_SPACE(text):
             first, *rest = self.CUT(text)
             return [self.FIRST + first, *[unit[1:] for unit in rest]]
+        if not self.PAIRED_SPACE(text):
+            text = text.replace("\n", " \n " + self.MARK)
         units = text.split(" ")
         units[0] = self.FIRST + units[0]
         return units
@@ -184,7 +189,9 @@ class SpacedEncoder(UnitEncoder):
         return [self.PLAIN(u) is not None for u in units]
 
     def runs(self, units: list) -> list[str]:
-        return self.RUNS(" " + "\n ".join(units))
+        return self.RUNS((" " + "\n ".join(units)).replace(" " + self.MARK, ""))
 
     def text(self, unit) -> str:
-        return unit[1:] if unit[:1] == self.FIRST else " " + unit
+        if unit == "\n":
+            return unit
+        return unit[1:] if unit[:1] in (self.FIRST, self.MARK) else " " + unit

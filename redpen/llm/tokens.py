@@ -192,6 +192,7 @@ def _raw_blocks(path: str, end_id: int):
                         doc_ids, parts, sizes, held, number = [], [], [], 0, number + 1
         if doc_ids:
             yield block()
+        pa.default_memory_pool().release_unused()  # the worker stays
 
     return run
 
