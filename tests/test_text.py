@@ -210,3 +210,10 @@ def test_class_report(spark):
     assert [zero.precision, zero.recall, zero.f1] == pytest.approx([1 / 3] * 3)
     never = scoring.class_report(spark.createDataFrame([(1, 0), (2, 1)], "prediction int, target int")).collect()
     assert sorted((r["class"], r.f1) for r in never) == [(0, 0.0), (1, 0.0)]
+
+
+def test_first_characters_stay_single(spark):
+    """As the SQL of realised texts: a letter whose capital is several letters has a single one or stays."""
+    df = texts(spark, ["\u00dfa", "\u1f80a", "\u0149a", "\ufb01a", "\u00e4a", "", "\u0130A", "\u00c4A"])
+    assert column(df.select(text.upper_first(F.col("t")).alias("u")), "u")[:6] == ["\u1e9ea", "\u1f88a", "\u0149a", "\ufb01a", "\u00c4a", ""]
+    assert column(df.select(text.lower_first(F.col("t")).alias("l")), "l")[5:] == ["", "iA", "\u00e4A"]
