@@ -126,6 +126,26 @@ def test_nbest(spark, with_null):
             assert row.answer == want
 
 
+def test_cut_windows_hold_their_own_parts(spark):
+    """The windows of whole documents, but no row carries more than its window: long documents made rows of their size squared."""
+    rng = random.Random(7)
+    docs = [(i, [[f"p{rng.randrange(9)}"] * rng.randrange(3) for _ in range(n)], [f"q{k}" for k in range(q)]) for i, (n, q) in
+            enumerate([(0, 3), (1, 0), (12, 2), (40, 9), (3000, 1), (5, 30)])]
+    df = spark.createDataFrame(docs, "doc_id bigint, pieces array<array<string>>, asked array<string>")
+    df = df.withColumn("words", F.transform("pieces", lambda p, i: F.concat(F.lit("w"), i.cast("string"))))
+    got = windows.cut_windows(df, 20, 5, 4, ["doc_id"], "pieces", "words", "asked").collect()
+    whole = windows.doc_windows(df.withColumn("flat", F.flatten("pieces")), 20, 5, 4, "flat", "asked").drop("words").collect()
+    by_key = {(r.doc_id, r.win): r for r in got}
+    assert len(by_key) == len(got) == len(whole)
+    for r in whole:
+        mine, word_of = by_key[r.doc_id, r.win], [i for i, p in enumerate(r.pieces) for _ in p][r.start : r.start + r.length]
+        assert mine.window == r.flat[r.start : r.start + r.length] and mine.query == r.asked[: r.query_len]
+        assert [mine[c] for c in ("start", "length", "room", "step", "n_windows", "doc_size")] == [r[c] for c in ("start", "length", "room", "step", "n_windows", "doc_size")]
+        assert [mine.words[i] for i in mine.word_of] == [f"w{i}" for i in word_of] and len(mine.words) == word_of[-1] - word_of[0] + 1
+    longest = max(len(str(r)) for r in got)
+    assert longest < 2000
+
+
 def test_pack_uses_every_sentence():
     rng = random.Random(2)
     for case in range(300):
