@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 # Whitespace as Python sees it: the Unicode property plus four control characters.
 SPACE = r"[\s\x1c-\x1f]"
 SPACES = rf"(?U){SPACE}+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def let(value: Column, body) -> Column:

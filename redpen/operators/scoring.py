@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from redpen.functions import text
+from redpen.functions.kernels import sari_udf
 from redpen.operators.ranking import running_total
 
-GRAM_SIZES = (1, 2, 3, 4)
-
-
 def lowercase_columns(df: DataFrame) -> DataFrame:
     """Lower-case source, prediction (or ``predictions``) and targets for case-insensitive scores."""
     low = {"source": F.lower("source"), "targets": F.transform("targets", F.lower)}
@@ -28,28 +26,6 @@ def exact_score(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(F.coalesce(hit, F.lit(0.0)).alias("exact"))
 
 
-def grams(token_list: Column, n: int) -> Column:
-    """Distinct n-grams as space-joined text."""
-    if n == 1:
-        return F.array_distinct(token_list)
-    joined = F.transform(
-        F.sequence(F.lit(0), F.size(token_list) - n),
-        lambda i: F.concat(
-            F.get(token_list, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(token_list, i + k))]
-        ),
-    )
-    return F.when(F.size(token_list) >= n, F.array_distinct(joined)).otherwise(F.expr("cast(array() as array<string>)"))
-
-
-def _gram_lists(texts: str, n: int) -> Column:
-    """The n-grams of every text that has any."""
-    return F.filter(F.transform(texts, lambda x: grams(x, n)), lambda g: F.size(g) > 0)
-
-
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(F.lit(1.0))
-
-
 def _f1(precision: Column, recall: Column) -> Column:
     return F.when(
         (precision > 0) & (recall > 0), 2 * precision * recall / (precision + recall)
@@ -63,62 +39,20 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
     entry, and the grams of source and targets are made once for all of them; ``keep`` may then name ``model`` and
     ``exact``, whether the prediction is one of the targets.
 
-    Everything is set arithmetic inside the row. A gram's weight is the share of non-empty
-    targets that hold it, so a weighted sum over a set of grams is the number of its grams
-    found in each target, summed over the targets and divided by their number.
+    Everything is set arithmetic inside the row (``kernels.sari_scores``).
     """
     prepare = text.strip_separators if strip else (lambda c: c)
     many = "predictions" in df.columns
-    own = [c for c in keep if c in df.columns]
-    step = df.select(
-        *own,
-        text.tokens(prepare(F.col("source"))).alias("_s"),
-        F.transform("targets", lambda t: text.tokens(prepare(t))).alias("_t"),
-        *([F.col("predictions").alias("_all"), F.col("targets").alias("_targets")] if many else [text.tokens(prepare(F.col("prediction"))).alias("_p")]),
-    )
-    for n in GRAM_SIZES:
-        step = step.withColumns({f"_s{n}": grams(F.col("_s"), n), f"_t{n}": _gram_lists("_t", n)})
-        step = step.withColumn(f"_st{n}", F.array_except(F.flatten(f"_t{n}"), F.col(f"_s{n}")))
+    toks = lambda c: text.tokens(prepare(c))
+    listed = F.transform("predictions", lambda x: toks(x["prediction"])) if many else F.array(toks(F.col("prediction")))
+    step = df.withColumn("_scores", sari_udf()(toks(F.col("source")), F.transform("targets", toks), listed))
     if many:
-        step = step.withColumn("_one", F.explode("_all")).drop("_all")
-        step = step.withColumns({
-            "model": F.col("_one.model"), "exact": F.array_contains("_targets", F.col("_one.prediction")).cast("double"),
-            "_p": text.tokens(prepare(F.col("_one.prediction"))),
-        })
-    parts = []
-    for n in GRAM_SIZES:
-        s, p, t = f"_s{n}", f"_p{n}", f"_t{n}"
-        step = step.withColumn(p, grams(F.col("_p"), n))
-        step = step.withColumn(f"_sp{n}", F.array_intersect(s, p))
-
-        def shared(grams_col: str, t: str = t) -> Column:
-            return F.aggregate(
-                t, F.lit(0), lambda acc, g: acc + F.size(F.array_intersect(F.col(grams_col), g))
-            )
-
-        # counts are scaled by the number of targets, so they stay whole numbers
-        step = step.withColumns({
-            f"_m{n}": F.size(t),
-            f"_a{n}": shared(f"_sp{n}"),
-            f"_b{n}": shared(s),
-            f"_hit{n}": F.size(F.array_intersect(f"_st{n}", p)),
-            f"_new{n}": F.size(f"_st{n}"),
-        })
-        m, both, in_s = F.col(f"_m{n}"), F.col(f"_a{n}"), F.col(f"_b{n}")
-        kept, size_s = F.size(f"_sp{n}"), F.size(s)
-        added = F.size(p) - kept
-        gone = size_s - kept
-        scale = F.greatest(m, F.lit(1))
-        parts.append((
-            _f1(_ratio(both, kept * scale), _ratio(both, in_s)),
-            _f1(_ratio(F.col(f"_hit{n}"), added), _ratio(F.col(f"_hit{n}"), F.col(f"_new{n}"))),
-            _f1(
-                _ratio(gone * scale - (in_s - both), gone * scale),
-                _ratio(gone * scale - (in_s - both), size_s * scale - in_s),
-            ),
-        ))
-    mean = [sum(p[i] for p in parts) / len(GRAM_SIZES) for i in range(3)]
-    scored = step.select(*keep, mean[0].alias("keep"), mean[1].alias("addition"), mean[2].alias("deletion"))
+        step = step.withColumn("_at", F.explode(F.arrays_zip(F.col("predictions").alias("one"), F.col("_scores").alias("score"))))
+        exact = F.array_contains("targets", F.col("_at.one.prediction")).cast("double")
+        step = step.withColumns({"model": F.col("_at.one.model"), "exact": exact, "_score": F.col("_at.score")})
+    else:
+        step = step.withColumn("_score", F.get("_scores", F.lit(0)))
+    scored = step.select(*keep, *[F.col(f"_score.{c}").alias(c) for c in ("keep", "addition", "deletion")])
     return scored.withColumn("sari", (F.col("keep") + F.col("addition") + F.col("deletion")) / 3.0)
 
 

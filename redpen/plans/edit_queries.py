@@ -62,7 +62,8 @@ FROM ranked WHERE rank <= {SIZE + EXTRA}"""
 
 
 def _label_map(spark, sf):
-    return vocabulary.label_map_table(_vocabulary(spark, sf), SIZE, swap=True)
+    """Written once, as it is measured, sent and looked up."""
+    return stage(vocabulary.label_map_table(_vocabulary(spark, sf), SIZE, swap=True), "label-map")
 
 
 def label_map_table(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from redpen.functions import text
 from redpen.functions.hashing import digest
+from redpen.functions.kernels import INSERTS, edited_texts_udf, edits_udf
 
 LINES_PER_DOC = 1 << 24
 
@@ -56,7 +57,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of every document that has tokens: ``doc_id, line, pair_id, text, toks``."""
     docs = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     keyed = docs.withColumn("pair_id", F.col("doc_id") * LINES_PER_DOC + F.col("line"))
-    return keyed.withColumn("toks", text.tokens(F.col("text"))).filter(F.size("toks") > 0)
+    # asked of the text, as a filter on the tokens would be pushed below them and cut each line twice
+    return keyed.filter(F.col("text").rlike(text.NOT_SPACE)).withColumn("toks", text.tokens(F.col("text")))
 
 
 LINES = f"""lines AS (
@@ -69,38 +71,13 @@ LINES = f"""lines AS (
 
 # ------------------------------------------------------------------ edited copies
 
-# Words put in place of dropped ones.
-INSERTS = ["and", "or", "but", "so"]
-
-
 # where in a token's hash the two digits lie that decide its fate, per copy
 TARGET, SECOND_TARGET, MODEL_1, MODEL_2 = 1, 3, 5, 7
 
 
-def hashed(toks: Column, key: Column) -> Column:
-    """Tokens with a hash of their place."""
-    return F.transform(toks, lambda t, i: F.struct(t.alias("t"), digest(7, key, i).alias("h")))
-
-
-def edited(marked: Column, slot: int) -> Column:
-    """Hashed tokens with about 3/16 deleted and 1/16 replaced: struct list of ``t`` and ``new``."""
-    def first(h: Column) -> Column:
-        return F.substring(h, slot, 1)
-
-    def insert(h: Column) -> Column:
-        second = F.substring(h, slot + 1, 1)
-        return (
-            F.when(second < "8", INSERTS[0]).when(second < "c", INSERTS[1])
-            .when(second < "e", INSERTS[2]).otherwise(INSERTS[3])
-        )
-
-    return F.transform(
-        F.filter(marked, lambda x: ~first(x["h"]).isin("0", "1", "2")),
-        lambda x: F.struct(
-            F.when(first(x["h"]) == "3", insert(x["h"])).otherwise(x["t"]).alias("t"),
-            (first(x["h"]) == "3").alias("new"),
-        ),
-    )
+def edited_texts(toks: Column, key: Column, *slots: int) -> Column:
+    """One edited copy per slot as text; about 3/16 of the tokens are deleted and 1/16 replaced."""
+    return edited_texts_udf(list(slots))(toks, key)
 
 
 def sql_hashed(toks: str, key: str) -> str:
@@ -128,8 +105,7 @@ def sql_joined(edits: str) -> str:
 
 def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as sources with an edited copy as target: ``pair_id, toks, edits, source, target``."""
-    step = lines(spark, sf).withColumn("marked", hashed(F.col("toks"), F.col("pair_id")))
-    step = step.withColumn("edits", edited(F.col("marked"), TARGET))
+    step = lines(spark, sf).withColumn("edits", edits_udf(TARGET)("toks", "pair_id"))
     return step.select(
         "pair_id", "toks", "edits", text.spaced(F.col("toks")).alias("source"), joined_words(F.col("edits")).alias("target")
     )
@@ -151,7 +127,7 @@ def fusion(spark: SparkSession, sf: str) -> DataFrame:
         "pair_id",
         F.when(F.size("two") > 0, F.array(text.spaced(F.col("one")), text.spaced(F.col("two"))))
         .otherwise(F.array(text.spaced(F.col("one")))).alias("sources"),
-        joined_words(edited(hashed(order, F.col("pair_id")), TARGET)).alias("target"),
+        F.get(edited_texts(order, F.col("pair_id"), TARGET), F.lit(0)).alias("target"),
     )
 
 
@@ -186,14 +162,12 @@ MODELS = {"m1": MODEL_1, "m2": MODEL_2}
 
 def prediction_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Two models and two targets per line: ``row_id, source, predictions, targets``."""
-    key, toks, marked = F.col("pair_id"), F.col("toks"), F.col("marked")
-    base = lines(spark, sf).withColumn("marked", hashed(toks, key))
-    targets = F.array(*[joined_words(edited(marked, slot)) for slot in (TARGET, SECOND_TARGET)])
-    made = F.array(*[
-        F.struct(F.lit(m).alias("model"), joined_words(edited(marked, slot)).alias("prediction"))
-        for m, slot in MODELS.items()
-    ])
-    return base.select(key.alias("row_id"), text.spaced(toks).alias("source"), targets.alias("targets"), made.alias("predictions"))
+    key, toks = F.col("pair_id"), F.col("toks")
+    base = lines(spark, sf).withColumn("copies", edited_texts(toks, key, TARGET, SECOND_TARGET, *MODELS.values()))
+    made = F.array(*[F.struct(F.lit(m).alias("model"), F.get("copies", F.lit(2 + i)).alias("prediction")) for i, m in enumerate(MODELS)])
+    return base.select(
+        key.alias("row_id"), text.spaced(toks).alias("source"), F.slice("copies", 1, 2).alias("targets"), made.alias("predictions")
+    )
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -204,3 +204,24 @@ def test_split_of_an_empty_table(spark):
     assert sampling.split_dataset(empty, 0, 0, "id").count() == 0
     with pytest.raises(ValueError):
         sampling.split_dataset(empty, 1, 0, "id")
+
+
+@pytest.mark.parametrize("name", ["exact_score", "score_report", "tag_pairs", "predict_table"])
+def test_edited_copies_are_hashed_once(spark, name):
+    """Copies come from one kernel per line; as expressions every copy hashed every token again, and lines were cut twice."""
+    plan = plan_of(CATALOG[name][0](spark, SF))
+    assert "md5(" not in plan
+    assert not re.findall(r"Filter .*split\(", plan)
+
+
+def test_sari_is_one_kernel(spark):
+    plan = plan_of(CATALOG["score_report"][0](spark, SF))
+    assert "array_intersect" not in plan and "array_except" not in plan
+
+
+def test_vocabularies_are_made_once(spark):
+    """What is measured, sent and looked up is a written table, not the job that makes it."""
+    from redpen.plans import edit_queries, feature_queries
+
+    assert "/vocabulary-" in feature_queries.pieces(spark, SF).lookup.table.inputFiles()[0]
+    assert "/label-map-" in edit_queries._label_map(spark, SF).inputFiles()[0]
