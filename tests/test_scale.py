@@ -225,3 +225,9 @@ def test_vocabularies_are_made_once(spark):
 
     assert "/vocabulary-" in feature_queries.pieces(spark, SF).lookup.table.inputFiles()[0]
     assert "/label-map-" in edit_queries._label_map(spark, SF).inputFiles()[0]
+
+
+def test_random_partners_are_numbered_first(spark):
+    """The joins with the documents' numbers read a written table and wait for no broadcast of their own."""
+    plan = plan_of(CATALOG["random_next"][0](spark, SF))
+    assert "/numbered-" in plan and "Window" not in plan
