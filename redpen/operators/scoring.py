@@ -43,9 +43,8 @@ def sari_rows(df: DataFrame, keep: list[str], strip: bool = True) -> DataFrame:
     """
     prepare = text.strip_separators if strip else (lambda c: c)
     many = "predictions" in df.columns
-    toks = lambda c: text.tokens(prepare(c))
-    listed = F.transform("predictions", lambda x: toks(x["prediction"])) if many else F.array(toks(F.col("prediction")))
-    step = df.withColumn("_scores", sari_udf()(toks(F.col("source")), F.transform("targets", toks), listed))
+    listed = F.transform("predictions", lambda x: prepare(x["prediction"])) if many else F.array(prepare(F.col("prediction")))
+    step = df.withColumn("_scores", sari_udf()(prepare(F.col("source")), F.transform("targets", prepare), listed))
     if many:
         step = step.withColumn("_at", F.explode(F.arrays_zip(F.col("predictions").alias("one"), F.col("_scores").alias("score"))))
         exact = F.array_contains("targets", F.col("_at.one.prediction")).cast("double")
