@@ -13,7 +13,7 @@ def clean_text(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _blank(col: str) -> Column:
-    return F.coalesce(F.size(text.tokens(F.col(col))) == 0, F.lit(True))
+    return ~F.coalesce(F.col(col).rlike(text.NOT_SPACE), F.lit(False))
 
 
 def drop_empty_pairs(

@@ -217,3 +217,25 @@ def test_first_characters_stay_single(spark):
     df = texts(spark, ["\u00dfa", "\u1f80a", "\u0149a", "\ufb01a", "\u00e4a", "", "\u0130A", "\u00c4A"])
     assert column(df.select(text.upper_first(F.col("t")).alias("u")), "u")[:6] == ["\u1e9ea", "\u1f88a", "\u0149a", "\ufb01a", "\u00c4a", ""]
     assert column(df.select(text.lower_first(F.col("t")).alias("l")), "l")[5:] == ["", "iA", "\u00e4A"]
+
+
+def test_treebank_by_word_and_by_text(spark):
+    """Words are remembered one by one; the rules as Spark expressions over whole texts are the measure."""
+    rows = ["Cannot gonna. GOTTA, d'ye 'tis (cannot) x", "a:b ::c 1,000, 2.5. e.g. U.S.A.", "It's we'll they're 'quoted' \"so\" .", ". . .) ...x '' 'em", " a\x1cb  c--d $5 50% [x]{y}<z> été. ß!", "", " \t "]
+    out = F.concat(F.lit(" "), F.regexp_replace("t", text.SPACES, " "), F.lit(" "))
+    for pattern, to in text.TREEBANK_RULES:
+        out = F.regexp_replace(out, pattern, to)
+    df = texts(spark, rows * 3)
+    got = df.select(text.treebank(F.col("t")).alias("got"), F.trim(F.regexp_replace(out, " +", " ")).alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    plan = df.select(text.treebank(F.col("t")))._jdf.queryExecution().toString()
+    assert plan.count("regexp_replace") == 0
+
+
+def test_detokenised_is_the_rules_in_order(spark):
+    rows = ["can not Do n't gon na ( a ) [ b ] , c -- d ' s", "'T was it 's we 'll # 5 $ 6 50 % ; x ... y : z .", "a . ) ' \" ! ? .", "", "got ta . '"]
+    out = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
+    for pattern, to in text.DETOKENISE_RULES:
+        out = F.regexp_replace(out, pattern, to)
+    got = texts(spark, rows).select(text.detokenised(F.split("t", " ")).alias("got"), F.trim(out).alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
