@@ -68,7 +68,7 @@ def predict_table(
     keep_id = label_map.filter("tag = 'KEEP'").first()["tag_id"]
     by_id = Lookup(label_map, "tag_id", "tag", default="")
     tagged = apply_infeasible_policy(feature_tokens(df), "predict")
-    rows = edit_features(tagged, vocab, label_map, max_len, embedding, keep=(key, "sources", "target"))
+    rows = edit_features(tagged, vocab, label_map, max_len, embedding, (key, "sources", "target"), ("row_starts",))
     scored = rows.withColumn("pred", _predicted(factory, "array<int>", batch))
     inner = lambda at: (at > 0) & (at < F.size("pred") - 1)
     labels = token_labels(F.col("pred"), inner, F.col("token_starts"), keep_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from redpen.functions.kernels import row_tags_udf, spans_udf, tags_udf
+from redpen.functions.kernels import parts_udf, row_tags_udf, spans_udf, tags_udf
 from redpen.functions.text import lower_first, spaced, tokens, upper_first
 from redpen.operators.lookup import Lookup, key_filter, travelling, with_found
 from redpen.operators.vocabulary import label_map_phrases, parse_tags
@@ -83,52 +83,15 @@ def tag_kind(tag: Column) -> Column:
     return F.substring_index(tag, "|", 1)
 
 
-def _segment(pairs: Column) -> Column:
-    pieces = F.flatten(
-        F.transform(
-            pairs,
-            lambda p: F.filter(
-                F.array(
-                    F.get(F.split(p["tag"], r"\|", 2), F.lit(1)),
-                    F.when(tag_kind(p["tag"]) != "DELETE", p["token"]),
-                ),
-                lambda x: x.isNotNull() & (x != ""),
-            ),
-        )
-    )
-    return spaced(pieces)
-
-
 def realize(df: DataFrame, sources: str = "sources", tags: str = "tags", out: str = "realized") -> DataFrame:
     """Text from source tokens and tags; a SWAP on the last token of the first source reorders."""
-    toks = source_tokens(F.col(sources))
-    step = df.withColumns({"_tok": toks, "_first": first_tokens(F.col(sources))})
-    fits = F.size("_tok") == F.size(tags)
-    problem = F.concat(
-        F.lit("number of tags "), F.size(tags).cast("string"), F.lit(" differs from number of tokens "),
-        F.size("_tok").cast("string"),
-    )
-    step = step.withColumn(
-        "_pairs",
-        F.when(fits, F.zip_with("_tok", tags, lambda t, g: F.struct(t.alias("token"), g.alias("tag"))))
-        .otherwise(F.raise_error(problem)),
-    )
-    second = F.coalesce(F.get("_first", F.lit(1)), F.size("_pairs"))
-    step = step.withColumns({
-        "_a": _segment(F.slice("_pairs", F.lit(1), second)),
-        "_b": _segment(F.slice("_pairs", second + 1, F.size("_pairs"))),
-        "_two": F.size("_first") == 2,
-        "_swap": (F.size("_first") == 2)
-        & F.coalesce(tag_kind(F.get("_pairs", second - 1)["tag"]) == "SWAP", F.lit(False)),
-    })
-    step = step.withColumns({
-        "_lead": F.when(F.col("_swap"), F.col("_b")).otherwise(F.col("_a")),
-        "_tail": F.when(F.col("_swap"), F.col("_a")).otherwise(F.col("_b")),
-    })
+    step = df.withColumn("_p", parts_udf()(sources, tags))
+    swap = F.col("_p.swap")
+    step = step.withColumns({"_lead": F.when(swap, F.col("_p.b")).otherwise(F.col("_p.a")), "_tail": F.when(swap, F.col("_p.a")).otherwise(F.col("_p.b"))})
     ends = F.col("_lead").rlike(r"(^|[.!?])$")
     cased = F.when(ends, upper_first(F.col("_tail"))).otherwise(lower_first(F.col("_tail")))
-    text = F.when(F.col("_two"), F.concat_ws(" ", "_lead", cased)).otherwise(F.col("_a"))
-    return step.withColumn(out, text).drop("_tok", "_first", "_pairs", "_a", "_b", "_two", "_swap", "_lead", "_tail")
+    text = F.when(F.size(sources) == 2, F.concat_ws(" ", "_lead", cased)).otherwise(F.col("_p.a"))
+    return step.withColumn(out, text).drop("_p", "_lead", "_tail")
 
 
 # Part-of-speech ids counted as verbs, per tag set.

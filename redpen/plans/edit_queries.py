@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redpen.functions import text
+from redpen.functions.kernels import dealt_udf, halves_udf
 from redpen.operators import tagging, vocabulary
 from redpen.plans import views as v
 from redpen.plans.pair_queries import _rounded
@@ -176,21 +177,13 @@ SELECT pair_id, lower(target) AS text FROM edit_pairs JOIN tagged ON id = pair_i
 
 
 # tags by hash: 3/16 deleted, 1/16 kept with a word before, 1/16 deleted with a word before
+_DEALT = ["DELETE"] * 3 + ["KEEP|and", "DELETE|or so"] + ["KEEP"] * 11
+
+
 def generated_tags(spark, sf):
-    key = F.col("pair_id")
-
-    def tag(d):
-        return F.when(d < "3", "DELETE").when(d == "3", "KEEP|and").when(d == "4", "DELETE|or so").otherwise("KEEP")
-
-    step = v.fusion(spark, sf).drop("target").withColumn("tokens", tagging.source_tokens(F.col("sources")))
-    step = step.withColumn("tags", F.transform(F.transform("tokens", lambda t, i: v.digit(21, 1, key, i)), tag))
-    last = F.size(text.tokens(F.get("sources", F.lit(0))))
-    swap = (F.size("sources") == 2) & (v.digit(22, 1, key) < "8")
-    return step.withColumn(
-        "tags",
-        F.when(swap, F.concat(F.slice("tags", F.lit(1), last - 1), F.array(F.lit("SWAP")), F.slice("tags", last + 1, F.size("tags"))))
-        .otherwise(F.col("tags")),
-    )
+    """The sources of ``fusion`` with ``tokens`` and ``tags``."""
+    made = v.lines(spark, sf).withColumns({"sources": halves_udf()("text"), "_d": dealt_udf(21, _DEALT, 22)("text", "pair_id")})
+    return made.select("pair_id", "sources", "_d.tokens", "_d.tags")
 
 
 _TAG = """CASE WHEN d < '3' THEN 'DELETE' WHEN d = '3' THEN 'KEEP|and' WHEN d = '4' THEN 'DELETE|or so' ELSE 'KEEP' END"""
