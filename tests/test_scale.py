@@ -1,12 +1,16 @@
 """Ranks, dense numbers, hot keys and plans: what has to hold when tables grow and keys are skewed."""
 
+import glob
+import os
 import random
 import re
+import tempfile
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from redpen import session
 from redpen.functions.hashing import ORDER_KEY_MAX, order_key
 from redpen.operators import clusters, features, lookup, ranking, sampling, scoring, vocabulary
 from redpen.plans.catalog import CATALOG
@@ -231,3 +235,17 @@ def test_random_partners_are_numbered_first(spark):
     """The joins with the documents' numbers read a written table and wait for no broadcast of their own."""
     plan = plan_of(CATALOG["random_next"][0](spark, SF))
     assert "/numbered-" in plan and "Window" not in plan
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    def files():
+        tops = [os.environ.get("SPARK_LOCAL_DIRS"), spark.conf.get("spark.local.dir", None), tempfile.gettempdir()]
+        return {f for top in tops if top for nested in ("", "spark-*/") for f in glob.glob(f"{top}/{nested}blockmgr-*/*/shuffle_*")}
+
+    sums = spark.range(100_000).groupBy(F.xxhash64("id").alias("k")).agg(F.sum("id").alias("s"))
+    before = files()
+    staged = session.stage(sums, "sums")
+    time.sleep(1)  # they are removed in the background
+    assert not files() - before
+    assert staged.count() == 100_000
+    assert sums.count() == 100_000 and files() - before  # a plain run leaves some
