@@ -28,6 +28,7 @@ BITS = 18  # the frequencies of all symbols add up to 2**BITS
 LANES = 1024
 BLOCK_IDS = 1 << 18  # a block ends with the document that reaches this size
 CHECKPOINT_STEPS = 128
+TEXT_BYTES = 8 << 20  # of texts encoded together
 
 _HEAD = "<4sHHIQIIQII"
 _MAGIC = b"RANS"
@@ -156,10 +157,10 @@ class Block:
 
 # ---------------------------------------------------------------- files
 
-RAW = "shard int, block long, doc_ids array<long>, sizes array<long>, n_ids long, ids binary"
+RAW = "shard int, block long, doc_ids array<long>, sizes array<long>, n_ids long, ids binary, used binary, times binary"
 _RAW = pa.schema([
     ("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-    ("n_ids", pa.int64()), ("ids", pa.binary()),
+    ("n_ids", pa.int64()), ("ids", pa.binary()), ("used", pa.binary()), ("times", pa.binary()),
 ])
 
 
@@ -172,15 +173,17 @@ def _raw_blocks(path: str, end_id: int):
 
         def block():
             ids = np.concatenate(parts)
+            counts = np.bincount(ids)
+            used = np.flatnonzero(counts)
             return pa.RecordBatch.from_pylist([{
                 "shard": shard, "block": number, "doc_ids": doc_ids, "sizes": sizes, "n_ids": len(ids),
-                "ids": ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
+                "ids": ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "used": used.astype("<u4").tobytes(), "times": counts[used].astype("<u8").tobytes(),
             }], _RAW)
 
         for batch in batches:
-            for rows in parts_of(batch, "text"):
+            for rows in parts_of(batch, "text", TEXT_BYTES):
                 shard = rows["shard"][0].as_py()
-                ids, lengths = encoder.encode([t or "" for t in rows["text"].to_pylist()])
+                ids, lengths = encoder.encode(rows["text"])
                 at = 0
                 for doc, n in zip(rows["id"].to_pylist(), lengths.tolist()):
                     doc_ids.append(doc)
@@ -206,8 +209,8 @@ def _counter(size: int):
     def run(batches):
         counts = np.zeros(size, np.int64)
         for batch in batches:
-            for data in batch["ids"]:
-                counts += np.bincount(_plain(data.as_py()), minlength=size)
+            for used, times in zip(batch["used"], batch["times"]):
+                counts[np.frombuffer(used.as_py(), "<u4")] += np.frombuffer(times.as_py(), "<u8").astype(np.int64)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
 
@@ -251,7 +254,7 @@ def write_tokens(docs: DataFrame, key: str, text: str, tokenizer: str, out: str,
     ordered.mapInArrow(_raw_blocks(tokenizer, end_id), RAW).write.option("compression", "zstd").parquet(raw_path)
     raw = docs.sparkSession.read.schema(RAW).parquet(raw_path)
     size = vocabulary_size(tokenizer)
-    counts = raw.select("ids").mapInArrow(_counter(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("used", "times").mapInArrow(_counter(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     tally = np.zeros(size, np.int64)
     for row in counts.collect():  # at most one row per vocabulary entry
         tally[row["id"]] = row["n"]

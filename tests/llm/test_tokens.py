@@ -82,3 +82,25 @@ def test_query_against_plain_encoding(spark):
         want.append((doc, at, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())))
         at += len(ids) + 1
     assert sorted(map(tuple, op5_rans_tokens(spark, sf).collect())) == want
+
+
+def test_a_run_goes_to_the_library_once():
+    class Recorder:
+        def __init__(self, merges):
+            self.merges, self.sent = merges, []
+
+        def encode(self, text, **kwargs):
+            self.sent.append(text)
+            return self.merges.encode(text, **kwargs)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            self.sent += texts
+            return self.merges.encode_batch_fast(texts, **kwargs)
+
+    encoder = encoding.SpacedEncoder(PATH)
+    encoder.merges = Recorder(encoder.merges)
+    texts = ["Word. word, word! word 12 word? Àword.", "", "word's\nword, \u3000word", "word <|endoftext|>word"]
+    ids, sizes = encoder.encode(texts)
+    assert [list(x) for x in np.split(ids, np.cumsum(sizes))[: len(texts)]] == plain(texts)
+    runs = [run for text in encoder.merges.sent for run in text.split(encoder.SEPARATOR) if run]
+    assert runs and len(runs) == len(set(runs))
