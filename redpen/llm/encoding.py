@@ -52,11 +52,10 @@ class UnitEncoder:
         if isinstance(self.tokenizer.model, models.BPE) and cuts.get("pretokenizers", [cuts]) == self.RULES:
             self.merges = Tokenizer(self.tokenizer.model)  # the same vocabulary, held once
             self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.SEPARATOR)
-            suffix = len(self.tokenizer.model.end_of_word_suffix or "")
-            names = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.merges.model._resize_cache(0)  # each run comes once
+            names, suffix = self.tokenizer.get_vocab(with_added_tokens=False), self.tokenizer.model.end_of_word_suffix or ""
             self.spelled = np.zeros(max(names.values()) + 1, np.int64)  # bytes that an id stands for
-            for name, i in names.items():
-                self.spelled[i] = len(name) - (suffix if suffix and name.endswith(self.tokenizer.model.end_of_word_suffix) else 0)
+            self.spelled[list(names.values())] = [len(name.removesuffix(suffix)) for name in names]
             # signs of bytes: printable ones stand for themselves, the others follow from 256 on
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
             hidden = [b for b in range(256) if b not in shown]
