@@ -138,3 +138,67 @@ def test_filter_lets_few_other_keys_through(spark, monkeypatch):
     others = spark.range(5_000, 55_000).select(F.xxhash64("id").alias("key")).toArrow()["key"].to_numpy().view("uint64")
     assert len(quality._maybe(bits, inside)) == 5_000
     assert len(quality._maybe(bits, others)) < 0.01 * 50_000
+
+
+def plain_whole_model(texts):
+    """Interpolated modified Kneser-Ney of all sequences, by dictionaries."""
+    tri = Counter()
+    for t in texts:
+        w = ["<s>", "<s>", *words(t), "</s>"]
+        tri.update(zip(w, w[1:], w[2:]))
+    bi = Counter(t[1:] for t in tri)
+    uni = Counter(b[1] for b in bi)
+
+    def shares(counts):
+        n, totals = Counter(counts.values()), Counter()
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        enough = n[1] and n[2] and n[3] and n[4]
+        found = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]] if enough else [0.5, 1.0, 1.5]
+        by = [min(max(d, 0.05), i - 0.05) for i, d in enumerate(found, 1)] if enough else found
+        for key, c in counts.items():
+            totals[key[:-1]] += c
+        alpha = {key: (c - by[min(c, 3) - 1]) / totals[key[:-1]] for key, c in counts.items()}
+        left = defaultdict(lambda: 1.0)
+        for key, a in alpha.items():
+            left[key[:-1]] -= a
+        return alpha, left
+
+    a3, g3 = shares(tri)
+    a2, g2 = shares(bi)
+    a1, g1 = shares({(w,): c for w, c in uni.items()})
+    unknown = g1[()] / (len(uni) + 1)
+
+    def chance(first, before, word):
+        p1 = a1.get((word,), 0) + unknown
+        return a3.get((first, before, word), 0) + g3[first, before] * (a2.get((before, word), 0) + g2[(before,)] * p1)
+
+    return chance, uni
+
+
+@pytest.mark.parametrize("head", [None, 0, 9])
+def test_sequences_seen_once_have_weights(spark, monkeypatch, head):
+    texts = [*TEXTS, "seen only once here", None]
+    if head is not None:
+        monkeypatch.setattr(quality, "HEAD", head)
+    trusted = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    queries = ["the cat sat on the mat", "seen only once here", "only once seen", "on the red mat", "zzz once here", "", "a b a b the cat"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(queries)], "doc_id long, text string, lang string")
+    got = {r["_id"]: r for r in quality.scored(docs, "doc_id", "text", "lang", quality.fit(trusted, "t", least=1)).collect()}
+    chance, uni = plain_whole_model(texts)
+    for i, q in enumerate(queries):
+        w = ["<s>", "<s>", *words(q), "</s>"]
+        assert got[i]["_log"] == pytest.approx(sum(math.log10(chance(*x)) for x in zip(w, w[1:], w[2:])), abs=1e-9)
+    for context in (("only", "once"), ("<s>", "<s>"), ("zzz", "the"), ("a", "b")):
+        assert sum(chance(*context, w) for w in uni) + chance(*context, "never seen") == pytest.approx(1, abs=1e-9)
+
+
+def test_the_judge_learns_from_sequences_seen_once(spark):
+    docs = spark.createDataFrame([(i, f"one{i} two{i} three{i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    trusted = docs.select("doc_id")
+    chosen, _ = quality.trusted_rows(docs, trusted, "doc_id", "text", "lang")
+    taught = [r["_id"] for r in chosen.collect()]
+    chance, _ = plain_whole_model([f"one{i} two{i} three{i}" for i in taught])
+    scores = {r["_id"]: r["_log"] for r in quality.learn(docs, trusted, "doc_id", "text", "lang")[1].collect()}
+    for i in taught:
+        w = ["<s>", "<s>", f"one{i}", f"two{i}", f"three{i}", "</s>"]
+        assert scores[i] == pytest.approx(sum(math.log10(chance(*x)) for x in zip(w, w[1:], w[2:])), abs=1e-9)
