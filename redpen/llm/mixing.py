@@ -53,15 +53,15 @@ def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, domains: list[str], bound: int = LABELLED) -> tuple[DataFrame, list[float]]:
+def fit_classifier(docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, domains: list[str], bound: int | None = LABELLED) -> tuple[DataFrame, list[float]]:
     """(weights, priors): log chances of a bucket in a document of each domain, and the log share of each domain.
 
-    Fitted on at most ``bound`` labelled rows, taken in the order of a hash of their ids. Words whose counts do
+    Fitted on at most ``bound`` labelled rows, taken in the order of a hash of their ids, or on all (None). Words whose counts do
     not differ significantly between the domains have no weight. The table has at most BUCKETS rows.
     """
     known = labelled.filter(F.col(domain).isin(domains) & F.col(key).isNotNull()).groupBy(key).agg(F.min(domain).alias("_domain"))
-    sample = known.orderBy(F.xxhash64(key), key).limit(bound).select(F.col(key).alias("_key"), "_domain")
-    taught = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")  # at most ``bound`` small rows
+    sample = known if bound is None else F.broadcast(known.orderBy(F.xxhash64(key), key).limit(bound))  # at most ``bound`` small rows
+    taught = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(sample.select(F.col(key).alias("_key"), "_domain"), "_key")
     counted = taught.select("_domain", F.explode(features(words(F.col("_text")))).alias("w")).groupBy(bucket(F.col("w")).alias("bucket")).agg(
         *[F.count_if(F.col("_domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
     )
@@ -154,7 +154,7 @@ def copies(rate: Column, seed: int, *parts: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, labelled: DataFrame, key: str, text: str, domain: str, shares: dict[str, float], others: tuple[str, ...] = (),
-    total: float | None = None, bound: int = LABELLED, seed: int = 0,
+    total: float | None = None, bound: int | None = LABELLED, seed: int = 0,
 ) -> DataFrame:
     """``key, others, text_hash, n_tokens, p_<domain>, rate, copies``: one row per input row.
 

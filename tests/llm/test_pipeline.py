@@ -2,6 +2,7 @@
 
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -89,3 +90,18 @@ def test_odd_tables(spark):
         assert function(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
     assert sizes["near_duplicates"] == 5 and sizes["personal_data"] == sizes["pieces"] == 6
     assert sizes["quality"] <= 4
+
+
+def test_mixing_gives_every_copy(spark, tmp_path, monkeypatch):
+    words = {"clean": "calm river stone green field", "toxic": "vile scum rage filth spite"}
+    rows = [(i, f"{words['clean' if i % 2 else 'toxic']} w{i}", "en", "s", 30) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, words["clean"], "en", "s", 30)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(mixing, "LABELLED", 10)
+    # what is fitted on ten rows knows no word: all labelled rows must teach
+    monkeypatch.setattr(mixing.mix_sources, "__defaults__", tuple(10 if d == 20_000 else d for d in mixing.mix_sources.__defaults__))
+    rated = mixing.mix_sources(docs, mixing.quality_domains(labels), "doc_id", "text", "domain", cp.SHARES, bound=None).collect()
+    assert any(r["copies"] > 1 for r in rated)
+    got = Counter(r["doc_id"] for r in cp.mixing_stage(spark, docs, str(tmp_path)).collect())
+    assert got == Counter({r["doc_id"]: r["copies"] for r in rated if r["copies"]})
