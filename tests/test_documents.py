@@ -1,12 +1,13 @@
 """Windows, spans and masked rows against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from redpen.functions import kernels
-from redpen.operators import features, masked_lm, spans, windows
+from redpen.operators import features, lookup, masked_lm, spans, windows
 
 
 def brute_windows(n, room, stride):
@@ -199,3 +200,26 @@ def test_answers_from_whole_documents(spark):
     texts = [r.text for r in span_queries.span_candidates(spark, "/root/testdata/sf0.001").select("text").distinct().collect()]
     hyphened = sum("­" in t for t in texts)
     assert 0 < hyphened < len(texts) and max(map(len, texts)) > 20
+
+
+@pytest.mark.parametrize("travels", [True, False])
+def test_windows_of_tokens_are_those_of_their_pieces(spark, monkeypatch, travels):
+    if not travels:
+        monkeypatch.setattr(lookup, "TRAVEL_BYTES", -1)
+    vocab = features.PieceVocabulary(spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("ab", 2), ("##c", 3), ("##d", 4), ("x", 5)], "token string, token_id int"))
+    rng = random.Random(5)
+    docs = [(i, [rng.choice(["abc", "abcd", "x", "zz", ",", "x-x"]) for _ in range(n)], ["x", "abc", "abcdc"][:q]) for i, (n, q) in enumerate([(0, 1), (1, 0), (30, 3), (400, 2), (7, 3)])]
+    df = spark.createDataFrame([*docs, docs[2], (None, ["x"], ["x"])], "doc_id bigint, toks array<string>, asked array<string>")
+    cut = windows.max_context(windows.cut_windows(df, 16, 5, 4, ["doc_id"], "toks", F.col("toks").alias("spelled"), "asked", vocab))
+    step = vocab.add_pieces(df, pieces=F.col("toks"), q=F.col("asked")).withColumn("q", F.flatten("q"))
+    old = windows.max_context(windows.cut_windows(step, 16, 5, 4, ["doc_id"], "pieces", "toks", "q"))
+    assert sorted(map(repr, cut.select(*old.columns).collect())) == sorted(map(repr, old.collect()))
+
+
+@pytest.mark.parametrize("name, kernels", [("null_scores", 1), ("span_candidates", 2), ("window_input_ids", 2)])
+def test_windows_need_few_workers(spark, name, kernels):
+    """Every kernel in a chain is a Python worker per core, and whole documents wait in front of those on documents."""
+    from redpen.plans.catalog import CATALOG
+
+    plan = CATALOG[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert len(re.findall(r"ArrowEvalPython \[|MapInArrow ", plan)) <= kernels
